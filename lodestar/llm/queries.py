@@ -21,5 +21,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.op05_minhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_substring_dedup,)}
+    return {f.__name__: f for f in (op5_minhash_near_dedup, op9_substring_dedup)}

@@ -96,12 +96,13 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(raw[ends[0] : ends[-1]], ends - ends[0])
 
 
-def chunks(texts: Texts, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, Texts]]:
-    """(index of the first text, texts) for runs of texts of about ``limit`` bytes."""
+def chunks(texts: Texts, limit: int = CHUNK_BYTES, most: int = 1 << 20) -> Iterator[tuple[int, Texts]]:
+    """(index of the first text, texts) for runs of at most ``most`` texts of about ``limit`` bytes."""
     at = 0
     while at < len(texts):
         base = texts.offsets[at]
         to = max(at + 1, int(np.searchsorted(texts.offsets, base + limit, side="right")) - 1)
+        to = min(to, at + most)
         yield at, Texts(texts.data[base : texts.offsets[to]], texts.offsets[at : to + 1] - base)
         at = to
 
