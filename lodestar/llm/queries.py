@@ -21,6 +21,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.op03_embeddings import embedding_links
+
+    out = embedding_links(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.op05_minhash import near_duplicates
 
@@ -29,4 +36,4 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_minhash_near_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op3_embedding_near_dedup, op5_minhash_near_dedup, op9_substring_dedup)}
