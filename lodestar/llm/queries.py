@@ -21,6 +21,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.op01_licences import licence_scan
+
+    out = licence_scan(table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.op03_embeddings import embedding_links
 
@@ -36,4 +43,4 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_embedding_near_dedup, op5_minhash_near_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_licence_scan, op3_embedding_near_dedup, op5_minhash_near_dedup, op9_substring_dedup)}
