@@ -28,6 +28,14 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.op02_toxicity import held_out, toxicity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.op03_embeddings import embedding_links
 
@@ -43,4 +51,4 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_licence_scan, op3_embedding_near_dedup, op5_minhash_near_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_licence_scan, op2_toxicity, op3_embedding_near_dedup, op5_minhash_near_dedup, op9_substring_dedup)}
