@@ -1,5 +1,7 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
+from lodestar.llm.op08_urls import LIMIT, RULES, SOFT, STRICT
+
 OP9_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP9 = rf"""
@@ -36,5 +38,51 @@ FROM embeddings LEFT JOIN counts ON counts.x = vec_id LEFT JOIN least ON least.x
 """
 
 
+OP4 = r"""
+WITH log AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+sized AS (
+  SELECT *, 24 + length(regexp_replace(role, '<[|\\]', '...', 'g')) + length(regexp_replace(text, '<[|\\]', '...', 'g')) AS chars FROM log)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
+def _op8() -> str:
+    low = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    hit = r"regexp_matches(low, '(^|[^\pL\pN]){}($|[^\pL\pN])')"
+    strict = " OR ".join(hit.format(t) for t in STRICT)
+    soft = " + ".join(f"{w} * {hit.format(t)}::INT" for t, w in SOFT.items())
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    return f"""
+WITH rules(v, h, p) AS (VALUES {rules}),
+a AS (SELECT page_id, {low} AS low,
+             CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+b AS (SELECT *, translate(regexp_extract(coalesce(rest, ''), '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM a),
+c AS (SELECT *, substr(coalesce(rest, ''), length(host) + 1) AS path FROM b),
+fits AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
+         FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT c.page_id, host, path, rule, coalesce(v, CASE WHEN {strict} OR ({soft}) >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN fits ON c.page_id = fits.page_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3, "op9_substring_dedup": OP9}
+    return {"op3_embedding_near_dedup": OP3, "op4_chat_format": OP4, "op7_warc": OP7, "op8_url_filter": _op8(), "op9_substring_dedup": OP9}
