@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.op06_mix import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.op07_warc import read_captures, write_warc
 
@@ -77,5 +83,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.op10_decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_licence_scan, op2_toxicity, op3_embedding_near_dedup, op4_chat_format, op5_minhash_near_dedup, op7_warc, op8_url_filter, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_licence_scan, op2_toxicity, op3_embedding_near_dedup, op4_chat_format, op5_minhash_near_dedup, op6_mix, op7_warc, op8_url_filter, op9_substring_dedup, op10_decontaminate)}
