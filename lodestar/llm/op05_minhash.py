@@ -161,8 +161,9 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     column = np.repeat(np.cumsum(runs > 1) - 1, runs)[shared]
     row = who[order][shared]
     common = np.zeros((n, n), dtype=np.float32)  # counts below 2**24 are exact
-    wide = max(256, (1 << 24) // n)
-    for low in range(0, int((runs > 1).sum()), wide):
+    total, most = int((runs > 1).sum()), max(256, (1 << 24) // n)
+    for low in range(0, total, most):
+        wide = min(most, total - low)
         here = (column >= low) & (column < low + wide)
         block = np.zeros((n, wide), dtype=np.float32)
         block[row[here], column[here] - low] = 1
