@@ -224,7 +224,7 @@ def near_duplicates(
     dealt = group.join(many, "component").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     texts = plain.where("id is not null").mapInArrow(_squeezed, "id long, packed binary")
     paired = (
-        texts.join(dealt, "id")
+        texts.join(dealt.hint("merge"), "id")  # at any size alike
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "id", "packed")
     )
