@@ -1,10 +1,76 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread."""
+"""The corpus pipeline: five stages over documents, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept:
+toxic documents go, one document of each near-duplicate group stays, repeated
+passages are cut from texts, documents that hold benchmark items go, and the rest
+is mixed to target weights.  All but the last return the columns of documents.
+
+Rows without doc_id belong to no group and hold no items, so they stay.  Of rows
+that share a doc_id, near-dedup keeps one, the least by its columns.  A text all of
+whose words are repeated stays as an empty text.  Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm.op02_toxicity import toxicity, train
+from lodestar.llm.op05_minhash import near_duplicates
+from lodestar.llm.op06_mix import mix
+from lodestar.llm.op09_substrings import substring_dedup
+from lodestar.llm.op10_decontaminate import leaks
+from lodestar.llm.store import kept
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity(docs, model).where("predicted = 0").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    first = kept(near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("stays")).distinct(), "first-of-class")
+    # the same join at any size: texts are dealt by doc_id
+    stay = docs.join(first.hint("merge"), F.col("doc_id") == F.col("stays"), "left_semi")
+    rest = [F.col(c) for c in _columns(docs)]
+    one = stay.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct(*rest)).alias("row")).select("row.*")
+    return one.unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = substring_dedup(docs)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    holds = kept(found.select("doc_id").distinct(), "leaking")
+    return docs.join(holds, "doc_id", "left_anti").select(*_columns(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("decontaminate", drop_leaks),
+    ("mix", mix_sources),
+]
+
+#: SQL can neither learn the toxicity model nor draw the mix
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = kept(stage(spark, docs, sf_dir), name)
+    return docs
