@@ -32,16 +32,18 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.llm.store import kept
 
 ARCHIVE_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"  # no wall clock: reruns agree
+_NO_PAGE = (1 << 63) - 1
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(kind: str, page: int | None, number: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind}/{page}/{number}')}>"
+def record_id(kind: str, page: int | None, url: str, print_: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind}/{page}/{number}/{print_}/{url}')}>"
 
 
 def digest(payload: bytes) -> str:
@@ -64,24 +66,25 @@ def _unline(value: str) -> str:
     return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def capture_records(page: int | None, number: int, url: str, payload: bytes, first: tuple[int | None, int] | None) -> list[bytes]:
-    """The three records of a capture; ``first``: the capture it revisits."""
-    response = record_id("response", page, number)
+def capture_records(page: int | None, number: int, url: str, payload: bytes, first: tuple[int | None, str] | None) -> list[bytes]:
+    """The three records of a capture; ``first``: page and URL of what it revisits."""
+    print_ = digest(payload)
+    response = record_id("response", page, url, print_, number)
     path = url.partition("://")[2].partition("/")[2]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    headers = [("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+    headers = [("WARC-Payload-Digest", f"sha1:{print_}")]
     if first is not None:
         headers += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", record_id("response", *first)),
+            ("WARC-Refers-To", record_id("response", *first, print_, 0)),
         ]
     request = f"GET /{_line(path)} HTTP/1.1\r\n\r\n".encode()
     about = f"page-id: {'' if page is None else page}\r\nnumber: {number}\r\n".encode()
     concurrent = [("WARC-Concurrent-To", response)]
     return [
-        _record("request", record_id("request", page, number), url, concurrent, request, "application/http; msgtype=request"),
+        _record("request", record_id("request", page, url, print_, number), url, concurrent, request, "application/http; msgtype=request"),
         _record("revisit" if first is not None else "response", response, url, headers, http + (b"" if first is not None else payload), "application/http; msgtype=response"),
-        _record("metadata", record_id("metadata", page, number), url, concurrent, about, "application/warc-fields"),
+        _record("metadata", record_id("metadata", page, url, print_, number), url, concurrent, about, "application/warc-fields"),
     ]
 
 
@@ -116,9 +119,8 @@ def _written(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         held: list[bytes] = []
         total = 0
         for batch in batches:
-            for page, number, url, html, first, first_number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                other = None if (first, first_number) == (page, number) or first_number is None else (first, first_number)
-                held += [member(r) for r in capture_records(page, number, url, html.encode(), other)]
+            for page, number, url, html, is_first, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held += [member(r) for r in capture_records(page, number, url, html.encode(), None if is_first else (first, first_url))]
                 total += sum(map(len, held[-3:]))
                 if total >= size:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
@@ -135,13 +137,18 @@ def write_warc(pages: DataFrame, least: int = 0, size: int = ARCHIVE_BYTES) -> D
     plain = pages.select(
         F.col("page_id").cast("long").alias("page"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     )
-    # a number for every row; a scan of the same files numbers them alike
-    every = plain.withColumn("number", F.monotonically_increasing_id()).withColumn("print", F.sha1(F.col("html").cast("binary")))
-    order = F.struct(F.col("page").isNull().alias("none"), "page", "number")
-    first = every.where(F.octet_length("html") >= least).groupBy("print").agg(F.min(order).alias("first"))
-    joined = every.join(first, "print", "left").select(
-        "page", "number", "url", "html", F.col("first.page").alias("first"), F.col("first.number").alias("first_number")
+    # rows alike in page_id, URL and payload are numbered; payloads meet their plan
+    # by all three, so that copies of one payload are spread over tasks
+    marked = plain.withColumn("key", F.coalesce(F.col("page"), F.lit(_NO_PAGE))).withColumn("print", F.sha1(F.col("html").cast("binary")))
+    captures = kept(marked.groupBy("key", "url", "print").agg(F.max(F.octet_length("html")).alias("bytes")), "captures")
+    first = captures.where(F.col("bytes") >= least).groupBy("print").agg(F.min(F.struct("key", "url")).alias("first"))
+    planned = captures.join(first, "print", "left").select("key", "url", "print", "first")
+    numbered = (
+        marked.join(planned.hint("merge"), ["key", "url", "print"])
+        .withColumn("number", F.row_number().over(Window.partitionBy("key", "url", "print").orderBy(F.lit(0))) - 1)
+        .withColumn("is_first", F.col("first").isNull() | ((F.col("first.key") == F.col("key")) & (F.col("first.url") == F.col("url")) & (F.col("number") == 0)))
     )
+    joined = numbered.select("page", "number", "url", "html", "is_first", F.nullif("first.key", F.lit(_NO_PAGE)).alias("first"), F.col("first.url").alias("first_url"))
     return kept(joined.mapInArrow(_written(size), "archive binary"), "warc")
 
 
