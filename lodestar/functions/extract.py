@@ -108,7 +108,7 @@ class Page:
         rel = node.get("rel")
         return {
             "url": url, "href": href, "anchor_text": clean(node.text()), "name": self.name_of(node), "rel": rel,
-            "nofollow": rel is not None and re.search(r"\bnofollow\b", rel, re.I) is not None,
+            "nofollow": rel is not None and re.search(r"\bnofollow\b", rel, re.I) is not None, "target": normalize(url),
         }
 
     def links(self, under: list[Node]) -> list[dict[str, Any]]:
@@ -144,7 +144,7 @@ class Page:
             urls = [u for a in below if a.tag == "a" and (u := self.url(a, "href"))]
             labels = [t for c in below if c.tag in ("li", "a", "span") and (t := clean(c.text()))]
             if urls or labels:
-                yield {"links": urls, "labels": list(dict.fromkeys(labels))}
+                yield {"links": urls, "labels": list(dict.fromkeys(labels)), "targets": [t for u in urls if (t := normalize(u))]}
 
     def comment_regions(self) -> Iterator[dict[str, Any]]:
         def asks(form: Node) -> bool:
@@ -254,18 +254,19 @@ class Page:
         scripts = self.tag("script")
         resolved = [None if n.get("src") is None else resolve(n.get("src"), self.base) for n in scripts]
         html = next(iter(self.tag("html")), None)
+        named = None if canonical is None or canonical.get("href") is None else resolve(canonical.get("href"), self.base)
         return {
             "title": clean(title) if title else None,
             "meta_description": self.meta("name", "description"),
             "meta_robots": self.meta("name", "robots"),
-            "canonical": None if canonical is None or canonical.get("href") is None else resolve(canonical.get("href"), self.base),
+            "canonical": named, "canonical_target": normalize(named),
             "lang": None if html is None else html.get("lang"),
             "charset": next((n.get("charset") for n in meta if n.get("charset") is not None), None),
             "has_viewport_meta": any(n.get("name") == "viewport" for n in meta),
             "headings": [{"level": int(n.tag[1]), "text": clean(n.text())} for n in self.all if _HEADING.match(n.tag)],
             "links": self.links(anchors),
             "images": list(self.images()),
-            "hreflang": [{"hreflang": n.get("hreflang"), "url": u, "href": n.get("href")} for n in links if n.get("rel") == "alternate" and n.get("hreflang") is not None and (u := self.url(n, "href"))],
+            "hreflang": [{"hreflang": n.get("hreflang"), "url": u, "href": n.get("href"), "target": normalize(u)} for n in links if n.get("rel") == "alternate" and n.get("hreflang") is not None and (u := self.url(n, "href"))],
             "json_ld": blocks, "json_ld_errors": errors, "json_ld_nodes": nodes,
             "open_graph": {n.get("property"): clean(n.get("content")) for n in meta if (n.get("property") or "").startswith("og:") and n.get("content") is not None},
             "twitter": {n.get("name"): clean(n.get("content")) for n in meta if (n.get("name") or "").startswith("twitter:") and n.get("content") is not None},

@@ -87,14 +87,14 @@ def allowed(text: str | None, agent: str, url: str) -> bool:
     return text is None or parse(text).allows(agent, url)
 
 
-@F.pandas_udf("array<boolean>")
 def _allowed_each(text: pd.Series, agent: pd.Series, urls: pd.Series) -> pd.Series:
     return pd.Series([None if us is None else [u is not None and allowed(t, a, u) for u in us] for t, a, us in zip(text, agent, urls, strict=True)])
 
 
 def allowed_each(robots: Column, agent: str | Column, urls: Column) -> Column:
     """For every URL of an array, whether robots.txt lets the agent fetch it."""
-    return _allowed_each(robots, F.lit(agent) if isinstance(agent, str) else agent, urls)
+    run = F.pandas_udf(_allowed_each, "array<boolean>")
+    return run(robots, F.lit(agent) if isinstance(agent, str) else agent, urls)
 
 
 def blocked_of(robots: Column, agent: str, urls: Column) -> Column:
@@ -103,15 +103,22 @@ def blocked_of(robots: Column, agent: str, urls: Column) -> Column:
     return F.transform(F.filter(marked, lambda x: ~x["ok"]), lambda x: x["url"])
 
 
-@F.pandas_udf("array<struct<group_no:int,agents:array<string>,delay:double,rules:array<struct<allow:boolean,path:string>>>>")
-def groups(text: pd.Series) -> pd.Series:
-    """The groups of robots.txt texts."""
+def _groups(text: pd.Series) -> pd.Series:
     return pd.Series([
         None if t is None else [{"group_no": i, "agents": g.agents, "delay": g.delay, "rules": [{"allow": a, "path": p} for a, p in g.rules]} for i, g in enumerate(parse(t).groups)]
         for t in text
     ])
 
 
-@F.pandas_udf("array<string>")
-def sitemaps(text: pd.Series) -> pd.Series:
+def _sitemaps(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else parse(t).sitemaps for t in text])
+
+
+def groups(text: Column) -> Column:
+    """The groups of robots.txt texts."""
+    return F.pandas_udf(_groups, "array<struct<group_no:int,agents:array<string>,delay:double,rules:array<struct<allow:boolean,path:string>>>>")(text)
+
+
+def sitemaps(text: Column) -> Column:
+    """The sitemaps that robots.txt texts name."""
+    return F.pandas_udf(_sitemaps, "array<string>")(text)

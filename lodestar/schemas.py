@@ -1,18 +1,18 @@
 """Struct types of the engine's tables, as DDL."""
 
-LINK = "struct<url:string,href:string,anchor_text:string,name:string,rel:string,nofollow:boolean>"
+LINK = "struct<url:string,href:string,anchor_text:string,name:string,rel:string,nofollow:boolean,target:string>"
 HEADING = "struct<level:int,text:string>"
 EXTRACTED = (
-    "struct<title:string,meta_description:string,meta_robots:string,canonical:string,lang:string,charset:string,has_viewport_meta:boolean,"
+    "struct<title:string,meta_description:string,meta_robots:string,canonical:string,canonical_target:string,lang:string,charset:string,has_viewport_meta:boolean,"
     f"headings:array<{HEADING}>,links:array<{LINK}>,"
     "images:array<struct<src:string,alt:string,width:string,height:string,loading:string,has_srcset:boolean,alt_exempt:boolean>>,"
-    "hreflang:array<struct<hreflang:string,url:string,href:string>>,json_ld:array<string>,json_ld_errors:int,"
+    "hreflang:array<struct<hreflang:string,url:string,href:string,target:string>>,json_ld:array<string>,json_ld_errors:int,"
     "json_ld_nodes:array<struct<types:array<string>,id:string,schema_context:boolean,json:string>>,"
     "open_graph:map<string,string>,twitter:map<string,string>,scripts:array<string>,inline_scripts:array<string>,"
     "script_tags:array<struct<src:string,text:string>>,stylesheets:array<string>,"
     "icons:array<struct<rel:string,url:string,sizes:string,type:string>>,"
     "media:array<struct<kind:string,src:string,poster:string,has_captions:boolean,has_track:boolean,has_fallback_text:boolean,ambient:boolean>>,"
-    "frames:array<struct<src:string,title:string,loading:string>>,breadcrumbs:array<struct<links:array<string>,labels:array<string>>>,"
+    "frames:array<struct<src:string,title:string,loading:string>>,breadcrumbs:array<struct<links:array<string>,labels:array<string>,targets:array<string>>>,"
     f"comment_regions:array<struct<has_form:boolean,links:array<{LINK}>>>,"
     "tables:array<struct<rows:int,columns:int,has_headers:boolean,presentational:boolean>>,fragment_page_links:array<string>,landmarks:array<string>,"
     f"content:struct<root:string,sections:array<struct<heading:{HEADING},words:int>>,links:array<string>,text:string>,"
