@@ -87,7 +87,8 @@ def plan(sizes: DataFrame, block: int) -> DataFrame:
 def draw(planned: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
     """(shard, slot, key, block): the blocks that every output shard takes."""
     some = planned.where("slots > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS_AT_ONCE))))
-    spread = some.repartition(F.xxhash64("key", "part"))
+    # few rows that become many: a number of partitions keeps them apart
+    spread = some.repartition(int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "part")
     low = F.col("part") * SLOTS_AT_ONCE
     each = spread.withColumn("j", F.explode(F.sequence(low, F.least(low + SLOTS_AT_ONCE, F.col("slots")) - 1)))
     turn = F.floor(F.col("j") / F.col("blocks"))
