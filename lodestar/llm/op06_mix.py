@@ -125,7 +125,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
         "key", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block")
     )
     words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
-    taken = pieces.join(draws, ["key", "block"]).groupBy("key", "at").agg(F.sum(words * F.col("times")).alias("taken"))
-    sized = placed.join(taken.withColumn("some", F.lit(True)), ["key", "at"], "left")
+    # sizes of exploded rows are underestimated, so broadcasts are ruled out
+    taken = pieces.join(draws.hint("merge"), ["key", "block"]).groupBy("key", "at").agg(F.sum(words * F.col("times")).alias("taken"))
+    sized = placed.join(taken.withColumn("some", F.lit(True)).hint("merge"), ["key", "at"], "left")
     amount = F.when((F.col("size") > 0) & F.col("some"), F.col("taken")).otherwise(0)
     return sized.select("doc_id", "source", "size", "source_size", "target", amount.cast("long").alias("taken"))
