@@ -14,9 +14,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from lodestar.functions.dom import Node, body_of, clean, read
+from lodestar.functions.jsonld import derived
 from lodestar.functions.url import normalize, resolve
 from lodestar.schemas import EXTRACTED
 
+#: fixed values: types that are articles
+ARTICLE_TYPES = frozenset(
+    "Article AdvertiserContentArticle NewsArticle AnalysisNewsArticle AskPublicNewsArticle BackgroundNewsArticle OpinionNewsArticle ReportageNewsArticle ReviewNewsArticle "
+    "Report SatiricalArticle ScholarlyArticle MedicalScholarlyArticle SocialMediaPosting BlogPosting LiveBlogPosting DiscussionForumPosting TechArticle APIReference".split()
+)
 _SILENT = frozenset("script style noscript template".split())
 _LANDMARKS = "header nav main article aside footer section".split()
 _FRAGMENT_PAGE = re.compile(r"#!?/?(?:page|p)[-_=/]?\d+", re.I)
@@ -288,6 +294,7 @@ class Page:
                 "published_time": self.meta("property", "article:published_time"), "modified_time": self.meta("property", "article:modified_time"),
                 "times": [t for n in self.tag("time") if (t := clean(n.get("datetime") if n.get("datetime") is not None else n.text()))],
             },
+            "derived": derived([json.loads(b) for b in blocks], next((clean(n.get("content")) or None for n in meta if n.get("property") == "og:site_name" and n.get("content") is not None), None), ARTICLE_TYPES),
             "text": text, "word_count": len(text.split(" ")) if text else 0,
         }
 

@@ -274,23 +274,20 @@ page(
     (PASS, "true", "All {size(own_resources)} own stylesheets and scripts may be crawled."),
 )
 
-_FILLER = "(?i)\\\\b(lorem ipsum|dolor sit amet|your (text|content) here|insert (text|content) here|coming soon|under construction|placeholder text)\\\\b"
-_MARKER = "(?<![\\\\p{L}\\\\p{N}_])(TODO|TBD|FIXME|XXX|TKTK)(?![\\\\p{L}\\\\p{N}_])"
+_FILLER = "(?i)lorem ipsum|coming soon|\\\\[insert"
+_MARKER = "(?<![.\\\\w])(?:TODO|TBD|XXX)\\\\b"
+_READ = "aggregate(x.content.sections, 0, (n, s) -> n + s.words)"
 page(
     "launch-content-completeness", HTML, _NOT_200,
-    (NA, "meta_noindex", "The page is noindex."),
+    (NA, "any_noindex", "The page is noindex."),
     (ERROR, "f.truncated", "The body was cut."),
-    (FAIL, "x.word_count = 0", "The page has no words."),
-    (FAIL, f"rlike(x.text, '{_FILLER}') or rlike(x.text, '{_MARKER}')", "Filler text is left."),
-    (WARN, "x.word_count < 50", "Only {x.word_count} words."),
-    (PASS, "true", "{x.word_count} words, no filler."),
+    (FAIL, f"{_READ} = 0", "The page has no reading matter."),
+    (FAIL, f"rlike(x.content.text, '{_FILLER}') or rlike(x.content.text, '{_MARKER}')", "Placeholder text is left."),
+    (WARN, f"{_READ} < 50", f"Only {{{_READ}}} words of reading matter."),
+    (PASS, "true", f"{{{_READ}}} words, no placeholder."),
 )
-_ARTICLE = "Article AdvertiserContentArticle NewsArticle AnalysisNewsArticle AskPublicNewsArticle BackgroundNewsArticle OpinionNewsArticle ReportageNewsArticle ReviewNewsArticle Report SatiricalArticle ScholarlyArticle MedicalScholarlyArticle SocialMediaPosting BlogPosting LiveBlogPosting DiscussionForumPosting TechArticle APIReference".split()
 #: whether a page declares itself an article
-IS_ARTICLE = (
-    f"(arrays_overlap(transform({_TYPES}, t -> regexp_replace(t, '^(https?://schema[.]org/|schema:)', '')), array({', '.join(map(repr, _ARTICLE))}))"
-    " or (lower(coalesce(x.open_graph['og:type'], '')) = 'article' and coalesce(x.authorship.published_time, '') <> ''))"
-)
+IS_ARTICLE = "(x.derived.article is not null or (lower(coalesce(x.open_graph['og:type'], '')) = 'article' and coalesce(x.authorship.published_time, '') <> ''))"
 _SECTIONS = "x.content.sections"
 _WORDS = f"aggregate({_SECTIONS}, 0, (n, s) -> n + s.words)"
 #: a question heading with nothing said before the next heading of its level or above

@@ -1,5 +1,7 @@
 """Struct types of the engine's tables, as DDL."""
 
+from lodestar.functions.jsonld import DERIVED
+
 LINK = "struct<url:string,href:string,anchor_text:string,name:string,rel:string,nofollow:boolean,target:string>"
 HEADING = "struct<level:int,text:string>"
 EXTRACTED = (
@@ -17,6 +19,7 @@ EXTRACTED = (
     "tables:array<struct<rows:int,columns:int,has_headers:boolean,presentational:boolean>>,fragment_page_links:array<string>,landmarks:array<string>,"
     f"content:struct<root:string,sections:array<struct<heading:{HEADING},words:int>>,links:array<string>,text:string>,"
     "authorship:struct<meta_author:string,byline:string,article_author:string,published_time:string,modified_time:string,times:array<string>>,"
+    f"derived:{DERIVED},"
     "text:string,word_count:int>"
 )
 FETCH = (
