@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.boosting import Trees, grow, isotonic
+from lodestar.llm.streams import lean, parts
 from lodestar.llm.textbytes import LOWER_WORD, Texts, byte_sums, chunks, mix, span_hash, split, texts_of
 from lodestar.llm.toxic_words import INSULTS, SECOND_PERSON
 
@@ -289,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
 
 def _scored(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 2048):
             texts = texts_of(batch.column(1))
             score = np.concatenate([np.empty(0), *(model.score(part) for _, part in chunks(texts))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["row", "score"])
@@ -300,5 +301,5 @@ def _scored(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), score and predicted."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_scored(model), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    out = rows.mapInArrow(lean(_scored(model)), f"row {rows.schema['row'].dataType.simpleString()}, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

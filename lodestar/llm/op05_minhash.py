@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.graph import components
 from lodestar.llm.store import kept
-from lodestar.llm.streams import by_key
+from lodestar.llm.streams import by_key, lean, parts
 from lodestar.llm.textbytes import LOWER_WORD, Texts, chunks, hash_words, mix, run_hash, sequence_sums, shingle_starts, split, texts_of
 
 SHINGLE = 5
@@ -127,7 +127,7 @@ def _sign(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in parts(batches, 2048):
         texts = texts_of(batch.column(1))
         packed = pa.array([squeeze.compress(texts.text(i)) for i in range(len(texts))], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["id", "packed"])
@@ -178,7 +178,7 @@ def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in parts(batches, 512):
             texts = texts_of(pa.array([expand.decompress(p) for p in batch.column(2).to_pylist()], pa.large_binary()))
             sets: list[bytes] = []
             for _, part in chunks(texts):
@@ -211,7 +211,7 @@ def near_duplicates(
     """(doc_id, class_id) per row of ``docs``: the least doc_id among all that
     chains of similar documents connect with it."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = kept(plain.mapInArrow(_sign(bands, rows), "id long, p1 long, p2 long, keys array<long>"), "signatures")
+    signed = kept(plain.mapInArrow(lean(_sign(bands, rows)), "id long, p1 long, p2 long, keys array<long>"), "signatures")
     first = signed.where("p1 is not null and id is not null").groupBy("p1", "p2").agg(F.min("id").alias("first"))
     # copies: every row is tied to the first with the same weighted set
     copies = kept(signed.select("id", "p1", "p2").join(first, ["p1", "p2"], "left").select("id", "first"), "copies")
@@ -222,13 +222,13 @@ def near_duplicates(
     group = kept(components(met, "id", "hub"), "candidates")
     many = group.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = group.join(many, "component").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = plain.where("id is not null").mapInArrow(_squeezed, "id long, packed binary")
+    texts = plain.where("id is not null").mapInArrow(lean(_squeezed), "id long, packed binary")
     paired = (
         texts.join(dealt.hint("merge"), "id")  # at any size alike
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "id", "packed")
     )
-    links = paired.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(threshold), "a long, b long")
+    links = paired.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_compare(threshold)), "a long, b long")
     ties = links.union(copies.where("first is not null and id <> first").select("id", "first"))
     classes = components(ties, "a", "b")
     own = F.coalesce("component", "first", "id")

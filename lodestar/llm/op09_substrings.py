@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.recompression import anchors
 from lodestar.llm.store import kept
-from lodestar.llm.streams import by_key, narrow, pack, unpack
+from lodestar.llm.streams import by_key, lean, narrow, pack, parts, unpack
 from lodestar.llm.textbytes import NON_SPACE, Texts, byte_sums, chunks, run_hash, sequence_sums, span_hash, split, texts_of
 
 WIDTH = 20
@@ -164,12 +164,12 @@ def _repeated(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             yield _by_document(held, buckets)
 
     def later(packed: list[bytes]) -> list[np.ndarray] | None:
-        parts, marks = [], []
+        groups, marks = [], []
         for p in packed:
             columns, at = unpack(p, _ANCHOR)
-            parts.append(columns)
+            groups.append(columns)
             marks.append(unpack(p, (6,), at)[0][0])
-        name, ids, keys, begin, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        name, ids, keys, begin, n = (np.concatenate(c) for c in zip(*groups, strict=True))
         mark = np.concatenate(marks)
         order = np.argsort(name, kind="stable")
         same = name[order][1:] == name[order][:-1]
@@ -210,7 +210,7 @@ def _documents(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in parts(batches, 2048):
             ids = _ids(batch.column(1))
             column = texts_of(batch.column(2))
             keys, texts = [], []
@@ -285,20 +285,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     buckets = max(BUCKETS, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    windows = plain.mapInArrow(_windows_by_anchor(width, buckets), "bucket int, packed binary")
+    windows = plain.mapInArrow(lean(_windows_by_anchor(width, buckets)), "bucket int, packed binary")
     # chunks' own findings are dealt out at random, windows by their bucket
     dealt = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket").cast("long"))
     removed = kept(
-        windows.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(_repeated(buckets), "bucket int, packed binary"),
+        windows.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(lean(_repeated(buckets)), "bucket int, packed binary"),
         "substrings-removed",
     )
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = rows.schema["row"].dataType.simpleString()
-    texts = rows.mapInArrow(_documents(buckets), f"bucket int, packed binary, row {schema}, id long, key long")
+    texts = rows.mapInArrow(lean(_documents(buckets)), f"bucket int, packed binary, row {schema}, id long, key long")
     both = texts.unionByName(removed, allowMissingColumns=True)
     return (
         both.repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_cut(width, with_text), f"row {schema}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        .mapInArrow(lean(_cut(width, with_text)), f"row {schema}, n_words long, n_removed long, kept_sha256 string, kept_text string")
     )

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -39,10 +39,10 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    """base**i modulo 2**64 for i < n; kept and grown between calls."""
+    """base**i modulo 2**64 for i < n; kept for texts of a chunk's usual size."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 12, 2 * len(have) if have is not None else 0)
+        size = max(n, CHUNK_BYTES + (1 << 16))
         have = np.empty(size, dtype=np.uint64)
         have[0] = 1
         filled = 1
@@ -51,7 +51,8 @@ def powers(n: int, base: int) -> np.ndarray:
             upto = min(2 * filled, size)
             have[filled:upto] = have[: upto - filled] * step
             filled = upto
-        _powers[base] = have
+        if size <= 4 * CHUNK_BYTES:
+            _powers[base] = have
     return have[:n]
 
 

@@ -169,7 +169,7 @@ def test_licences(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     by = {r.row.doc_id: r for r in out}
     assert by[6].labels == "cc-by-nc" and by[9].labels == "mit" and by[8].labels == ""
-    assert [(s["first"], s["last"]) for s in by[9].spans if s["coverage"] == 1] == [(0, 27)]
+    assert [(s["first"], s["last"]) for s in by[9].spans if s["coverage"] == 1] == [(0, 28)]
 
 
 def test_matching_statistics():
