@@ -180,11 +180,20 @@ def registrable_domain(host: str) -> str | None:
     return ".".join(labels[-2:]).lower()
 
 
-def glob_regex(pattern: str) -> str:
-    """``*`` is anything but ``/ ? #``, ``**`` anything; a last slash is optional."""
-    parts = re.split(r"(\*\*|\*)", pattern.rstrip("/"))
+def matcher(pattern: str, origin: str) -> tuple[str, bool]:
+    """(regular expression, whether it is one URL) of a URL or a glob.
+
+    ``*`` is anything but ``/ ? #``, ``**`` anything; a glob ignores case and a
+    last slash.  A path is read against ``origin``.
+    """
+    text = pattern.strip()
+    if not re.match("(?i)https?://", text):
+        text = origin.rstrip("/") + "/" + text.lstrip("/")
+    if "*" not in text:
+        return f"^{re.escape(normalize(text) or text)}$", True
+    parts = re.split(r"(\*\*|\*)", text[:-1] if text.endswith("/") else text)
     body = "".join(".*" if p == "**" else "[^/?#]*" if p == "*" else re.escape(p) for p in parts)
-    return f"(?i)^{body}/?$"
+    return f"(?i)^{body}/?$", False
 
 
 def template(path: str) -> str:
@@ -256,3 +265,19 @@ def query_pairs(url: Column) -> Column:
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     parts = F.filter(F.split(query, "&"), lambda p: p != "")
     return F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.when(p.contains("="), F.regexp_extract(p, "=(.*)$", 1)).otherwise("").alias("value")))
+
+
+def matchers(pattern: Column, origin_: Column) -> Column:
+    """Struct (regex, exact, specificity) of a URL pattern."""
+
+    def run(patterns: pd.Series, origins: pd.Series) -> pd.DataFrame:
+        found = [matcher(p or "", o or "") for p, o in zip(patterns, origins, strict=True)]
+        size = [1 << 30 if exact else len((p or "").replace("*", "")) for p, (_, exact) in zip(patterns, found, strict=True)]
+        return pd.DataFrame({"regex": [f[0] for f in found], "exact": [f[1] for f in found], "specificity": size})
+
+    return F.pandas_udf(run, "struct<regex:string,exact:boolean,specificity:int>")(pattern, origin_)
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """A normalised URL of a link read against a base."""
+    return _batched(lambda h, b: normalize(resolve(h, b)), "string")(href, base)

@@ -13,7 +13,7 @@ from lodestar import schemas
 _TABLES = {
     "sitemaps": schemas.SITEMAPS, "sitemap_urls": schemas.SITEMAP_URLS, "sitemap_news": schemas.SITEMAP_NEWS, "sitemap_video": schemas.SITEMAP_VIDEO,
     "auxiliary": schemas.AUXILIARY, "blocked": schemas.URLS, "not_reached": schemas.URLS, "seeds": schemas.URLS,
-    "previous_pages": schemas.PREVIOUS_PAGES, "previous_probes": schemas.PREVIOUS_PROBES,
+    "previous_pages": schemas.PREVIOUS_PAGES, "previous_probes": schemas.PREVIOUS_PROBES, "gates": schemas.GATES,
 }
 NETLOC = r"regexp_extract({}, '^[a-z]+://(?:[^/@?#]*@)?([^/?#]*)', 1)"
 #: the noindex test of page directives, either word
@@ -43,6 +43,7 @@ class Audit:
     seeds: DataFrame | None = None
     previous_pages: DataFrame | None = None
     previous_probes: DataFrame | None = None
+    gates: DataFrame | None = None
     inputs: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -73,7 +74,7 @@ class Audit:
             f"rlike(concat(coalesce(x.meta_robots, ''), ' ', coalesce(f.headers['x-robots-tag'], '')), '{NOINDEX}') as any_noindex",
             "regexp_extract(normalized_url, '^https?://[^/?#]*([^?#]*)', 1) as path",
             "size(f.redirect_chain) as hops",
-            "coalesce(element_at(f.redirect_chain, 1).status, f.status) as first_status",
+            "coalesce(try_element_at(f.redirect_chain, 1).status, f.status) as first_status",
         )
 
     @cached_property

@@ -150,7 +150,7 @@ page(
     (FAIL, f"exists({_PAINTS}, i -> i.element = 'img' and {_LAZY.format('i')})", "The largest paint is a lazy image."),
     (PASS, f"size({_PAINTS}) > 0", "The largest paint is not lazy."),
     _NO_IMAGES,
-    (WARN, _LAZY.format("x.images[0]"), "The first image is lazy, and no render says what the largest paint is."),
+    (WARN, _LAZY.format("get(x.images, 0)"), "The first image is lazy, and no render says what the largest paint is."),
     (PASS, "true", "The first image loads eagerly."),
 )
 _HEARD = "filter(x.media, i -> not i.ambient)"
@@ -167,7 +167,7 @@ page(
     "image-discoverability", HTML,
     (NA, "coalesce(x.open_graph['og:image'], x.twitter['twitter:image']) is null", "No representative image is declared."),
     (NA, "size(shown_image) = 0", "The representative image's URL can't be resolved."),
-    (PASS, f"not {same_site('shown_image[0]')}", "The representative image is off-site."),
+    (PASS, f"not {same_site('get(shown_image, 0)')}", "The representative image is off-site."),
     (FAIL, "size(image_blocked) > 0", "robots.txt keeps the image crawler from the representative image."),
     (PASS, "true", "The representative image may be crawled."),
 )
@@ -203,7 +203,7 @@ page(
     (PASS, "true", "No violations."),
 )
 _DESK = "coalesce(r.extracted, x)"
-_H1 = "trim(coalesce(element_at(filter({}.headings, i -> i.level = 1), 1).text, ''))"
+_H1 = "trim(coalesce(try_element_at(filter({}.headings, i -> i.level = 1), 1).text, ''))"
 _DROPPED = (
     f"array_compact(array(if(coalesce({_DESK}.title, '') <> '' and coalesce(m.extracted.title, '') = '', 'title', null), "
     f"if({_H1.format(_DESK)} <> '' and {_H1.format('m.extracted')} = '', 'first h1', null), "
@@ -249,7 +249,7 @@ page(
 _TARGETS = "array_distinct(transform(filter({}.links, i -> i.target is not null and " + same_site("i.url") + "), i -> i.target))"
 _REMOVED = f"array_except({_TARGETS.format('x')}, {_TARGETS.format('r.extracted')})"
 _ADDED = f"array_except({_TARGETS.format('r.extracted')}, {_TARGETS.format('x')})"
-_FIRST = "element_at(filter({}.headings, i -> i.level = 1), 1).text"
+_FIRST = "try_element_at(filter({}.headings, i -> i.level = 1), 1).text"
 page(
     "raw-rendered-parity", HTML, *_RENDERED,
     (FAIL, f"not (x.title <=> r.extracted.title) or not ({_FIRST.format('x')} <=> {_FIRST.format('r.extracted')}) or size({_REMOVED}) > 0", f"Raw and rendered disagree on title, first h1 or links ({{size({_REMOVED})}} removed)."),

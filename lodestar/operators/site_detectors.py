@@ -583,7 +583,7 @@ def locale_content_parity(audit: Audit) -> DataFrame:
     primary = "lower(split(trim({}), '[-_]')[0])"
     heads = "filter(transform(x.headings, h -> trim(h.text)), t -> t <> '')"
     html = audit.facts.where("html_200")
-    own = f"element_at(filter(x.hreflang, a -> lower(a.hreflang) <> 'x-default' and a.target = normalized_url), 1).hreflang"
+    own = f"try_element_at(filter(x.hreflang, a -> lower(a.hreflang) <> 'x-default' and a.target = normalized_url), 1).hreflang"
     rows = html.where("size(x.hreflang) > 0").selectExpr("crawl_id", "normalized_url as page", f"{primary.format(f'coalesce({own}, nullif(trim(x.lang), {chr(39)*2}))')} as locale", f"{heads} as ours", "explode(x.hreflang) as alt")
     pairs = rows.where(f"lower(alt.hreflang) <> 'x-default' and trim(alt.hreflang) <> '' and not ({primary.format('alt.hreflang')} <=> locale) and alt.target is not null and alt.target <> page").selectExpr("crawl_id", "page", "ours", "alt.target as target")
     met = pairs.join(html.selectExpr("crawl_id", "normalized_url as target", f"{heads} as theirs"), ["crawl_id", "target"]).withColumn("a", F.least("page", "target")).withColumn("b", F.greatest("page", "target")).dropDuplicates(["crawl_id", "a", "b"])
@@ -655,7 +655,7 @@ def batch_page_quality(audit: Audit) -> DataFrame:
 
 @site("cannibalization")
 def cannibalization(audit: Audit) -> DataFrame:
-    h1 = "element_at(filter(x.headings, h -> h.level = 1), 1).text"
+    h1 = "try_element_at(filter(x.headings, h -> h.level = 1), 1).text"
     pages = audit.facts.where("html_200 and not any_noindex and (x.canonical_target is null or x.canonical_target in (normalized_url, f.final_url))").selectExpr(
         "crawl_id", "coalesce(nullif(f.final_url, ''), normalized_url) as landed", "x.title as title", f"{h1} as h1"
     )

@@ -52,6 +52,11 @@ PREVIOUS_PAGES = (
     "json_ld_types array<string>, hreflang array<struct<hreflang:string,url:string>>, axe array<struct<id:string,impact:string,nodes:int>>"
 )
 PREVIOUS_PROBES = "crawl_id string, probe_id string, page_url string, outcome string"
+GATES = "crawl_id string, passed_before array<string>, failing_now array<string>, reopened array<string>"
+CHECK_STATES = (
+    "crawl_id string, check_id string, applicability string, applicability_rationale string, status string, coverage string, basis string, "
+    "evidence string, evidence_ref string, attestation_expires_at timestamp"
+)
 CHECKS = "version string, id string, title string, phase int, launch_gate boolean, automation string, universal boolean, flags array<string>, detectors array<string>, priority string"
 REVIEW_RUNS = (
     "site_id string, run_id string, check_id string, release_id string, scope_revision string, criteria_revision string, origin string, environment string, "
