@@ -187,7 +187,7 @@ def lcp_element_strategy(audit: Audit) -> DataFrame:
     faces = "regexp_extract_all(array_join(regexp_extract_all(f.body, '(?is)<style\\\\b[^>]*>(.*?)</style>', 1), ' '), '(?is)@font-face\\\\s*\\\\{([^}]*)\\\\}', 1)"
     rows = audit.facts.where("is_html").join(reports, ["crawl_id", "normalized_url"], "left").join(given, "crawl_id", "left").withColumn("faces", F.expr(faces))
     media = "report.lcp_element.tag in ('img', 'image', 'video', 'picture', 'source')"
-    named = "(contains(f.body, report.lcp_element.src) or contains(f.body, regexp_extract(report.lcp_element.src, '^https?://[^/?#]*([^#]*)', 1)))"
+    named = "(contains(f.body, report.lcp_element.src) or contains(f.body, if(rlike(report.lcp_element.src, '^https?://'), regexp_extract(report.lcp_element.src, '^https?://[^/?#]*([^#]*)', 1), concat('/', ltrim('/', report.lcp_element.src)))))"
     slow = "(lower(coalesce(report.lcp_element.loading, '')) = 'lazy' or lower(coalesce(report.lcp_element.fetch_priority, '')) = 'low')"
     sought = "report.lcp_element.src is not null and not startswith(report.lcp_element.src, 'data:')"
     loose = "size(filter(faces, r -> not rlike(r, '(?i)font-display\\\\s*:')))"
