@@ -24,6 +24,8 @@ Extra columns are not looked at.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,6 @@ BLOCK = 64
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times its size that a source or a block is taken
 SHARD_SLOTS = 4096
-BUCKET_ROWS = 10_000
 SLOTS_AT_ONCE = 8192
 ROUNDS = 10
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,7 +106,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target and taken per row of ``docs``."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     sizes = kept(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), source_key(F.col("source").cast("string")).alias("key"), size.alias("size")), "sizes")
-    buckets = max(1, -(-sizes.count() // BUCKET_ROWS))
+    # as many buckets as rows in each, so that neither step has a large part
+    buckets = max(1, math.isqrt(sizes.count()))
     planned = kept(plan(sizes, block), "sources")
 
     dealt = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
