@@ -212,9 +212,10 @@ def near_duplicates(
     chains of similar documents connect with it."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = kept(plain.mapInArrow(lean(_sign(bands, rows)), "id long, p1 long, p2 long, keys array<long>"), "signatures")
-    first = signed.where("p1 is not null and id is not null").groupBy("p1", "p2").agg(F.min("id").alias("first"))
+    # written, so that the join below has an exchange of its own that can be split
+    first = kept(signed.where("p1 is not null and id is not null").groupBy("p1", "p2").agg(F.min("id").alias("first")), "firsts")
     # copies: every row is tied to the first with the same weighted set
-    copies = kept(signed.select("id", "p1", "p2").join(first, ["p1", "p2"], "left").select("id", "first"), "copies")
+    copies = kept(signed.select("id", "p1", "p2").join(first.hint("merge"), ["p1", "p2"], "left").select("id", "first"), "copies")
     lead = signed.join(copies.where("id = first").select("id").distinct(), "id").select("id", F.explode("keys").alias("key"))
     hubs = lead.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     met = lead.join(hubs, "key").where("id > hub").select("id", "hub").distinct()
