@@ -3,29 +3,31 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: fixed values: ISO 639-1 codes, and ISO 3166-1 alpha-2 codes
-LANGUAGES = frozenset(
-    "aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho "
-    "hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn "
-    "no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi "
-    "vo wa wo xh yi yo za zh zu".split()
-)
-REGIONS = frozenset(
-    "AD AE AF AG AI AL AM AO AQ AR AS AT AU AW AX AZ BA BB BD BE BF BG BH BI BJ BL BM BN BO BQ BR BS BT BV BW BY BZ CA CC CD CF CG CH CI CK CL CM CN CO CR CU CV CW CX CY CZ DE DJ DK "
-    "DM DO DZ EC EE EG EH ER ES ET FI FJ FK FM FO FR GA GB GD GE GF GG GH GI GL GM GN GP GQ GR GS GT GU GW GY HK HM HN HR HT HU ID IE IL IM IN IO IQ IR IS IT JE JM JO JP KE KG KH KI "
-    "KM KN KP KR KW KY KZ LA LB LC LI LK LR LS LT LU LV LY MA MC MD ME MF MG MH MK ML MM MN MO MP MQ MR MS MT MU MV MW MX MY MZ NA NC NE NF NG NI NL NO NP NR NU NZ OM PA PE PF PG PH "
-    "PK PL PM PN PR PS PT PW PY QA RE RO RS RU RW SA SB SC SD SE SG SH SI SJ SK SL SM SN SO SR SS ST SV SX SY SZ TC TD TF TG TH TJ TK TL TM TN TO TR TT TV TW TZ UA UG UM US UY UZ VA "
-    "VC VE VG VI VN VU WF WS YE YT ZA ZM ZW".split()
-)
+#: fixed values: codes that others have replaced
 WITHDRAWN = {"iw": "he", "in": "id", "ji": "yi", "mo": "ro", "sh": "sr"}
 
 
-def problem(tag: str) -> str:
+@dataclass(frozen=True)
+class Codes:
+    """ISO 639-1 languages and ISO 3166-1 regions."""
+
+    languages: frozenset[str]
+    regions: frozenset[str]
+
+
+def codes(spark: SparkSession) -> Codes:
+    """The codes that the Java runtime knows."""
+    locale = spark._jvm.java.util.Locale
+    return Codes(frozenset(locale.getISOLanguages()) - set(WITHDRAWN), frozenset(locale.getISOCountries()))
+
+
+def problem(tag: str, known: Codes) -> str:
     """Empty if the tag is supported; else ``invalid: ...`` or ``unsupported: ...``."""
     parts = tag.strip().replace("_", "-").split("-")
     language, rest = parts[0].lower(), parts[1:]
@@ -33,7 +35,7 @@ def problem(tag: str) -> str:
         return "invalid: subtags are parted by hyphens"
     if language in WITHDRAWN:
         return f"invalid: {language} is withdrawn, {WITHDRAWN[language]} replaces it"
-    if language not in LANGUAGES:
+    if language not in known.languages:
         return f"invalid: {language} is no language"
     if rest and re.fullmatch("[A-Za-z]{4}", rest[0]):
         rest = rest[1:]
@@ -44,11 +46,11 @@ def problem(tag: str) -> str:
         return "invalid: too many subtags"
     if re.fullmatch(r"\d{3}", region):
         return f"unsupported: {region} is an area code"
-    return "" if region in REGIONS else f"invalid: {region} is no region"
+    return "" if region in known.regions else f"invalid: {region} is no region"
 
 
-def tag_problem(tag: Column) -> Column:
+def tag_problem(tag: Column, known: Codes) -> Column:
     def run(tags: pd.Series) -> pd.Series:
-        return tags.map(lambda t: None if t is None else problem(t))
+        return tags.map(lambda t: None if t is None else problem(t, known))
 
     return F.pandas_udf(run, "string")(tag)

@@ -744,7 +744,7 @@ _OWN = f"{NETLOC.format('loc')} = site_netloc"
 
 @site("news-sitemap")
 def news_sitemap(audit: Audit) -> DataFrame:
-    from lodestar.functions.language import LANGUAGES
+    from lodestar.functions.language import codes as known_codes
 
     docs = audit.sitemaps.withColumn("named", F.expr("rlike(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '(?i)(^|[^a-z])news([^a-z]|$)')"))
     rows = audit.sitemap_news.join(audit.site_facts.select("crawl_id", "site_netloc"), "crawl_id").join(audit.sitemaps.selectExpr("crawl_id", "url as sitemap", "fetched_at").dropDuplicates(["crawl_id", "sitemap"]), ["crawl_id", "sitemap"], "left")
@@ -755,7 +755,7 @@ def news_sitemap(audit: Audit) -> DataFrame:
         f"case when {day} then try_cast(concat(trim(publication_date), 'T23:59:59.999-12:00') as timestamp) when {timed} then try_cast(trim(publication_date) as timestamp) end as latest",
         "lower(trim(language)) as code",
     )
-    codes = ", ".join(f"'{c}'" for c in sorted(LANGUAGES))
+    codes = ", ".join(f"'{c}'" for c in sorted(known_codes(audit.spark).languages))
     good = f"(code in ('zh-cn', 'zh-tw') or rlike(code, '^[a-z]{{3}}$') or code in ({codes}))"
     tagged = f"(rlike(code, '^[a-z]{{2}}-') and split(code, '-')[0] in ({codes}))"
     defects = (

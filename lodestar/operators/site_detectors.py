@@ -546,10 +546,10 @@ def hreflang_cluster_qa(audit: Audit) -> DataFrame:
 
 @site("hreflang-implementation")
 def hreflang_implementation(audit: Audit) -> DataFrame:
-    from lodestar.functions.language import tag_problem
+    from lodestar.functions.language import codes, tag_problem
 
     entries = audit.alternates.selectExpr("crawl_id", "page", "trim(alt.hreflang) as tag", "lower(trim(alt.hreflang)) as key", "coalesce(alt.target, alt.url) as target", "alt.href as href")
-    told = entries.withColumn("told", F.when(F.col("key") == "x-default", F.lit("")).otherwise(tag_problem(F.col("tag"))))
+    told = entries.withColumn("told", F.when(F.col("key") == "x-default", F.lit("")).otherwise(tag_problem(F.col("tag"), codes(audit.spark))))
     by_tag = entries.where("key <> 'x-default'").groupBy("crawl_id", "page", "key").agg(F.countDistinct("target").alias("urls"))
     by_target = entries.where("key <> 'x-default'").groupBy("crawl_id", "page", "target").agg(
         F.expr("count(distinct split(key, '[-_]')[0])").alias("languages"), F.expr("count(distinct if(rlike(key, '[-_]'), key, null))").alias("regions")

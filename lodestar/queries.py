@@ -341,17 +341,18 @@ def median_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("lang").agg(median.alias("median"), F.floor(median + 0.5).alias("rounded"))
 
 
-_TAGS = ("en", "en-GB", "en_us", "de-AT", "xx", "iw", "fr-FR-x", "es-419", "zh-Hant-TW", "pt-ZZ", "EN")
+#: tags, and how each should read
+_TAGS = {"en": "", "en-GB": "", "en_us": "invalid", "de-AT": "", "xx": "invalid", "iw": "invalid", "fr-FR-x": "invalid", "es-419": "unsupported", "zh-Hant-TW": "", "pt-ZZ": "invalid", "EN": ""}
 
 
 @query(f"""
-SELECT d.doc_id % 11 AS slot, v.told, count(*) AS n FROM documents d JOIN (VALUES {', '.join(f"({i}, '{L.problem(t).split(':')[0]}')" for i, t in enumerate(_TAGS))}) v(i, told) ON v.i = d.doc_id % 11 GROUP BY 1, 2
+SELECT d.doc_id % 11 AS slot, v.told, count(*) AS n FROM documents d JOIN (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(_TAGS.values()))}) v(i, told) ON v.i = d.doc_id % 11 GROUP BY 1, 2
 """)
 def language_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array(*[F.lit(t) for t in _TAGS])
     slot = F.col("doc_id") % 11
     rows = read(spark, sf_dir, "documents").select(slot.alias("slot"), F.element_at(tags, (slot + 1).cast("int")).alias("tag"))
-    told = F.split(L.tag_problem(F.col("tag")), ":")[0]
+    told = F.split(L.tag_problem(F.col("tag"), L.codes(spark)), ":")[0]
     return rows.groupBy("slot", told.alias("told")).agg(F.count("*").alias("n"))
 
 
