@@ -238,7 +238,11 @@ def external_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> Audit:
-    pages = written(raw_pages(read(spark, sf_dir, "pages")), "pages")
+    rows = read(spark, sf_dir, "pages")
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # parsing costs far more than dealing pages out
+        rows = rows.repartition(cores)
+    pages = written(raw_pages(rows), "pages")
     sites = spark.createDataFrame(
         [("crawl", "https://tionsh.example.net", ["hierarchical", "bulk-publishing"], "User-agent: *\nDisallow: /en/\nAllow: /en/1\n")], "crawl_id string, origin string, flags array<string>, robots_txt string"
     )
