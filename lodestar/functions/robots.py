@@ -82,6 +82,12 @@ def parse(text: str) -> Robots:
     return out
 
 
+def effective(status: Column, text: Column) -> Column:
+    """The robots.txt that holds: a server error shuts everyone out, any other answer
+    without a text, and none at all, lets everyone in (null)."""
+    return F.when((status >= 500) | (status == 429), F.lit("User-agent: *\nDisallow: /")).when(status.between(200, 299), text)
+
+
 def allowed(text: str | None, agent: str, url: str) -> bool:
     """``text`` None: there is no robots.txt, and all is allowed."""
     return text is None or parse(text).allows(agent, url)

@@ -6,6 +6,7 @@ can say about a normalised URL (host, path, segments) is in ``columns``.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -133,6 +134,7 @@ def parse(text: str | None, base: Url | None = None) -> Url | None:
     return replace(base, path=_segments(quote(whole, safe=_IN_PATH)), query=search, fragment=hash_)
 
 
+@functools.lru_cache(maxsize=1 << 15)
 def normalize(text: str | None) -> str | None:
     """An http(s) URL without fragment and tracking keys; else None."""
     url = parse(text)
@@ -148,6 +150,7 @@ def normalize(text: str | None) -> str | None:
     return str(replace(url, query=query, fragment=None))
 
 
+@functools.lru_cache(maxsize=1 << 15)
 def resolve(href: str | None, base: str | None) -> str | None:
     """Where a link leads; None for none, an empty one or a mere fragment."""
     link = (href or "").strip()

@@ -105,3 +105,43 @@ def violations(states: DataFrame, observations: DataFrame, pages: DataFrame) ->
     for rule in rules[1:]:
         out = out.union(rule)
     return out
+
+
+def joined_checks(checks: DataFrame, states: DataFrame) -> DataFrame:
+    """The catalogue with the state of each check; one without a state is not started."""
+    out = checks.withColumnRenamed("id", "check_id").join(states.drop("phase", "launch_gate", "automation"), "check_id", "left")
+    return out.withColumn("status", F.coalesce("status", F.lit("not-started"))).withColumn("applicability", F.coalesce("applicability", F.when(F.col("universal"), "yes").otherwise("review")))
+
+
+def tiles(joined: DataFrame) -> DataFrame:
+    """Counts by status over checks in scope, and checks whose scope is open."""
+    on = F.col("applicability") == "yes"
+    names = ("passed", "failed", "in-progress", "not-started", "skipped")
+    return joined.agg(F.count_if(on).alias("active"), *[F.count_if(on & (F.col("status") == s)).alias(s.replace("-", "_")) for s in names], F.count_if(F.col("applicability") == "review").alias("review"))
+
+
+def check_table(joined: DataFrame, search: str | None = None, gates_only: bool = False, **equal: str | int) -> DataFrame:
+    """Checks that fit all filters: equal columns, gates, a text in id or title."""
+    out = joined.where("launch_gate") if gates_only else joined
+    for column, value in equal.items():
+        out = out.where(F.col(column) == F.lit(value))
+    if search:
+        needle = F.lit(search.lower())
+        out = out.where(F.contains(F.lower("title"), needle) | (F.col("check_id") == search))
+    return out
+
+
+def best_sources(checks: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFrame:
+    """(check_id, source_id, overlap): for each topic that a check names, the source whose
+    topic shares most of its words, if that is at least ``least`` of them.
+
+    ``checks``: check_id, topic; ``sources``: source_id, topic.  Topics meet on words."""
+
+    def words(rows: DataFrame, key: str) -> DataFrame:
+        tokens = F.array_distinct(F.regexp_extract_all(F.lower("topic"), F.lit(r"([\p{L}\p{N}]+)"), 1))
+        return rows.select(key, "topic", tokens.alias("tokens")).withColumn("n", F.size("tokens")).select(key, "topic", "n", F.explode("tokens").alias("word"))
+
+    a, b = words(checks, "check_id"), words(sources, "source_id").select("source_id", F.col("n").alias("m"), "word")
+    shared = a.join(b, "word").groupBy("check_id", "topic", "source_id").agg((F.count("*") / F.first("n")).alias("overlap"), F.first("m").alias("m"))
+    best = shared.where(F.col("overlap") >= least).groupBy("check_id", "topic").agg(F.max_by(F.struct("source_id", "overlap"), F.struct(F.col("overlap"), -F.col("m"), F.col("source_id"))).alias("b"))
+    return best.select("check_id", "topic", "b.source_id", "b.overlap")

@@ -243,3 +243,58 @@ SELECT k.c::VARCHAR AS crawl_id, CASE WHEN NOT known THEN 'not-applicable' WHEN
 def after_template_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AFTER["conditional-template-monitor"](*_two_audits(spark, sf_dir)).select("crawl_id", "outcome")
 
+
+
+# ---- scalars and the queue
+
+
+@query("""
+SELECT count(*) FILTER (WHERE lane = 'a.com') AS plain, count(*) FILTER (WHERE lane = 'a.com:8443') AS ported, sum(wait)::BIGINT AS waits, max(ref) AS ref
+FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'a.com' WHEN 1 THEN 'a.com:8443' WHEN 2 THEN 'a.com' ELSE 'b.org' END AS lane, least(30000 * 4 ** (o_orderkey % 5), 600000) AS wait, 'audit:' || o_orderkey || '#1.1' AS ref FROM orders)
+""")
+def scalar_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.functions import scalars as S
+
+    key = F.col("o_orderkey")
+    url = F.when(key % 4 == 0, "https://www.a.com:443/x").when(key % 4 == 1, "https://A.com:8443/").when(key % 4 == 2, "http://u@a.com/y").otherwise("http://b.org")
+    rows = read(spark, sf_dir, "orders").select(S.audit_lane(url).alias("lane"), S.backoff_ms(key % 5 + 1).alias("wait"), S.evidence_reference(key.cast("string"), F.lit("1.1")).alias("ref"))
+    return rows.agg(F.count_if(F.col("lane") == "a.com").alias("plain"), F.count_if(F.col("lane") == "a.com:8443").alias("ported"), F.sum("wait").alias("waits"), F.max("ref").alias("ref"))
+
+
+@query("""
+SELECT doc_id, length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS units, length(CASE WHEN length(text) > 500 THEN text[:500] || '…' ELSE text END) AS kept FROM documents
+""")
+def scalar_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.functions import scalars as S
+
+    return read(spark, sf_dir, "documents").select("doc_id", S.utf16_length(F.col("text")).alias("units"), F.length(S.bounded(F.col("text"))).cast("long").alias("kept"))
+
+
+@query("""
+SELECT CASE p_partkey % 3 WHEN 0 THEN 'lcp' WHEN 1 THEN 'inp' ELSE 'cls' END AS metric,
+       CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_retailprice * 3 <= 2500 THEN 'good' WHEN p_retailprice * 3 <= 4000 THEN 'needs-improvement' ELSE 'poor' END
+            WHEN 1 THEN CASE WHEN p_retailprice / 5 <= 200 THEN 'good' WHEN p_retailprice / 5 <= 500 THEN 'needs-improvement' ELSE 'poor' END
+            ELSE CASE WHEN p_size / 100.0 <= 0.1 THEN 'good' WHEN p_size / 100.0 <= 0.25 THEN 'needs-improvement' ELSE 'poor' END END AS grade, count(*) AS n FROM part GROUP BY 1, 2
+""")
+def scalar_field_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.functions import scalars as S
+
+    kind = F.col("p_partkey") % 3
+    metric = F.when(kind == 0, "lcp").when(kind == 1, "inp").otherwise("cls")
+    value = F.when(kind == 0, F.col("p_retailprice") * 3).when(kind == 1, F.col("p_retailprice") / 5).otherwise(F.col("p_size") / 100)
+    return read(spark, sf_dir, "part").select(metric.alias("metric"), S.field_grade(metric, value).alias("grade")).groupBy("metric", "grade").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH j AS (SELECT o_orderkey AS job_id, o_custkey % 200 AS lane, o_totalprice AS priority, o_orderkey AS seq, CASE WHEN o_orderkey % 997 = 0 THEN 'running' ELSE 'queued' END AS state, o_orderdate <= TIMESTAMP '1999-01-01' AS due FROM orders),
+f AS (SELECT lane, arg_min(job_id, (-priority, seq)) AS job_id, max(priority) AS priority FROM j WHERE state = 'queued' AND due AND lane NOT IN (SELECT lane FROM j WHERE state = 'running') GROUP BY 1)
+SELECT job_id, lane FROM (SELECT *, row_number() OVER (ORDER BY priority DESC, job_id) AS turn FROM f) WHERE turn <= 40 - (SELECT count(*) FROM j WHERE state = 'running')
+""")
+def queue_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.plans.queue import next_jobs
+
+    jobs = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 200).alias("lane"), F.col("o_totalprice").alias("priority"), F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderkey") % 997 == 0, "running").otherwise("queued").alias("state"), F.col("o_orderdate").cast("timestamp").alias("due_at"), F.lit(True).alias("durable"),
+    )
+    return next_jobs(jobs, F.lit("1999-01-01 00:00:00").cast("timestamp"), 40).select("job_id", "lane")

@@ -161,3 +161,18 @@ def test_gate_history(spark, checks):
     before = spark.createDataFrame([("s", "1.1", "passed"), ("s", "2.1", "passed")], "crawl_id string, check_id string, status string")
     r = grading.gate_history(checks, before, graded, before.where(F.lit(False)).select("crawl_id", "check_id")).first()
     assert (r.passed_before, r.failing_now, r.reopened) == (["1.1"], ["1.1"], [])
+
+
+def test_check_table(spark, checks):
+    known = states(spark, [{"check_id": "1.1", "status": "passed"}, {"check_id": "1.5", "applicability": "no", "applicability_rationale": "x", "status": "not-started"}]).drop("crawl_id")
+    joined = compare.joined_checks(checks, known)
+    t = compare.tiles(joined).first()
+    assert (t.active, t.passed, t.not_started, t.review) == (6, 1, 5, 0)
+    assert {r.check_id for r in compare.check_table(joined, gates_only=True, automation="automated", status="not-started").collect()} == {"1.4", "1.5", "5.1"}
+    assert [r.check_id for r in compare.check_table(joined, search="2.1").collect()] == ["2.1"]
+
+
+def test_best_sources(spark):
+    topics = spark.createDataFrame([("1", "Robots meta tag"), ("2", "Nothing alike here")], "check_id string, topic string")
+    sources = spark.createDataFrame([("a", "The robots meta tag"), ("b", "robots.txt"), ("c", "meta")], "source_id string, topic string")
+    assert [(r.check_id, r.source_id, r.overlap) for r in compare.best_sources(topics, sources).collect()] == [("1", "a", 1.0)]
