@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.recompression import anchors
 from lodestar.llm.store import kept
 from lodestar.llm.streams import by_key, lean, narrow, pack, parts, unpack
-from lodestar.llm.textbytes import NON_SPACE, Texts, byte_sums, chunks, run_hash, sequence_sums, span_hash, split, texts_of
+from lodestar.llm.textbytes import NON_SPACE, Texts, chunks, hash_words, run_hash, sequence_sums, split, text_hashes, texts_of
 
 WIDTH = 20
 BUCKETS = 1024  # at least; more where the session has many shuffle partitions
@@ -36,14 +36,15 @@ _NO_ID = (1 << 63) - 1
 _ANCHOR = (6, 8, 4, 4, 1)  # bytes: name, doc_id, text key, start, windows
 _REMOVED = (8, 4, 4, 1)
 _FLUSH = 1 << 18
+SEGMENT = 1 << 19  # words of one text that are looked at together
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _text_keys(texts: Texts, sums: np.ndarray) -> np.ndarray:
-    return span_hash(sums, texts.offsets[:-1], texts.offsets[1:]) & np.uint64(0xFFFFFFFF)
+def _text_keys(texts: Texts) -> np.ndarray:
+    return text_hashes(texts) & np.uint64(0xFFFFFFFF)
 
 
 def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,24 +60,29 @@ def _windows_by_anchor(width: int, buckets: int) -> Callable[[Iterator[pa.Record
         for batch in batches:
             ids = _ids(batch.column(0))
             for at, texts in chunks(texts_of(batch.column(1))):
-                yield from chunk(ids[at : at + len(texts)], texts)
-
-    def chunk(ids: np.ndarray, texts: Texts) -> Iterator[pa.RecordBatch]:
-        sums = byte_sums(texts)
-        keys = _text_keys(texts, sums)
-        words = split(texts, NON_SPACE)
-        hashes = span_hash(sums, words.starts, words.ends)
-        starts, names, places = anchors(hashes, words.first, width)
+                words = split(texts, NON_SPACE)
+                keys, hashes = _text_keys(texts), hash_words(texts, words)
+                own = ids[at : at + len(texts)]
+                if len(texts) > 1 or len(hashes) <= SEGMENT:
+                    yield from chunk(own, keys, hashes, words.first, 0)
+                    continue
+                # windows are what their words are: a long text is taken in segments
+                for low in range(0, len(hashes), SEGMENT):
+                    part = hashes[low : low + SEGMENT + width - 1]
+                    yield from chunk(own, keys, part, np.array([0, len(part)]), low)
+
+    def chunk(ids: np.ndarray, keys: np.ndarray, hashes: np.ndarray, first: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
+        starts, names, places = anchors(hashes, first, width)
         if not len(starts):
             return
-        doc = np.searchsorted(words.first, starts, side="right") - 1
+        doc = np.searchsorted(first, starts, side="right") - 1
         prints = run_hash(sequence_sums(hashes), starts, width)
         ranked = np.lexsort((keys, ids))
         changed = np.ones(len(ids), dtype=bool)
         changed[1:] = (ids[ranked][1:] != ids[ranked][:-1]) | (keys[ranked][1:] != keys[ranked][:-1])
         rank = np.empty(len(ids), dtype=np.int64)
         rank[ranked] = np.cumsum(changed) - 1
-        begin = starts - words.first[doc]
+        begin = starts - first[doc] + base
         when = (rank[doc] << 32) | begin
         order = np.lexsort((when, prints)) if (np.diff(rank) < 0).any() else np.argsort(prints, kind="stable")
         fresh = np.ones(len(order), dtype=bool)
@@ -215,7 +221,7 @@ def _documents(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             column = texts_of(batch.column(2))
             keys, texts = [], []
             for _, part in chunks(column):
-                keys.append(_text_keys(part, byte_sums(part)))
+                keys.append(_text_keys(part))
                 texts += [squeeze.compress(part.text(i)) for i in range(len(part))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -231,6 +237,22 @@ def _documents(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
+def _left(text: bytes, gone: list[tuple[int, int]] | None, width: int) -> tuple[int, int, bytes]:
+    """Words, words removed, and the kept words joined by one space."""
+    if not gone:
+        words = text.split()
+        return len(words), 0, b" ".join(words)
+    words = split(texts_of(pa.array([text], pa.large_binary())), NON_SPACE)
+    total = len(words.starts)
+    steps = np.zeros(total + 1, dtype=np.int64)
+    spans = np.array(gone)
+    np.add.at(steps, spans[:, 0], 1)
+    np.add.at(steps, spans[:, 0] + spans[:, 1] - 1 + width, -1)
+    stays = np.flatnonzero(np.cumsum(steps[:-1]) == 0)
+    kept = [text[a:b] for a, b in zip(words.starts[stays].tolist(), words.ends[stays].tolist(), strict=True)]
+    return total, total - len(kept), b" ".join(kept)
+
+
 def _cut(width: int, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents and their removed windows, sorted by bucket, in; results out."""
 
@@ -247,19 +269,7 @@ def _cut(width: int, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             out: list[tuple] = []
             for packed, i, k in zip(docs.column("packed").to_pylist(), docs.column("id").to_pylist(), docs.column("key").to_pylist(), strict=True):
                 text = expand.decompress(packed)
-                words = text.split()
-                removed = 0
-                if gone := windows.get((i, k)):
-                    steps = np.zeros(len(words) + 1, dtype=np.int64)
-                    spans = np.array(gone)
-                    np.add.at(steps, spans[:, 0], 1)
-                    np.add.at(steps, spans[:, 0] + spans[:, 1] - 1 + width, -1)
-                    stays = np.cumsum(steps[:-1]) == 0
-                    removed = len(words) - int(stays.sum())
-                    total, words = len(words), [w for w, s in zip(words, stays.tolist(), strict=True) if s]
-                else:
-                    total = len(words)
-                joined = b" ".join(words)
+                total, removed, joined = _left(text, windows.get((i, k)), width)
                 out.append((total, removed, hashlib.sha256(joined).hexdigest(), (joined if removed else text) if with_text else None))
             if out:
                 total, removed, sha, text = zip(*out, strict=True)

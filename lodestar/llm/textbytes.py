@@ -155,7 +155,34 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def hash_words(texts: Texts, words: Words) -> np.ndarray:
-    return span_hash(byte_sums(texts), words.starts, words.ends)
+    """The words' hashes; a very long text is gone through in segments, so that no
+    array of eight bytes per byte has to be made of it."""
+    if len(texts.data) <= 4 * CHUNK_BYTES:
+        return span_hash(byte_sums(texts), words.starts, words.ends)
+    out = np.empty(len(words.starts), dtype=np.uint64)
+    at = 0
+    while at < len(out):
+        base = words.starts[at]
+        to = max(at + 1, int(np.searchsorted(words.ends, base + CHUNK_BYTES, side="right")))
+        part = Texts(texts.data[base : words.ends[to - 1]], np.array([0, words.ends[to - 1] - base]))
+        out[at:to] = span_hash(byte_sums(part), words.starts[at:to] - base, words.ends[at:to] - base)
+        at = to
+    return out
+
+
+def text_hashes(texts: Texts) -> np.ndarray:
+    """A hash of each whole text."""
+    if len(texts.data) <= 4 * CHUNK_BYTES:
+        return span_hash(byte_sums(texts), texts.offsets[:-1], texts.offsets[1:])
+    out = np.empty(len(texts), dtype=np.uint64)
+    for i, (low, high) in enumerate(zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True)):
+        total = 0
+        for at in range(low, high, CHUNK_BYTES):
+            part = texts.data[at : min(high, at + CHUNK_BYTES)]
+            inner = int((_BYTE_CODES[part] * powers(len(part), _BASE)).sum(dtype=np.uint64))
+            total = (total + inner * pow(_BASE, at - low, 1 << 64)) & (2**64 - 1)
+        out[i] = mix(np.array([(total + high - low) & (2**64 - 1)], dtype=np.uint64))[0]
+    return out
 
 
 def sequence_sums(hashes: np.ndarray) -> np.ndarray:

@@ -95,6 +95,33 @@ def test_windows_that_are_equal_have_equal_anchors(seed):
         assert name_of.setdefault(w, n) == n
 
 
+def test_long_texts_are_taken_in_segments(monkeypatch, docs):
+    from lodestar.llm import textbytes
+
+    texts = texts_of(pa.array([t for _, t in docs]))
+    words = split(texts, NON_SPACE)
+    hashes, whole = hash_words(texts, words), textbytes.text_hashes(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["id", "text"])
+
+    def windows():
+        rows = [r for b in op09_substrings._windows_by_anchor(20, 8)([batch]) for r in b.to_pylist()]
+        rows.sort(key=lambda r: r["bucket"])
+        sorted_batch = pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
+        gone = set()
+        for b in op09_substrings._repeated(8)([sorted_batch]):
+            for r in b.to_pylist():
+                ids, _, begin, n = op09_substrings.unpack(r["packed"], op09_substrings._REMOVED)[0]
+                gone |= {(int(i), int(s) + k) for i, s, m in zip(ids, begin, n, strict=True) for k in range(int(m))}
+        return gone
+
+    expected = windows()
+    monkeypatch.setattr(textbytes, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(op09_substrings, "SEGMENT", 64)
+    assert (hash_words(texts, words) == hashes).all() and (textbytes.text_hashes(texts) == whole).all()
+    monkeypatch.setattr(op09_substrings, "chunks", lambda t: chunks(t, limit=1))
+    assert windows() == expected and expected
+
+
 def test_rows_of_one_id(spark):
     text = " ".join(f"a{i}" for i in range(30))
     rows = [(5, text), (5, text), (5, text + " more"), (None, text), (9, text)]
@@ -201,7 +228,7 @@ def test_decontamination(spark):
     rows += [(200, items[0][1]), (201, None), (202, "here is a three word item, and more"), (203, " ".join(items[3][1].split()[:-1]))]
     expected = set()
     for d, text in rows:
-        w = lower_words(text)
+        w = lower_words((text or "").lower())
         for item, said in items:
             own = lower_words(said)
             if not own or not w:
