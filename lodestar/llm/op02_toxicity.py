@@ -81,6 +81,11 @@ def _stems(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[t
         yield which, mix(span_hash(sums, starts[which], starts[which] + size) ^ np.uint64(size))
 
 
+def _within(places: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of the (sorted) places lie in each range."""
+    return np.searchsorted(places, ends) - np.searchsorted(places, starts)
+
+
 def features(texts: Texts, learned: Lexicon) -> np.ndarray:
     """One row of dense features per text."""
     n = len(texts)
@@ -116,27 +121,26 @@ def features(texts: Texts, learned: Lexicon) -> np.ndarray:
 
     # the same words once marks are read as the letters that they look like
     alike = Texts(_LOOKS_LIKE[lower.data], texts.offsets)
-    changed = np.concatenate([[0], np.cumsum(alike.data != lower.data)])
+    changed = np.flatnonzero(alike.data != lower.data)
     seen = split(alike, LOWER_WORD)
-    odd = np.flatnonzero(changed[seen.ends] > changed[seen.starts])
+    marks = _within(changed, seen.starts, seen.ends)
+    odd = np.flatnonzero(marks)
     hidden = np.zeros(n)
     mixed = np.zeros(n)
     if len(odd):
         who = seen.owner()[odd]
-        letters = seen.ends[odd] - seen.starts[odd] - (changed[seen.ends[odd]] - changed[seen.starts[odd]])
+        letters = seen.ends[odd] - seen.starts[odd] - marks[odd]
         mixed = np.bincount(who, letters > 1, n)
         name = span_hash(byte_sums(alike), seen.starts[odd], seen.ends[odd])
         hidden = np.bincount(who, np.maximum(_FIXED.of(name) > 0, learned.of(name) > 0), n)
 
     raw = texts.data
-    where = np.repeat(np.arange(n), size)
 
     def rate(mask: np.ndarray) -> np.ndarray:
-        return np.bincount(where[mask], minlength=n) * per_byte
+        return np.diff(np.searchsorted(np.flatnonzero(mask), texts.offsets)) * per_byte
 
     capital = (raw >= 0x41) & (raw <= 0x5A)
-    shouted = np.concatenate([[0], np.cumsum(capital)])
-    loud = (shouted[words.ends] - shouted[words.starts] == words.ends - words.starts) & (words.ends - words.starts >= 3)
+    loud = (_within(np.flatnonzero(capital), words.starts, words.ends) == words.ends - words.starts) & (words.ends - words.starts >= 3)
     again = np.zeros(len(raw), dtype=bool)
     if len(raw) > 2:
         again[2:] = (lower.data[2:] == lower.data[1:-1]) & (lower.data[1:-1] == lower.data[:-2]) & LOWER_WORD[lower.data[2:]]
