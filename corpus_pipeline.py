@@ -33,9 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = kept(near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("stays")).distinct(), "first-of-class")
+    first = kept(near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct(), "first-of-class")
     # the same join at any size: texts are dealt by doc_id
-    stay = docs.join(first.hint("merge"), F.col("doc_id") == F.col("stays"), "left_semi")
+    stay = docs.join(first.hint("merge"), "doc_id", "left_semi")
     rest = [F.col(c) for c in _columns(docs)]
     one = stay.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct(*rest)).alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
