@@ -282,8 +282,9 @@ def test_pipeline(spark, tmp_path, empty):
     texts += [(None, None), (4000, ""), (4001, None)]
     if empty:
         texts = []
-    rows = [(i, t, "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in texts]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), "r", 1, 0.5, 1, 2, "k") for i, t in texts]
+    clashing = "row string, id long, score double, predicted int, class_id long, key string"
+    spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {clashing}").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([] if empty else labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([] if empty else [(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
