@@ -166,7 +166,7 @@ SELECT host, pages, dense_rank() OVER (ORDER BY pages DESC) AS rank FROM (SELECT
 def host_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = read(spark, sf_dir, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
     ranks = counts.select("pages").distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("pages"))))
-    return counts.join(ranks, "pages").select("host", "pages", "rank")
+    return counts.join(ranks, "pages").select("host", "pages", F.col("rank").cast("long").alias("rank"))
 
 
 @query(r"""
@@ -231,7 +231,7 @@ SELECT crawl_id, host, target, rn AS turn FROM (
 """)
 def external_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([a-z]+)", 1).alias("crawl_id"), U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("target"))
-    return store.sampled_external(links)
+    return store.sampled_external(links).withColumn("turn", F.col("turn").cast("long"))
 
 
 # ---- detectors over extracted pages
