@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.recompression import anchors
-from lodestar.llm.store import kept
+from lodestar.llm.store import drop_shuffles, kept
 from lodestar.llm.streams import by_key, lean, narrow, pack, parts, unpack
 from lodestar.llm.textbytes import NON_SPACE, Texts, chunks, hash_words, run_hash, sequence_sums, split, text_hashes, texts_of
 
@@ -302,6 +302,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         windows.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(lean(_repeated(buckets)), "bucket int, packed binary"),
         "substrings-removed",
     )
+    del windows
+    drop_shuffles(spark)  # the windows' files, before the texts' come
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = rows.schema["row"].dataType.simpleString()
