@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
 import tempfile
 import uuid
 
@@ -29,13 +28,6 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no living DataFrame needs: its cleaner acts
-    when the driver's garbage is collected, which may otherwise take very long."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def release(*frames: DataFrame) -> None:
     """Deletes tables that ``kept`` wrote and nobody reads any more."""
     for df in frames:
