@@ -2,8 +2,8 @@
 
 A window of a document can only be similar to an item if they share a shingle.
 Documents' shingles (five lower-cased words) are therefore first met with the
-items' own; a shared one lays the item over the document, and the words under it
-are a window of the item's size.  Distinct windows are fingerprinted by SimHash;
+items' own; every window of the item's size that holds a shared one is looked at,
+wherever the item's words stand in it.  Distinct windows are fingerprinted by SimHash;
 64 bits are cut into ``RADIUS`` + 1 blocks, so that any window and item of one
 size within ``RADIUS`` bits agree on a block: joining on size, block and value
 finds all of them.  Those are compared exactly: the weighted Jaccard similarity of
@@ -11,15 +11,15 @@ their shingles (weight: how often one stands) has to reach the threshold.
 
 Nulls, ties and odd rows: null texts have no words; an item of fewer than five
 words has one shingle of all its words, and is met with windows of as many; an
-item without words meets nothing.  A window that would leave the document ends
-where it ends.  Rows of one doc_id (or item_id) are one, with the best of their
+item without words meets nothing.  A window that would leave the document begins
+or ends where it does.  Rows of one doc_id (or item_id) are one, with the best of their
 windows; of equally similar ones, the first.  Extra columns are not looked at.
 Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.store import kept
@@ -81,22 +81,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     # at most five widths: that of all items but those of fewer words
     for (width,) in items.select("width").distinct().orderBy("width").collect():
         mine = items.where(F.col("width") == width)
-        own = mine.select("n", F.posexplode(shingles(F.col("words"), width)).alias("item_at", "shingle")).distinct()
+        own = mine.select("n", F.explode(shingles(F.col("words"), width)).alias("shingle")).distinct()
         if own.count() <= MOST_BROADCAST:
             own = F.broadcast(own)
         texts = docs.select("doc_id", words(F.col("text")).alias("words"))
         there = texts.select("doc_id", "words", F.posexplode(shingles(F.col("words"), width)).alias("at", "shingle"))
-        start = F.greatest(F.col("at") - F.col("item_at"), F.lit(0))
-        size = F.col("n") + F.least(F.col("at") - F.col("item_at"), F.lit(0))
-        hits = there.join(own, "shingle").select("doc_id", start.alias("first_word"), "n", F.lit(width).alias("width"), F.slice("words", start + 1, size).alias("window"))
+        # the words of all windows of n words that hold this shingle
+        reach = F.col("n") - width
+        left = F.greatest(F.col("at") - reach, F.lit(0))
+        near = F.slice("words", left + 1, F.col("at") + F.col("n") - left)
+        hits = there.join(own, "shingle").select("doc_id", "n", "at", reach.alias("reach"), F.lit(width).alias("width"), left.alias("left"), near.alias("near"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "item_id long, first_word int, n_words int, hamming int, similarity double").join(
             docs.select("doc_id").limit(0)
         ).select("doc_id", "item_id", "first_word", "n_words", "hamming", "similarity")
 
-    print_ = F.struct(F.col("n"), F.xxhash64("window").alias("a"), F.xxhash64(F.lit(1), F.col("window")).alias("b"))
-    windows = kept(found.withColumn("content", print_).dropDuplicates(["doc_id", "first_word", "n"]), "windows")
+    # every start once: those up to the shared shingle before have been taken with it
+    before = F.lag("at").over(Window.partitionBy("doc_id", "n").orderBy("at"))
+    least = F.col("at") - F.col("reach")
+    some = found.withColumn("before", before).where("before is null or before < at")
+    each = some.withColumn("start", F.explode(F.sequence(F.greatest(least, F.coalesce(F.col("before") + 1, least)), F.col("at"))))
+    first = F.greatest(F.col("start"), F.lit(0))
+    under = F.slice("near", first - F.col("left") + 1, F.col("start") + F.col("n") - first)
+    content = F.struct(F.col("n"), F.xxhash64("window").alias("a"), F.xxhash64(F.lit(1), F.col("window")).alias("b"))
+    windows = kept(each.select("doc_id", "n", "width", first.alias("first_word"), under.alias("window")).withColumn("content", content).drop("n"), "windows")
     distinct = windows.groupBy("content").agg(F.any_value("window").alias("window"), F.any_value("width").alias("width"))
 
     def shingled(df: DataFrame, column: str) -> DataFrame:

@@ -247,6 +247,40 @@ def test_decontamination(spark):
     assert (first.first_word, first.n_words, first.similarity) == (40, len(items[0][1].split()), 1.0)
 
 
+def _best_windows(rows, items):
+    """The greatest similarity of any window, cut at either end of a text or not, of every row and item."""
+    best = {}
+    for d, text in rows:
+        w = lower_words(text)
+        for item, said in items:
+            own = lower_words(said)
+            width, a = min(5, len(own)), shingles(said)
+            windows = (w[max(start, 0) : start + len(own)] for start in range(-len(own) + 1, len(w)))
+            sims = [jaccard(a, shingles(" ".join(x), width)) for x in windows if len(x) >= width]
+            best[d, item] = max([best.get((d, item), 0.0), *sims])
+    return {k: v for k, v in best.items() if v >= 0.8}
+
+
+def test_decontamination_of_inserted_and_deleted_words(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(n))) for i, n in enumerate([78, 80, 84, 90, 60, 61])]
+    rows = []
+    for i, said in items:
+        for change in range(4):
+            mine = said.split()
+            mine[1] = mine[-2] = "changed"
+            middle = len(mine) // 2
+            if change % 2:
+                del mine[middle : middle + 2 + change]
+            else:
+                mine[middle:middle] = words(rng, 4 - change)
+            rows.append((10 * i + change, " ".join(words(rng, 20 * (change < 2)) + mine + words(rng, 30))))
+    expected = _best_windows(rows, items)
+    assert (0, 0) in expected and len(expected) >= 8
+    out = op10_decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in out} == expected
+
+
 @pytest.mark.parametrize("operator", ["licences", "near", "substrings", "leaks", "leaks-none"])
 def test_empty_tables(spark, operator):
     none = frame(spark, []) if operator != "leaks-none" else frame(spark, [(1, "a b c d e f")])
