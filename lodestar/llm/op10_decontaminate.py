@@ -84,13 +84,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         own = mine.select("n", F.explode(shingles(F.col("words"), width)).alias("shingle")).distinct()
         if own.count() <= MOST_BROADCAST:
             own = F.broadcast(own)
-        texts = docs.select("doc_id", words(F.col("text")).alias("words"))
-        there = texts.select("doc_id", "words", F.posexplode(shingles(F.col("words"), width)).alias("at", "shingle"))
+        # rows that share a doc_id, or have none, are told apart by their texts
+        texts = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), words(F.col("text")).alias("words"))
+        there = texts.select("doc_id", "a", "b", "words", F.posexplode(shingles(F.col("words"), width)).alias("at", "shingle"))
         # the words of all windows of n words that hold this shingle
         reach = F.col("n") - width
         left = F.greatest(F.col("at") - reach, F.lit(0))
         near = F.slice("words", left + 1, F.col("at") + F.col("n") - left)
-        hits = there.join(own, "shingle").select("doc_id", "n", "at", reach.alias("reach"), F.lit(width).alias("width"), left.alias("left"), near.alias("near"))
+        hits = there.join(own, "shingle").select("doc_id", "a", "b", "n", "at", reach.alias("reach"), F.lit(width).alias("width"), left.alias("left"), near.alias("near"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "item_id long, first_word int, n_words int, hamming int, similarity double").join(
@@ -98,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         ).select("doc_id", "item_id", "first_word", "n_words", "hamming", "similarity")
 
     # every start once: those up to the shared shingle before have been taken with it
-    before = F.lag("at").over(Window.partitionBy("doc_id", "n").orderBy("at"))
+    before = F.lag("at").over(Window.partitionBy("doc_id", "a", "b", "n").orderBy("at"))
     least = F.col("at") - F.col("reach")
     some = found.withColumn("before", before).where("before is null or before < at")
     each = some.withColumn("start", F.explode(F.sequence(F.greatest(least, F.coalesce(F.col("before") + 1, least)), F.col("at"))))

@@ -281,6 +281,22 @@ def test_decontamination_of_inserted_and_deleted_words(spark):
     assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in out} == expected
 
 
+def test_decontamination_keeps_windows_that_differ(spark):
+    rng = random.Random(12)
+    items, rows = [], []
+    for k in range(12):  # templated: the beginning of one item stands later in another of equal length
+        said = [f"t{k}x{i}" for i in range(20)]
+        items += [(2 * k, " ".join(said)), (2 * k + 1, " ".join([f"u{k}x{i}" for i in range(10)] + said[:10]))]
+        rows.append((k, " ".join(said + words(rng, 20))))
+        leak, clean = " ".join(said + words(rng, 5)), " ".join(said[:6] + words(rng, 30))
+        some = [leak, clean] if k % 2 else [clean, leak]
+        rows += [(100 + k, t) for t in some] + [(None, t) for t in some]
+    expected = _best_windows(rows, items)
+    assert len([k for k in expected if k[0] is None]) == 12 and len(expected) == 36
+    out = op10_decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in out} == expected
+
+
 @pytest.mark.parametrize("operator", ["licences", "near", "substrings", "leaks", "leaks-none"])
 def test_empty_tables(spark, operator):
     none = frame(spark, []) if operator != "leaks-none" else frame(spark, [(1, "a b c d e f")])
