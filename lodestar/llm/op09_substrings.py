@@ -3,15 +3,23 @@
 Every window of ``width`` words is named by its anchor, the recompression symbol
 that any equal window shares (see ``recompression``).  Windows travel with their
 anchor's name: a name that stands once needs no further look, and windows under
-a repeated name are compared by fingerprint (48 bits of a hash of all words,
-beside 58 of the anchor's name).  What a chunk of texts repeats within itself is
-settled before the shuffle, so that a passage which a third of all texts hold
-reaches a task once per chunk and not once per text.
+a repeated name are proposed as equal by a fingerprint.  Words decide: each
+proposed window is compared, word by word, with the one before it of its
+fingerprint.  Equal windows always share name and fingerprint, so none is missed;
+windows that differ in spite of their fingerprints are looked at again under other
+hashes, until none is left undecided.
+
+What a chunk of texts repeats within itself is settled before the shuffle, and what
+was repeated in an earlier chunk of a task is proposed there, so that a passage which
+a third of all texts hold reaches a task about once per input task and not once per
+text.  Each window is compared with its predecessor only, so that no text is asked
+for its words more than twice per window.
 
 Nulls, ties and odd rows: a null text has no words.  Rows of one ``doc_id`` are
 ordered by a hash of their text, and rows alike in both are one document: each
-gets its result.  A null ``doc_id`` comes after all others.  Other columns are
-carried in the struct ``row`` and cannot clash.  An empty table gives no rows.
+gets its result.  A null ``doc_id`` comes after all others, ordered likewise.  Other
+columns are carried in the struct ``row`` and cannot clash.  A very long text is held
+whole in one task, its windows looked at in segments.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,18 +32,24 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lodestar.llm.recompression import anchors
 from lodestar.llm.store import kept
 from lodestar.llm.streams import by_key, lean, narrow, pack, parts, unpack
-from lodestar.llm.textbytes import NON_SPACE, Texts, chunks, hash_words, run_hash, sequence_sums, split, text_hashes, texts_of
+from lodestar.llm.textbytes import NON_SPACE, Texts, Words, chunks, hash_words, mix, run_hash, sequence_sums, split, text_hashes, texts_of
 
 WIDTH = 20
+PRINT_BITS = 48
 BUCKETS = 1024  # at least; more where the session has many shuffle partitions
 _NO_ID = (1 << 63) - 1
-_ANCHOR = (6, 8, 4, 4, 1)  # bytes: name, doc_id, text key, start, windows
-_REMOVED = (8, 4, 4, 1)
+_ANCHOR = (6, 8, 8, 4, 1)  # bytes: name, doc_id, text key, start, windows
+_REMOVED = (8, 8, 4, 4)  # doc_id, text key, start, windows
+_ASKED = (*_REMOVED, 8, 8, 4)  # and where the windows are said to stand before
+_SURE, _ASK, _OPEN = 0, 1, 2
 _FLUSH = 1 << 18
+_OUT_BYTES = 1 << 26
+_HOT = 1 << 17  # repeated windows that a task remembers between chunks
 SEGMENT = 1 << 19  # words of one text that are looked at together
 
 
@@ -43,8 +57,9 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _text_keys(texts: Texts) -> np.ndarray:
-    return text_hashes(texts) & np.uint64(0xFFFFFFFF)
+def _text_keys(texts: Texts, missing: np.ndarray) -> np.ndarray:
+    """What tells rows of one id apart; the top bit tells no id from the greatest."""
+    return (text_hashes(texts) >> np.uint64(1)) | (missing.astype(np.uint64) << np.uint64(63))
 
 
 def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,31 +67,96 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, np.diff(np.append(heads, len(breaks)))
 
 
-def _windows_by_anchor(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _word_hashes(texts: Texts, words: Words, turn: int) -> np.ndarray:
+    """The words' hashes; those of a later turn have nothing in common with the first's."""
+    if not turn:
+        return hash_words(texts, words)
+    key = turn.to_bytes(4, "little")
+    data = texts.data
+    some = (hashlib.blake2b(data[a:b].tobytes(), digest_size=8, key=key).digest() for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True))
+    return np.frombuffer(b"".join(some), np.uint64)
+
+
+def _prints(hashes: np.ndarray, starts: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Fingerprints of windows, of the bits that travel."""
+    return run_hash(sequence_sums(hashes), starts, width) & np.uint64((1 << bits) - 1)
+
+
+def _bucket(name: np.ndarray, buckets: int) -> np.ndarray:
+    return (name % np.uint64(buckets)).astype(np.int64)
+
+
+def _document_bucket(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
+    return _bucket(mix(ids.view(np.uint64) ^ mix(keys)) >> np.uint64(8), buckets)
+
+
+def _passage(text: bytes, words: Words, at: int, n: int) -> bytes:
+    """``n`` words of a text, joined by one space."""
+    return b" ".join(text[words.starts[at] : words.ends[at + n - 1]].split())
+
+
+def _earlier(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, ids2: np.ndarray, keys2: np.ndarray, starts2: np.ndarray) -> np.ndarray:
+    """Whether the first place is before the second."""
+    return (ids < ids2) | ((ids == ids2) & ((keys < keys2) | ((keys == keys2) & (starts < starts2))))
+
+
+class _Hot:
+    """Windows that chunks of a task repeated, with the first place of each.  Only
+    spares the shuffle: forgetting them changes no result."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.prints, self.names, self.keys = (np.empty(0, np.uint64) for _ in range(3))
+        self.ids, self.starts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, prints: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the windows are known, where)."""
+        if not len(self.prints):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
+        which = np.flatnonzero((self.prints[at] == prints) & (self.names[at] == names))
+        return which, at[which]
+
+    def add(self, prints: np.ndarray, names: np.ndarray, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> None:
+        if len(self.prints) + len(prints) > _HOT:
+            self.clear()
+        have = (self.prints, self.names, self.ids, self.keys, self.starts)
+        every = [np.concatenate(x) for x in zip(have, (prints, names, ids, keys, starts), strict=True)]
+        order = np.lexsort(every[::-1])
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = every[0][order][1:] != every[0][order][:-1]
+        self.prints, self.names, self.ids, self.keys, self.starts = (x[order[fresh]] for x in every)
+
+
+def _windows_by_anchor(width: int, buckets: int, turn: int = 0, bits: int = PRINT_BITS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents in; out come, for a bucket of anchor names, packed windows, and
-    with bucket -1 - x what chunks already know to be removed."""
+    with buckets below zero what chunks already know or propose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = _Hot()
         for batch in batches:
-            ids = _ids(batch.column(0))
+            ids, missing = _ids(batch.column(0)), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for at, texts in chunks(texts_of(batch.column(1))):
                 words = split(texts, NON_SPACE)
-                keys, hashes = _text_keys(texts), hash_words(texts, words)
+                keys, hashes = _text_keys(texts, missing[at : at + len(texts)]), _word_hashes(texts, words, turn)
                 own = ids[at : at + len(texts)]
+                data = texts.data.tobytes()
                 if len(texts) > 1 or len(hashes) <= SEGMENT:
-                    yield from chunk(own, keys, hashes, words.first, 0)
+                    yield from chunk(own, keys, hashes, words.first, 0, data, words, hot)
                     continue
                 # windows are what their words are: a long text is taken in segments
                 for low in range(0, len(hashes), SEGMENT):
                     part = hashes[low : low + SEGMENT + width - 1]
-                    yield from chunk(own, keys, part, np.array([0, len(part)]), low)
+                    yield from chunk(own, keys, part, np.array([0, len(part)]), low, data, words, hot)
 
-    def chunk(ids: np.ndarray, keys: np.ndarray, hashes: np.ndarray, first: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
+    def chunk(ids: np.ndarray, keys: np.ndarray, hashes: np.ndarray, first: np.ndarray, base: int, data: bytes, words: Words, hot: _Hot) -> Iterator[pa.RecordBatch]:
         starts, names, places = anchors(hashes, first, width)
         if not len(starts):
             return
         doc = np.searchsorted(first, starts, side="right") - 1
-        prints = run_hash(sequence_sums(hashes), starts, width)
+        prints = _prints(hashes, starts, width, bits)
         ranked = np.lexsort((keys, ids))
         changed = np.ones(len(ids), dtype=bool)
         changed[1:] = (ids[ranked][1:] != ids[ranked][:-1]) | (keys[ranked][1:] != keys[ranked][:-1])
@@ -86,88 +166,127 @@ def _windows_by_anchor(width: int, buckets: int) -> Callable[[Iterator[pa.Record
         when = (rank[doc] << 32) | begin
         order = np.lexsort((when, prints)) if (np.diff(rank) < 0).any() else np.argsort(prints, kind="stable")
         fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = prints[order][1:] != prints[order][:-1]
-        lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        gone = np.zeros(len(starts), dtype=bool)
-        gone[order] = when[lead] != when[order]
-        clone = np.zeros(len(starts), dtype=bool)  # of a repeated row: its twin speaks for it
-        clone[order] = ~fresh & (when[lead] == when[order])
-
-        ids64, out = ids.view(np.uint64), ([], [])
-        for which, packed in ((~gone & ~clone, False), (gone, True)):
-            sel = np.flatnonzero(which)
-            if not len(sel):
-                continue
+        fresh[1:] = (prints[order][1:] != prints[order][:-1]) | (names[order][1:] != names[order][:-1])
+        lead = np.empty(len(order), dtype=np.int64)
+        lead[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        gone = when[lead] != when
+        clone = (lead != np.arange(len(lead))) & ~gone  # of a repeated row: its twin speaks for it
+
+        out: tuple[list[int], list[bytes]] = ([], [])
+        ids64 = ids.view(np.uint64)
+
+        def say(kind: int, *columns: np.ndarray) -> None:
+            widths = _REMOVED if kind == _SURE else _ASKED
+            out[0].append(-1 - kind)
+            out[1].append(pack(*(narrow(c, w) for c, w in zip(columns, widths, strict=True))))
+
+        # what the chunk holds twice is compared here
+        sel = np.flatnonzero(gone)
+        if len(sel):
             breaks = np.ones(len(sel), dtype=bool)
-            breaks[1:] = (np.diff(sel) != 1) | (doc[sel][1:] != doc[sel][:-1])
-            if packed:
-                breaks |= np.arange(len(sel)) % 255 == 0  # a count has one byte
+            breaks[1:] = (np.diff(sel) != 1) | (doc[sel][1:] != doc[sel][:-1]) | (np.diff(lead[sel]) != 1) | (doc[lead[sel]][1:] != doc[lead[sel]][:-1])
+            heads, n = _runs(breaks)
+            g, was = sel[heads], lead[sel[heads]]
+            same = np.ones(len(g), dtype=bool)
+            for i, (a, b, count) in enumerate(zip((starts[g] + base).tolist(), (starts[was] + base).tolist(), (n + width - 1).tolist(), strict=True)):
+                x, y = data[words.starts[a] : words.ends[a + count - 1]], data[words.starts[b] : words.ends[b + count - 1]]
+                same[i] = x == y or x.split() == y.split()
+            s, o = np.flatnonzero(same), np.flatnonzero(~same)
+            if len(s):
+                say(_SURE, ids64[doc[g[s]]], keys[doc[g[s]]], begin[g[s]], n[s])
+            if len(o):
+                say(_ASK, ids64[doc[g[o]]], keys[doc[g[o]]], begin[g[o]], n[o], ids64[doc[was[o]]], keys[doc[was[o]]], begin[was[o]])
+        # what earlier chunks of the task repeated is proposed
+        rest = ~gone & ~clone
+        mine = np.flatnonzero(rest)
+        which, at = hot.find(prints[mine], names[mine])
+        if len(which):
+            w = mine[which]
+            later = _earlier(hot.ids[at], hot.keys[at], hot.starts[at], ids[doc[w]], keys[doc[w]], begin[w])
+            w, at = w[later], at[later]
+            if len(w):
+                breaks = np.ones(len(w), dtype=bool)
+                breaks[1:] = (
+                    (np.diff(w) != 1) | (doc[w][1:] != doc[w][:-1]) | (hot.ids[at][1:] != hot.ids[at][:-1]) | (hot.keys[at][1:] != hot.keys[at][:-1]) | (np.diff(hot.starts[at]) != 1)
+                )
                 heads, n = _runs(breaks)
-                g = sel[heads]
-                out[0].append(-1)
-                out[1].append(pack(narrow(ids64[doc[g]], 8), narrow(keys[doc[g]], 4), narrow(begin[g], 4), narrow(n, 1)))
-                continue
-            breaks[1:] |= (places[sel][1:] != places[sel][:-1]) | (names[sel][1:] != names[sel][:-1])
+                g, h = w[heads], at[heads]
+                say(_ASK, ids64[doc[g]], keys[doc[g]], begin[g], n, hot.ids[h].view(np.uint64), hot.keys[h], hot.starts[h])
+                rest[w] = False
+        twice = np.zeros(len(starts), dtype=bool)
+        twice[lead[gone]] = True
+        twice = np.flatnonzero(twice)
+        if len(twice):
+            hot.add(prints[twice], names[twice], ids[doc[twice]], keys[doc[twice]], begin[twice])
+
+        sel = np.flatnonzero(rest)
+        if len(sel):
+            breaks = np.ones(len(sel), dtype=bool)
+            breaks[1:] = (np.diff(sel) != 1) | (doc[sel][1:] != doc[sel][:-1]) | (places[sel][1:] != places[sel][:-1]) | (names[sel][1:] != names[sel][:-1])
             heads, n = _runs(breaks)
             g = sel[heads]
-            bucket = (names[g] >> np.uint64(48)) % np.uint64(buckets)
-            turn = np.argsort(bucket, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))])
-            flat = np.concatenate([[0], np.cumsum(n[turn])])
-            spread = np.repeat(heads[turn] - flat[:-1], n[turn]) + np.arange(flat[-1])
+            bucket = _bucket(names[g], buckets)
+            dealt = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[dealt])) + 1
+            edges = np.concatenate([[0], cuts, [len(dealt)]])
+            flat = np.concatenate([[0], np.cumsum(n[dealt])])
+            spread = np.repeat(heads[dealt] - flat[:-1], n[dealt]) + np.arange(flat[-1])
             marks = narrow(prints[sel][spread], 6)
-            g, n = g[turn], n[turn]
-            columns = [narrow(x, w) for x, w in zip((names[g], ids64[doc[g]], keys[doc[g]], begin[g], n), _ANCHOR, strict=True)]
-            for b in np.flatnonzero(np.diff(ends)):
-                lo, hi = ends[b], ends[b + 1]
-                out[0].append(int(b))
+            bucket, g, n = bucket[dealt], g[dealt], n[dealt]
+            columns = [narrow(x, w) for x, w in zip((names[g] >> np.uint64(16), ids64[doc[g]], keys[doc[g]], begin[g], n), _ANCHOR, strict=True)]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                out[0].append(int(bucket[lo]))
                 out[1].append(pack(*(c[lo:hi] for c in columns)) + pack(marks[flat[lo] : flat[hi]]))
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["bucket", "packed"])
 
     return run
 
 
-def _by_document(removed: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Removed windows, packed by the bucket of their document."""
-    ids, keys, begin, n = (np.concatenate(c) for c in zip(*removed, strict=True))
-    bucket = _document_bucket(ids.view(np.int64), buckets)
-    turn = np.argsort(bucket, kind="stable")
-    heads, sizes = _runs(np.concatenate([[True], np.diff(bucket[turn]) != 0]))
-    columns = [narrow(c[turn], w) for c, w in zip((ids, keys, begin, n), _REMOVED, strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(bucket[turn][heads].astype(np.int32)),
-            pa.array([pack(*(c[h : h + s] for c in columns)) for h, s in zip(heads, sizes, strict=True)], pa.binary()),
-        ],
-        names=["bucket", "packed"],
-    )
+_FOUND = "bucket int, kind int, packed binary"
 
 
-def _document_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+def _by_document(found: list[list[np.ndarray]], kind: int, buckets: int, side: int = 0) -> Iterator[pa.RecordBatch]:
+    """Removed, asked or open windows, packed by the bucket of their document; with
+    ``side`` 1, of the document that is asked for its words."""
+    if not found:
+        return
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    where = columns[4:6] if side else columns[:2]
+    bucket = _document_bucket(*where, buckets)
+    turn = np.argsort(bucket, kind="stable")
+    heads, sizes = _runs(np.concatenate([[True], np.diff(bucket[turn]) != 0]))
+    planes = [narrow(c[turn], w) for c, w in zip(columns, _ASKED, strict=False)]
+    packed = pa.array([pack(*(c[h : h + s] for c in planes)) for h, s in zip(heads, sizes, strict=True)], pa.binary())
+    kinds = pa.array(np.full(len(heads), kind + 10 * side, dtype=np.int32))
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[turn][heads].astype(np.int32)), kinds, packed], names=["bucket", "kind", "packed"])
 
 
 def _repeated(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Windows sorted by bucket in; out come those that also start earlier."""
+    """Windows sorted by bucket in; out come those known to start earlier too, and
+    those proposed, twice: for either document that has to show its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: tuple[list, list] = ([], [])
         size = 0
         for bucket, rows in by_key(batches, "bucket"):
             packed = rows.column("packed").to_pylist()
             if bucket < 0:
-                found = [unpack(p, _REMOVED)[0] for p in packed]
+                kind = -1 - bucket
+                found = [unpack(p, _ASKED if kind else _REMOVED)[0] for p in packed]
             else:
+                kind = _ASK
                 found = [x] if (x := later(packed)) else []
-            for x in found:
-                held.append(x)
-                size += len(x[0])
+            held[kind].extend(found)
+            size += sum(len(x[0]) for x in found)
             if size > _FLUSH:
-                yield _by_document(held, buckets)
-                held, size = [], 0
-        if held:
-            yield _by_document(held, buckets)
+                yield from flush(held)
+                held, size = ([], []), 0
+        yield from flush(held)
+
+    def flush(held: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        yield from _by_document(held[_SURE], _SURE, buckets)
+        yield from _by_document(held[_ASK], _ASK, buckets)
+        yield from _by_document(held[_ASK], _ASK, buckets, side=1)
 
     def later(packed: list[bytes]) -> list[np.ndarray] | None:
         groups, marks = [], []
@@ -192,46 +311,153 @@ def _repeated(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         w = mark[np.repeat(flat[g], count) + step]
         who = np.repeat(g, count)
         start = begin[who] + step.astype(np.uint64)
-        signed = ids.view(np.int64)[who]
-        order = np.lexsort((start, keys[who], signed, name[who], w))
-        fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = (w[order][1:] != w[order][:-1]) | (name[who][order][1:] != name[who][order][:-1])
-        lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        gone = np.zeros(len(w), dtype=bool)
-        gone[order] = (signed[lead] != signed[order]) | (keys[who][lead] != keys[who][order]) | (start[lead] != start[order])
-        sel = np.flatnonzero(gone)
-        if not len(sel):
+        signed, key, named = ids.view(np.int64)[who], keys[who], name[who]
+        order = np.lexsort((start, key, signed, named, w))
+        a, b = order[1:], order[:-1]  # a window, and the one before it of its fingerprint
+        follows = (w[a] == w[b]) & (named[a] == named[b])
+        elsewhere = (signed[a] != signed[b]) | (key[a] != key[b]) | (start[a] != start[b])
+        gone, was = a[follows & elsewhere], b[follows & elsewhere]
+        if not len(gone):
             return None
-        breaks = np.ones(len(sel), dtype=bool)
-        breaks[1:] = (np.diff(sel) != 1) | (who[sel][1:] != who[sel][:-1])
+        dealt = np.argsort(gone)
+        gone, was = gone[dealt], was[dealt]
+        breaks = np.ones(len(gone), dtype=bool)
+        breaks[1:] = (np.diff(gone) != 1) | (who[gone][1:] != who[gone][:-1]) | (signed[was][1:] != signed[was][:-1]) | (key[was][1:] != key[was][:-1])
+        breaks[1:] |= start[was][1:] != start[was][:-1] + np.uint64(1)
         heads, size = _runs(breaks)
-        at = sel[heads]
-        return [ids[who[at]], keys[who[at]], start[at], size.astype(np.uint64)]
+        at, by = gone[heads], was[heads]
+        return [ids[who[at]], key[at], start[at], size.astype(np.uint64), ids[who[by]], key[by], start[by]]
+
+    return run
+
+
+def _shown(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts and what is asked of them, sorted by bucket, in; out come the words of
+    proposed windows, dealt so that both sides of a proposal meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        held: list[tuple[int, int, list[np.ndarray], bytes, np.ndarray]] = []
+        size = 0
+        for _, rows in by_key(batches, "bucket"):
+            is_doc = rows.column("id").is_valid().to_numpy()
+            asked = rows.filter(pa.array(~is_doc))
+            if not asked.num_rows:
+                continue
+            by_side: dict[int, list] = {}
+            for kind, p in zip(asked.column("kind").to_pylist(), asked.column("packed").to_pylist(), strict=True):
+                by_side.setdefault(kind // 10, []).append(unpack(p, _ASKED)[0])
+            docs = rows.filter(pa.array(is_doc))
+            where = {pair: i for i, pair in enumerate(zip(docs.column("id").to_pylist(), docs.column("key").to_pylist(), strict=True))}
+            for side, found in by_side.items():
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                who, at = (columns[4:6], columns[6]) if side else (columns[:2], columns[2])
+                order = np.lexsort((at, who[1], who[0]))
+                fresh = np.ones(len(order), dtype=bool)
+                fresh[1:] = (who[0][order][1:] != who[0][order][:-1]) | (who[1][order][1:] != who[1][order][:-1])
+                heads, many = _runs(fresh)
+                for h, m in zip(heads.tolist(), many.tolist(), strict=True):
+                    mine = order[h : h + m]
+                    pair = int(who[0].view(np.int64)[mine[0]]), int(who[1].view(np.int64)[mine[0]])
+                    text = expand.decompress(docs.column("packed")[where[pair]].as_py())
+                    words = split(texts_of(pa.array([text], pa.large_binary())), NON_SPACE)
+                    said = [_passage(text, words, int(b), int(n) + width - 1) for b, n in zip(at[mine], columns[3][mine], strict=True)]
+                    q = _bucket(mix(columns[0][mine] ^ mix(columns[1][mine] ^ mix(columns[2][mine]))) >> np.uint64(8), buckets)
+                    turn = np.argsort(q, kind="stable")
+                    starts, counts = _runs(np.concatenate([[True], np.diff(q[turn]) != 0]))
+                    for s, c in zip(starts.tolist(), counts.tolist(), strict=True):
+                        some = turn[s : s + c]
+                        body = b"".join(said[i] for i in some)
+                        held.append((int(q[some[0]]), side, [x[mine[some]] for x in columns], squeeze.compress(body), np.array([len(said[i]) for i in some])))
+                        size += len(held[-1][3]) + 64 * c
+                    if size > _OUT_BYTES:
+                        yield batch(held)
+                        held, size = [], 0
+        if held:
+            yield batch(held)
+
+    def batch(held: list) -> pa.RecordBatch:
+        packed = [pack(*(narrow(c, w) for c, w in zip([*columns, sizes], (*_ASKED, 8), strict=True))) for _, _, columns, _, sizes in held]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([h[0] for h in held], pa.int32()), pa.array([h[1] for h in held], pa.int32()), pa.array(packed, pa.binary()), pa.array([h[3] for h in held], pa.binary())],
+            names=["bucket", "side", "packed", "said"],
+        )
+
+    return run
+
+
+def _compared(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Both sides' words, sorted by bucket, in; out come the windows that are the
+    same, and as open those that are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        sure: list[tuple] = []
+        open_: list[tuple] = []
+        for _, rows in by_key(batches, "bucket"):
+            waits: dict[tuple, tuple[int, bytes]] = {}
+            for side, p, said in zip(rows.column("side").to_pylist(), rows.column("packed").to_pylist(), rows.column("said").to_pylist(), strict=True):
+                columns = unpack(p, (*_ASKED, 8))[0]
+                ends = np.concatenate([[0], np.cumsum(columns[7].astype(np.int64))]).tolist()
+                body = expand.decompress(said)
+                for i, key in enumerate(zip(*(c.tolist() for c in columns[:7]), strict=True)):
+                    mine = body[ends[i] : ends[i + 1]]
+                    other = waits.get(key)
+                    if other is None or other[0] == side:
+                        waits[key] = side, mine
+                    elif other[1] == mine:
+                        sure.append(key[:4])
+                    else:
+                        x, y = mine.split(), other[1].split()
+                        for k in range(key[3]):
+                            (sure if x[k : k + width] == y[k : k + width] else open_).append((*key[:2], key[2] + k, 1))
+            if len(sure) + len(open_) > _FLUSH:
+                yield from flush(sure, open_)
+                sure, open_ = [], []
+        yield from flush(sure, open_)
+
+    def flush(sure: list[tuple], open_: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for found, kind in ((sure, _SURE), (open_, _OPEN)):
+            if found:
+                yield from _by_document([[np.array(c, dtype=np.uint64) for c in zip(*found, strict=True)]], kind, buckets)
 
     return run
 
 
-def _documents(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (row, doc_id, text) with their bucket and text key, texts compressed."""
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single windows of packed ones."""
+    for batch in batches:
+        for p in batch.column(0).to_pylist():
+            ids, keys, begin, n = unpack(p, _REMOVED)[0]
+            each = np.repeat(np.arange(len(n)), n.astype(np.int64))
+            step = np.arange(len(each)) - np.repeat(np.cumsum(n.astype(np.int64)) - n.astype(np.int64), n.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[each].view(np.int64)), pa.array(keys[each].view(np.int64)), pa.array(begin[each].astype(np.int64) + step)], names=["id", "key", "start"]
+            )
+
+
+def _documents(buckets: int, with_row: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, text[, row]) with their bucket and text key, texts compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in parts(batches, 2048):
-            ids = _ids(batch.column(1))
-            column = texts_of(batch.column(2))
+            ids, missing = _ids(batch.column(0)), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            column = texts_of(batch.column(1))
             keys, texts = [], []
-            for _, part in chunks(column):
-                keys.append(_text_keys(part))
+            for at, part in chunks(column):
+                keys.append(_text_keys(part, missing[at : at + len(part)]))
                 texts += [squeeze.compress(part.text(i)) for i in range(len(part))]
+            key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(_document_bucket(ids, buckets).astype(np.int32)),
+                    pa.array(_document_bucket(ids, key, buckets).astype(np.int32)),
                     pa.array(texts, pa.binary()),
-                    batch.column(0),
                     pa.array(ids),
-                    pa.array(np.concatenate(keys).astype(np.int64) if keys else [], pa.int64()),
+                    pa.array(key.view(np.int64)),
+                    *([batch.column(2)] if with_row else []),
                 ],
-                names=["bucket", "packed", "row", "id", "key"],
+                names=["bucket", "packed", "id", "key", *(["row"] if with_row else [])],
             )
 
     return run
@@ -263,52 +489,78 @@ def _cut(width: int, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             windows: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for p in rows.column("packed").filter(pa.array(~is_doc)).to_pylist():
                 ids, keys, begin, n = unpack(p, _REMOVED)[0]
-                for i, k, b, c in zip(ids.view(np.int64).tolist(), keys.tolist(), begin.tolist(), n.tolist(), strict=True):
+                for i, k, b, c in zip(ids.view(np.int64).tolist(), keys.view(np.int64).tolist(), begin.tolist(), n.tolist(), strict=True):
                     windows.setdefault((i, k), []).append((b, c))
             docs = rows.filter(pa.array(is_doc)).combine_chunks()
             out: list[tuple] = []
+            size = at = 0
             for packed, i, k in zip(docs.column("packed").to_pylist(), docs.column("id").to_pylist(), docs.column("key").to_pylist(), strict=True):
                 text = expand.decompress(packed)
                 total, removed, joined = _left(text, windows.get((i, k)), width)
                 out.append((total, removed, hashlib.sha256(joined).hexdigest(), (joined if removed else text) if with_text else None))
+                size += len(text) if with_text else 0
+                if size > _OUT_BYTES:  # a batch of strings holds 2 GB at most
+                    yield batch(docs.slice(at, len(out)), out)
+                    at, out, size = at + len(out), [], 0
             if out:
-                total, removed, sha, text = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        docs.column("row").chunk(0),
-                        pa.array(total, pa.int64()),
-                        pa.array(removed, pa.int64()),
-                        pa.array(sha, pa.string()),
-                        pa.array(text, pa.binary()).cast(pa.string()),
-                    ],
-                    names=["row", "n_words", "n_removed", "kept_sha256", "kept_text"],
-                )
+                yield batch(docs.slice(at, len(out)), out)
+
+    def batch(docs: pa.Table, out: list[tuple]) -> pa.RecordBatch:
+        total, removed, sha, text = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays(docs.column("row").chunks),
+                pa.array(total, pa.int64()),
+                pa.array(removed, pa.int64()),
+                pa.array(sha, pa.string()),
+                pa.array(text, pa.binary()).cast(pa.string()),
+            ],
+            names=["row", "n_words", "n_removed", "kept_sha256", "kept_text"],
+        )
 
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = True) -> DataFrame:
+def _removed(plain: DataFrame, width: int, buckets: int, turn: int, bits: int = PRINT_BITS) -> tuple[DataFrame, DataFrame]:
+    """(bucket, packed) of windows that are removed, and of those left open."""
+    windows = plain.mapInArrow(lean(_windows_by_anchor(width, buckets, turn, bits)), "bucket int, packed binary")
+    # chunks' own findings are dealt out at random, windows by their bucket
+    dealt = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket").cast("long"))
+    found = kept(windows.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(lean(_repeated(buckets)), _FOUND), "substrings-found")
+    texts = plain.mapInArrow(lean(_documents(buckets, with_row=False)), "bucket int, packed binary, id long, key long")
+    asked = found.where(F.col("kind") % 10 == _ASK)
+    both = texts.unionByName(asked, allowMissingColumns=True).select("bucket", "packed", "id", "key", "kind")
+    said = both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_shown(width, buckets)), "bucket int, side int, packed binary, said binary")
+    verified = kept(said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_compared(width, buckets)), _FOUND), "substrings-verified")
+    sure = found.where(F.col("kind") == _SURE).unionByName(verified.where(F.col("kind") == _SURE))
+    return sure.select("bucket", "packed"), verified.where(F.col("kind") == _OPEN).select("packed")
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = True, print_bits: int = PRINT_BITS) -> DataFrame:
     """One row per row of ``docs``: ``row`` (a struct of its columns but the text),
     n_words, n_removed, kept_sha256 (of the kept words joined by one space) and
     kept_text (the text as it was where nothing is removed, else the kept words
-    joined by one space; null without ``with_text``)."""
+    joined by one space; null without ``with_text``).  Fingerprints of fewer bits only
+    make more windows be looked at again."""
     spark = docs.sparkSession
     buckets = max(BUCKETS, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    windows = plain.mapInArrow(lean(_windows_by_anchor(width, buckets)), "bucket int, packed binary")
-    # chunks' own findings are dealt out at random, windows by their bucket
-    dealt = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket").cast("long"))
-    removed = kept(
-        windows.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(lean(_repeated(buckets)), "bucket int, packed binary"),
-        "substrings-removed",
-    )
+    removed, left = _removed(plain, width, buckets, 0, print_bits)
+    turn, window = 0, "id long, key long, start long"
+    if not left.isEmpty():
+        left = left.mapInArrow(_unpacked, window)
+        while not left.isEmpty():  # a window is open only if it is so under every turn's hashes
+            turn += 1
+            more, still = _removed(plain, width, buckets, turn)
+            removed = removed.unionByName(more)
+            left = kept(left.join(still.mapInArrow(_unpacked, window), ["id", "key", "start"], "left_semi"), "substrings-open")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*rest).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = rows.schema["row"].dataType.simpleString()
-    texts = rows.mapInArrow(lean(_documents(buckets)), f"bucket int, packed binary, row {schema}, id long, key long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*rest).alias("row"))
+    row = StructField("row", rows.schema["row"].dataType)
+    texts = rows.mapInArrow(lean(_documents(buckets, with_row=True)), StructType([*StructType.fromDDL("bucket int, packed binary, id long, key long"), row]))
     both = texts.unionByName(removed, allowMissingColumns=True)
     return (
         both.repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(lean(_cut(width, with_text)), f"row {schema}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        .mapInArrow(lean(_cut(width, with_text)), StructType([row, *StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string")]))
     )

@@ -110,7 +110,9 @@ def test_long_texts_are_taken_in_segments(monkeypatch, docs):
         gone = set()
         for b in op09_substrings._repeated(8)([sorted_batch]):
             for r in b.to_pylist():
-                ids, _, begin, n = op09_substrings.unpack(r["packed"], op09_substrings._REMOVED)[0]
+                if r["kind"] >= 10:
+                    continue
+                ids, _, begin, n = op09_substrings.unpack(r["packed"], op09_substrings._ASKED if r["kind"] else op09_substrings._REMOVED)[0][:4]
                 gone |= {(int(i), int(s) + k) for i, s, m in zip(ids, begin, n, strict=True) for k in range(int(m))}
         return gone
 
@@ -122,6 +124,49 @@ def test_long_texts_are_taken_in_segments(monkeypatch, docs):
     assert windows() == expected and expected
 
 
+@pytest.mark.parametrize("bits", [1, 6])
+def test_words_decide_where_fingerprints_collide(spark, docs, bits):
+    some = docs[:40]
+    out = op09_substrings.substring_dedup(frame(spark, some).repartition(6), print_bits=bits).collect()
+    assert {r.row.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == substring_dedup(some)
+
+
+def test_substrings_of_the_greatest_id_and_none(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(2**63 - 1, passage), (None, passage), (None, passage + " x"), (-(2**63), "a " + passage)]
+    out = op09_substrings.substring_dedup(frame(spark, rows)).collect()
+    got = sorted((r.row.doc_id if r.row.doc_id is not None else 2**64, r.n_words, r.n_removed) for r in out)
+    assert got == [(-(2**63), 26, 0), (2**63 - 1, 25, 25), (2**64, 25, 25), (2**64, 26, 25)]
+
+
+def test_a_tasks_memory_of_repeats_changes_nothing(monkeypatch):
+    rng = random.Random(6)
+    passage = words(rng, 40)
+    rows = [(rng.randrange(10**6), " ".join(words(rng, 10) + passage + words(rng, 10))) for _ in range(60)]
+    expected = {i: r for i, r in substring_dedup(rows).items()}
+
+    def removed(hot, limit):
+        monkeypatch.setattr(op09_substrings, "_HOT", hot)
+        monkeypatch.setattr(op09_substrings, "chunks", lambda t: chunks(t, limit=limit))
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["id", "text"])
+        out = [r for b in op09_substrings._windows_by_anchor(20, 8)([batch]) for r in b.to_pylist()]
+        volume = sum(len(r["packed"]) for r in out if r["bucket"] >= 0)
+        out.sort(key=lambda r: r["bucket"])
+        by_id = {}
+        sorted_batch = pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
+        for b in op09_substrings._repeated(8)([sorted_batch]):
+            for r in b.to_pylist():
+                if r["kind"] < 10:
+                    ids, _, begin, n = op09_substrings.unpack(r["packed"], op09_substrings._ASKED if r["kind"] else op09_substrings._REMOVED)[0][:4]
+                    for i, s, m in zip(ids.tolist(), begin.tolist(), n.tolist(), strict=True):
+                        by_id.setdefault(i, set()).update(range(s, s + m + 19))
+        return by_id, volume
+
+    with_memory, without = removed(1 << 17, 3000), removed(0, 3000)
+    assert with_memory[0] == without[0] and with_memory[1] < without[1]
+    assert {i: len(x) for i, x in with_memory[0].items()} == {i: r[1] for i, r in expected.items() if r[1]}
+
+
 def test_rows_of_one_id(spark):
     text = " ".join(f"a{i}" for i in range(30))
     rows = [(5, text), (5, text), (5, text + " more"), (None, text), (9, text)]
