@@ -215,6 +215,66 @@ def test_mixing(spark):
     assert _mix(spark, []).collect() == []
 
 
+def test_shard_counts_are_multinomial(spark):
+    sizes = {"a": 40_000, "b": 9000, "c": 30_000, "d": 1000}
+    rows = spark.createDataFrame([(f"={s}", s, n) for s, n in sizes.items()], "key string, source string, size long")
+    planned = op06_mix.plan(rows, 4)
+    quota = {r.key: r.slots for r in planned.collect()}
+    total, m = sum(quota.values()), 100
+    counts = [r.asDict() for r in op06_mix.shard_counts(planned, m, seed=3).collect()]
+    shards = total // m  # a last one may be short
+    for key, q in quota.items():
+        p = q / total
+        drawn = np.zeros(shards)
+        for r in counts:
+            if r["key"] == key and r["shard"] < shards:
+                drawn[r["shard"]] = r["n"]
+        assert abs(drawn.mean() - m * p) < 4 * math.sqrt(m * p * (1 - p) / shards)
+        ratio = drawn.var() / (m * p * (1 - p))
+        assert abs(ratio - 1) < 5 * math.sqrt(2 / shards), (key, ratio)
+    slots = op06_mix.draw(planned, m, seed=3).collect()
+    assert sorted((r.shard, r.slot) for r in slots) == [(i // m, i % m) for i in range(total)]
+    for key, q in quota.items():
+        times = {}
+        for r in slots:
+            if r.key == key:
+                times[r.block] = times.get(r.block, 0) + 1
+        n = -(-sizes[key[1:]] // 4)
+        assert sum(times.values()) == q and max(times.values()) <= 3 and set(times) <= set(range(n))
+        assert max(times.values()) - min(times.get(b, 0) for b in range(n)) <= 1
+    # settling the totals leaves the shards' counts close to what was drawn
+    kept = {(r["shard"], r["key"]): r["n"] for r in counts}
+    for r in slots:
+        kept[r.shard, r.key] = kept.get((r.shard, r.key), 0) - 1
+    assert sum(map(abs, kept.values())) <= 2 * sum(abs(sum(r["n"] for r in counts if r["key"] == k) - q) for k, q in quota.items())
+
+
+def test_mixture_is_what_documents_give(spark):
+    rng = random.Random(8)
+    rows = [(i, " \t".join(f"d{i}w{k}" for k in range(rng.randrange(0, 90))), rng.choice("aab"), 1, "x") for i in range(120)] + [(None, None, None, 1, "x"), (3, "same id", "a", 1, "x"), (500, "long " * 5000, "c", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, key string")
+    out = op06_mix.mixture(docs, block=16, shard_slots=64).collect()
+    texts = {}
+    for i, t, _, _, _ in rows:
+        texts.setdefault(i, []).append((t or "").split())
+    slots, given = {}, {}
+    for r in out:
+        assert any(" ".join(w[r.first_word : r.first_word + r.n_words]) == r.text for w in texts[r.doc_id]), r
+        slots.setdefault((r.shard, r.slot), []).append(r)
+        given[r.doc_id] = given.get(r.doc_id, 0) + r.n_words
+    for pieces in slots.values():
+        pieces.sort(key=lambda r: r.offset)
+        assert len({(r.source, r.block, r.turn) for r in pieces}) == 1 and pieces[0].offset == 0
+        assert all(a.offset + a.n_words == b.offset for a, b in zip(pieces, pieces[1:]))
+        assert pieces[-1].offset + pieces[-1].n_words <= 16
+    digest = op06_mix.mix(docs, block=16, shard_slots=64, with_pieces=True).collect()
+    taken = {}
+    for r in digest:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+        assert r.taken == sum(p.n_words for p in r.pieces or [])
+    assert {k: v for k, v in taken.items() if v} == given
+
+
 def test_permutations(spark):
     for n in (1, 2, 7, 64, 1000):
         got = [r[0] for r in spark.range(n).select(op06_mix.permute(op06_mix.F.col("id"), op06_mix.F.lit(n), op06_mix.F.lit(3))).collect()]
