@@ -342,6 +342,48 @@ def test_decontamination_keeps_windows_that_differ(spark):
     assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in out} == expected
 
 
+def test_block_pairs_select_and_find(spark):
+    """Unrelated fingerprints rarely meet; similar ones nearly always, those within the radius always."""
+    rng = random.Random(13)
+    F = op10_decontaminate.F
+    rows, near = [], []
+    for k in range(400):
+        said = words(rng, 60, 10**6)
+        edited = list(said)
+        for _ in range(rng.randrange(1, 3)):
+            edited[rng.randrange(60)] = f"edit{k}"
+        rows.append((2 * k, " ".join(said)))
+        rows.append((2 * k + 1, " ".join(edited)))
+        if jaccard(shingles(" ".join(said)), shingles(" ".join(edited))) >= 0.8:
+            near.append((2 * k, 2 * k + 1))
+    df = spark.createDataFrame(rows, "k long, text string").select("k", op10_decontaminate.words(F.col("text")).alias("w"))
+    df = df.select("k", op10_decontaminate.simhash(op10_decontaminate.shingles(F.col("w"))).alias("print"))
+    keys = {r.k: ({(x.number, x.value) for x in r.pairs}, r.print & (2**64 - 1)) for r in df.select("k", "print", op10_decontaminate.block_pairs(F.col("print")).alias("pairs")).collect()}
+    met = [bool(keys[a][0] & keys[b][0]) for a, b in near]
+    assert len(near) > 100 and sum(met) / len(met) >= 0.97
+    unrelated = [(2 * rng.randrange(400), 2 * rng.randrange(400)) for _ in range(20_000)]
+    passed = [bool(keys[a][0] & keys[b][0]) for a, b in unrelated if a != b]
+    assert sum(passed) / len(passed) <= 0.05
+    for a, b in near + unrelated:
+        if bin(keys[a][1] ^ keys[b][1]).count("1") <= op10_decontaminate.RADIUS:
+            assert keys[a][0] & keys[b][0]
+
+
+def test_decontamination_of_long_texts_repeated_rows_and_no_item_id(spark):
+    rng = random.Random(14)
+    item = " ".join(f"it{k}" for k in range(40))
+    long = " ".join([*words(rng, 200_000, 5000), item, *words(rng, 100)])
+    rows = [(1, long), (1, long), (2, item), (2, item), (3, " ".join(words(rng, 50)))]
+    items = [(None, item), (None, "another one of five words"), (5, item), (5, item)]
+    for shuffled in (False, True):
+        out = op10_decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted(((r.doc_id, r.item_id, r.first_word, r.similarity) for r in out), key=str) == sorted(
+            [(1, 5, 200_000, 1.0), (1, None, 200_000, 1.0), (2, 5, 0, 1.0), (2, None, 0, 1.0)], key=str
+        )
+        op10_decontaminate.MOST_BROADCAST = 0
+    op10_decontaminate.MOST_BROADCAST = 1_000_000
+
+
 @pytest.mark.parametrize("operator", ["licences", "near", "substrings", "leaks", "leaks-none"])
 def test_empty_tables(spark, operator):
     none = frame(spark, []) if operator != "leaks-none" else frame(spark, [(1, "a b c d e f")])
