@@ -41,12 +41,12 @@ from lodestar.llm.textbytes import NON_SPACE, Texts, Words, chunks, hash_words,
 
 WIDTH = 20
 PRINT_BITS = 48
-BUCKETS = 1024  # at least; more where the session has many shuffle partitions
+BUCKETS = 1024  # of anchors' names, at least; more where the session has many shuffle partitions
 _NO_ID = (1 << 63) - 1
 _ANCHOR = (6, 8, 8, 4, 1)  # bytes: name, doc_id, text key, start, windows
 _REMOVED = (8, 8, 4, 4)  # doc_id, text key, start, windows
 _ASKED = (*_REMOVED, 8, 8, 4)  # and where the windows are said to stand before
-_SURE, _ASK, _OPEN = 0, 1, 2
+_SURE, _ASK = 0, 1
 _FLUSH = 1 << 18
 _OUT_BYTES = 1 << 26
 _HOT = 1 << 17  # repeated windows that a task remembers between chunks
@@ -242,23 +242,30 @@ def _windows_by_anchor(width: int, buckets: int, turn: int = 0, bits: int = PRIN
     return run
 
 
-_FOUND = "bucket int, kind int, packed binary"
+_FOUND = "bucket int, sure binary, asks binary, shows binary"
+_VERIFIED = "bucket int, sure binary, open binary"
 
 
-def _by_document(found: list[list[np.ndarray]], kind: int, buckets: int, side: int = 0) -> Iterator[pa.RecordBatch]:
-    """Removed, asked or open windows, packed by the bucket of their document; with
-    ``side`` 1, of the document that is asked for its words."""
-    if not found:
-        return
-    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-    where = columns[4:6] if side else columns[:2]
-    bucket = _document_bucket(*where, buckets)
-    turn = np.argsort(bucket, kind="stable")
-    heads, sizes = _runs(np.concatenate([[True], np.diff(bucket[turn]) != 0]))
-    planes = [narrow(c[turn], w) for c, w in zip(columns, _ASKED, strict=False)]
-    packed = pa.array([pack(*(c[h : h + s] for c in planes)) for h, s in zip(heads, sizes, strict=True)], pa.binary())
-    kinds = pa.array(np.full(len(heads), kind + 10 * side, dtype=np.int32))
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[turn][heads].astype(np.int32)), kinds, packed], names=["bucket", "kind", "packed"])
+def _by_document(buckets: int, names: list[str], found: list[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """A batch of one row per bucket of documents: in each binary column its windows
+    of that kind, packed, by the document whose columns begin at the given place."""
+    cells: dict[int, list[bytes | None]] = {}
+    for at, (base, columns) in enumerate(found):
+        if not columns:
+            continue
+        bucket = _document_bucket(columns[base], columns[base + 1], buckets)
+        dealt = np.argsort(bucket, kind="stable")
+        heads, sizes = _runs(np.concatenate([[True], np.diff(bucket[dealt]) != 0]))
+        planes = [narrow(c[dealt], w) for c, w in zip(columns, _ASKED, strict=False)]
+        for h, n in zip(heads.tolist(), sizes.tolist(), strict=True):
+            cells.setdefault(int(bucket[dealt[h]]), [None] * len(found))[at] = pack(*(c[h : h + n] for c in planes))
+    if cells:
+        columns = [pa.array([row[at] for row in cells.values()], pa.binary()) for at in range(len(found))]
+        yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int32()), *columns], names=["bucket", *names])
+
+
+def _joined(found: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
 def _repeated(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -266,27 +273,27 @@ def _repeated(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     those proposed, twice: for either document that has to show its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
+        sure: list[list[np.ndarray]] = []
+        asked: list[list[np.ndarray]] = []
         size = 0
         for bucket, rows in by_key(batches, "bucket"):
             packed = rows.column("packed").to_pylist()
             if bucket < 0:
                 kind = -1 - bucket
                 found = [unpack(p, _ASKED if kind else _REMOVED)[0] for p in packed]
+                (asked if kind else sure).extend(found)
             else:
-                kind = _ASK
                 found = [x] if (x := later(packed)) else []
-            held[kind].extend(found)
+                asked += found
             size += sum(len(x[0]) for x in found)
             if size > _FLUSH:
-                yield from flush(held)
-                held, size = ([], []), 0
-        yield from flush(held)
+                yield from flush(sure, asked)
+                sure, asked, size = [], [], 0
+        yield from flush(sure, asked)
 
-    def flush(held: tuple[list, list]) -> Iterator[pa.RecordBatch]:
-        yield from _by_document(held[_SURE], _SURE, buckets)
-        yield from _by_document(held[_ASK], _ASK, buckets)
-        yield from _by_document(held[_ASK], _ASK, buckets, side=1)
+    def flush(sure: list, asked: list) -> Iterator[pa.RecordBatch]:
+        both = _joined(asked)
+        yield from _by_document(buckets, ["sure", "asks", "shows"], [(0, _joined(sure)), (0, both), (4, both)])
 
     def later(packed: list[bytes]) -> list[np.ndarray] | None:
         groups, marks = [], []
@@ -331,57 +338,72 @@ def _repeated(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _shown(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Proposals of one pair of documents that go on where the last ended, as one.
+    Both sides hold all proposals of a pair, and so come to the same ones."""
+    order = np.lexsort((columns[2], *(columns[i] for i in (5, 4, 1, 0))))
+    columns = [c[order] for c in columns]
+    breaks = np.ones(len(order), dtype=bool)
+    breaks[1:] = np.any([columns[i][1:] != columns[i][:-1] for i in (0, 1, 4, 5)], axis=0)
+    for at in (2, 6):
+        breaks[1:] |= columns[at][1:] != columns[at][:-1] + columns[3][:-1]
+    heads, _ = _runs(breaks)
+    out = [c[heads] for c in columns]
+    out[3] = np.add.reduceat(columns[3], heads)
+    return out
+
+
+def _shown(width: int, pairs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Texts and what is asked of them, sorted by bucket, in; out come the words of
     proposed windows, dealt so that both sides of a proposal meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        held: list[tuple[int, int, list[np.ndarray], bytes, np.ndarray]] = []
+        held: list[tuple[int, list[np.ndarray], list[bytes]]] = []
         size = 0
         for _, rows in by_key(batches, "bucket"):
-            is_doc = rows.column("id").is_valid().to_numpy()
-            asked = rows.filter(pa.array(~is_doc))
-            if not asked.num_rows:
-                continue
-            by_side: dict[int, list] = {}
-            for kind, p in zip(asked.column("kind").to_pylist(), asked.column("packed").to_pylist(), strict=True):
-                by_side.setdefault(kind // 10, []).append(unpack(p, _ASKED)[0])
-            docs = rows.filter(pa.array(is_doc))
+            docs = rows.filter(rows.column("id").is_valid())
             where = {pair: i for i, pair in enumerate(zip(docs.column("id").to_pylist(), docs.column("key").to_pylist(), strict=True))}
-            for side, found in by_side.items():
-                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-                who, at = (columns[4:6], columns[6]) if side else (columns[:2], columns[2])
-                order = np.lexsort((at, who[1], who[0]))
+            for side, name in enumerate(("asks", "shows")):
+                asked = rows.column(name).drop_null().to_pylist()
+                if not asked:
+                    continue
+                columns = _merged(_joined([unpack(p, _ASKED)[0] for p in asked]))
+                ids, keys, at = (columns[i] for i in ((4, 5, 6) if side else (0, 1, 2)))
+                order = np.lexsort((keys, ids))
                 fresh = np.ones(len(order), dtype=bool)
-                fresh[1:] = (who[0][order][1:] != who[0][order][:-1]) | (who[1][order][1:] != who[1][order][:-1])
-                heads, many = _runs(fresh)
-                for h, m in zip(heads.tolist(), many.tolist(), strict=True):
+                fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])
+                for h, m in zip(*(x.tolist() for x in _runs(fresh)), strict=True):
                     mine = order[h : h + m]
-                    pair = int(who[0].view(np.int64)[mine[0]]), int(who[1].view(np.int64)[mine[0]])
+                    pair = int(ids.view(np.int64)[mine[0]]), int(keys.view(np.int64)[mine[0]])
                     text = expand.decompress(docs.column("packed")[where[pair]].as_py())
                     words = split(texts_of(pa.array([text], pa.large_binary())), NON_SPACE)
-                    said = [_passage(text, words, int(b), int(n) + width - 1) for b, n in zip(at[mine], columns[3][mine], strict=True)]
-                    q = _bucket(mix(columns[0][mine] ^ mix(columns[1][mine] ^ mix(columns[2][mine]))) >> np.uint64(8), buckets)
-                    turn = np.argsort(q, kind="stable")
-                    starts, counts = _runs(np.concatenate([[True], np.diff(q[turn]) != 0]))
-                    for s, c in zip(starts.tolist(), counts.tolist(), strict=True):
-                        some = turn[s : s + c]
-                        body = b"".join(said[i] for i in some)
-                        held.append((int(q[some[0]]), side, [x[mine[some]] for x in columns], squeeze.compress(body), np.array([len(said[i]) for i in some])))
-                        size += len(held[-1][3]) + 64 * c
+                    said = [_passage(text, words, b, n + width - 1) for b, n in zip(at[mine].tolist(), columns[3][mine].tolist(), strict=True)]
+                    held.append((side, [c[mine] for c in columns], said))
+                    size += sum(map(len, said)) + 64 * m
                     if size > _OUT_BYTES:
-                        yield batch(held)
+                        yield batch(held, squeeze)
                         held, size = [], 0
         if held:
-            yield batch(held)
+            yield batch(held, squeeze)
 
-    def batch(held: list) -> pa.RecordBatch:
-        packed = [pack(*(narrow(c, w) for c, w in zip([*columns, sizes], (*_ASKED, 8), strict=True))) for _, _, columns, _, sizes in held]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([h[0] for h in held], pa.int32()), pa.array([h[1] for h in held], pa.int32()), pa.array(packed, pa.binary()), pa.array([h[3] for h in held], pa.binary())],
-            names=["bucket", "side", "packed", "said"],
-        )
+    def batch(held: list, squeeze: zstandard.ZstdCompressor) -> pa.RecordBatch:
+        rows: list[tuple[int, int, bytes, bytes]] = []
+        for side in (0, 1):
+            mine = [(c, said) for s, c, said in held if s == side]
+            if not mine:
+                continue
+            columns, said = _joined([c for c, _ in mine]), [x for _, some in mine for x in some]
+            q = _bucket(mix(columns[0] ^ mix(columns[1] ^ mix(columns[2]))) >> np.uint64(8), pairs)
+            dealt = np.argsort(q, kind="stable")
+            for h, n in zip(*(x.tolist() for x in _runs(np.concatenate([[True], np.diff(q[dealt]) != 0]))), strict=True):
+                some = dealt[h : h + n]
+                body = [said[i] for i in some]
+                sizes = np.array([len(x) for x in body])
+                packed = pack(*(narrow(c, w) for c, w in zip([*(c[some] for c in columns), sizes], (*_ASKED, 8), strict=True)))
+                rows.append((int(q[some[0]]), side, packed, squeeze.compress(b"".join(body))))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "side", "packed", "said"])
 
     return run
 
@@ -405,7 +427,9 @@ def _compared(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
                     other = waits.get(key)
                     if other is None or other[0] == side:
                         waits[key] = side, mine
-                    elif other[1] == mine:
+                        continue
+                    del waits[key]
+                    if other[1] == mine:
                         sure.append(key[:4])
                     else:
                         x, y = mine.split(), other[1].split()
@@ -417,9 +441,8 @@ def _compared(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
         yield from flush(sure, open_)
 
     def flush(sure: list[tuple], open_: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for found, kind in ((sure, _SURE), (open_, _OPEN)):
-            if found:
-                yield from _by_document([[np.array(c, dtype=np.uint64) for c in zip(*found, strict=True)]], kind, buckets)
+        found = [(0, [np.array(c, dtype=np.uint64) for c in zip(*some, strict=True)]) for some in (sure, open_)]
+        yield from _by_document(buckets, ["sure", "open"], found)
 
     return run
 
@@ -487,7 +510,7 @@ def _cut(width: int, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], It
         for _, rows in by_key(batches, "bucket"):
             is_doc = rows.column("id").is_valid().to_numpy()
             windows: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for p in rows.column("packed").filter(pa.array(~is_doc)).to_pylist():
+            for p in rows.column("sure").drop_null().to_pylist():
                 ids, keys, begin, n = unpack(p, _REMOVED)[0]
                 for i, k, b, c in zip(ids.view(np.int64).tolist(), keys.view(np.int64).tolist(), begin.tolist(), n.tolist(), strict=True):
                     windows.setdefault((i, k), []).append((b, c))
@@ -522,18 +545,20 @@ def _cut(width: int, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], It
 
 
 def _removed(plain: DataFrame, width: int, buckets: int, turn: int, bits: int = PRINT_BITS) -> tuple[DataFrame, DataFrame]:
-    """(bucket, packed) of windows that are removed, and of those left open."""
-    windows = plain.mapInArrow(lean(_windows_by_anchor(width, buckets, turn, bits)), "bucket int, packed binary")
+    """(bucket, sure): windows that are removed, by documents' buckets; and (open):
+    those left open."""
+    parts_ = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = plain.mapInArrow(lean(_windows_by_anchor(width, max(BUCKETS, 8 * parts_), turn, bits)), "bucket int, packed binary")
     # chunks' own findings are dealt out at random, windows by their bucket
     dealt = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket").cast("long"))
     found = kept(windows.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(lean(_repeated(buckets)), _FOUND), "substrings-found")
     texts = plain.mapInArrow(lean(_documents(buckets, with_row=False)), "bucket int, packed binary, id long, key long")
-    asked = found.where(F.col("kind") % 10 == _ASK)
-    both = texts.unionByName(asked, allowMissingColumns=True).select("bucket", "packed", "id", "key", "kind")
-    said = both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_shown(width, buckets)), "bucket int, side int, packed binary, said binary")
-    verified = kept(said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_compared(width, buckets)), _FOUND), "substrings-verified")
-    sure = found.where(F.col("kind") == _SURE).unionByName(verified.where(F.col("kind") == _SURE))
-    return sure.select("bucket", "packed"), verified.where(F.col("kind") == _OPEN).select("packed")
+    asked = found.select("bucket", "asks", "shows").where("asks is not null or shows is not null")
+    both = texts.unionByName(asked, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
+    said = both.mapInArrow(lean(_shown(width, max(256, 2 * parts_))), "bucket int, side int, packed binary, said binary")
+    verified = kept(said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_compared(width, buckets)), _VERIFIED), "substrings-verified")
+    sure = found.select("bucket", "sure").unionByName(verified.select("bucket", "sure")).where("sure is not null")
+    return sure, verified.select("open").where("open is not null")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = True, print_bits: int = PRINT_BITS) -> DataFrame:
@@ -543,7 +568,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined by one space; null without ``with_text``).  Fingerprints of fewer bits only
     make more windows be looked at again."""
     spark = docs.sparkSession
-    buckets = max(BUCKETS, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(512, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # of documents
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     removed, left = _removed(plain, width, buckets, 0, print_bits)
     turn, window = 0, "id long, key long, start long"

@@ -95,6 +95,15 @@ def test_windows_that_are_equal_have_equal_anchors(seed):
         assert name_of.setdefault(w, n) == n
 
 
+def _proposed(windows):
+    for b in op09_substrings._repeated(8)([windows]):
+        for r in b.to_pylist():
+            for packed, widths in ((r["sure"], op09_substrings._REMOVED), (r["asks"], op09_substrings._ASKED)):
+                if packed:
+                    ids, _, begin, n = op09_substrings.unpack(packed, widths)[0][:4]
+                    yield ids, begin, n
+
+
 def test_long_texts_are_taken_in_segments(monkeypatch, docs):
     from lodestar.llm import textbytes
 
@@ -108,12 +117,8 @@ def test_long_texts_are_taken_in_segments(monkeypatch, docs):
         rows.sort(key=lambda r: r["bucket"])
         sorted_batch = pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
         gone = set()
-        for b in op09_substrings._repeated(8)([sorted_batch]):
-            for r in b.to_pylist():
-                if r["kind"] >= 10:
-                    continue
-                ids, _, begin, n = op09_substrings.unpack(r["packed"], op09_substrings._ASKED if r["kind"] else op09_substrings._REMOVED)[0][:4]
-                gone |= {(int(i), int(s) + k) for i, s, m in zip(ids, begin, n, strict=True) for k in range(int(m))}
+        for ids, begin, n in _proposed(sorted_batch):
+            gone |= {(int(i), int(s) + k) for i, s, m in zip(ids, begin, n, strict=True) for k in range(int(m))}
         return gone
 
     expected = windows()
@@ -154,12 +159,9 @@ def test_a_tasks_memory_of_repeats_changes_nothing(monkeypatch):
         out.sort(key=lambda r: r["bucket"])
         by_id = {}
         sorted_batch = pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
-        for b in op09_substrings._repeated(8)([sorted_batch]):
-            for r in b.to_pylist():
-                if r["kind"] < 10:
-                    ids, _, begin, n = op09_substrings.unpack(r["packed"], op09_substrings._ASKED if r["kind"] else op09_substrings._REMOVED)[0][:4]
-                    for i, s, m in zip(ids.tolist(), begin.tolist(), n.tolist(), strict=True):
-                        by_id.setdefault(i, set()).update(range(s, s + m + 19))
+        for ids, begin, n in _proposed(sorted_batch):
+            for i, s, m in zip(ids.tolist(), begin.tolist(), n.tolist(), strict=True):
+                by_id.setdefault(i, set()).update(range(s, s + m + 19))
         return by_id, volume
 
     with_memory, without = removed(1 << 17, 3000), removed(0, 3000)
