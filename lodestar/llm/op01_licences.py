@@ -12,7 +12,8 @@ since no run of two or more words has any other pair.
 
 Nulls and odd rows: a null or empty text has no words, no labels, null places
 and score 0.  Rows are judged one by one, so repeated rows, ties and further
-columns (carried in ``row``) change nothing; an empty table gives no rows.
+columns (carried in ``row``) change nothing; an empty table gives no rows.  A very
+long text is held whole in one task, its words hashed in segments.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.licence_texts import PASSAGES, PHRASES
+from lodestar.llm.streams import with_row
 from lodestar.llm.textbytes import LOWER_WORD, Texts, chunks, hash_words, mix, split, texts_of
 
 LEAST_RUN = 3  # words; runs of fewer are not chained
@@ -246,4 +248,4 @@ def licence_scan(
     n_words, places of the phrases, labels, a score and the covered spans."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(tuple(phrases.items()), tuple(passages)), f"row {rows.schema['row'].dataType.simpleString()}, {_FIELDS}")
+    return rows.mapInArrow(_scan(tuple(phrases.items()), tuple(passages)), with_row(rows, _FIELDS))

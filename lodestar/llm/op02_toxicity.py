@@ -8,12 +8,14 @@ grown on features whose lexicon was learned without the row's own part of the
 sample; an isotonic curve, fitted to margins of rows their trees had not seen,
 turns margins into scores.
 
-Learning takes a sample of at most ``TRAIN_ROWS`` labelled rows (in expectation,
-by a hash of doc_id), of texts up to ``TRAIN_CHARS`` characters.  Scoring reads
-every whole text.  Neither labels nor lang, source or doc_id enter a score.
+Learning takes a sample of at most ``TRAIN_ROWS`` labelled rows (those of the least
+hashes), whole texts that stream by the driver: only their distinct terms and their
+features are held.  Scoring reads every whole text, and needs about 30 bytes per byte
+of the longest text of a task.  Neither labels nor lang, source or doc_id enter a
+score (doc_id and text together only choose the sample).
 
 Nulls and odd rows: a null text is empty; an empty text is scored by its (zero)
-features.  Several labels of one doc_id count as toxic if one of them is; null
+features.  Rows alike are learned from once.  Several labels of one doc_id count as toxic if one of them is; null
 labels are ignored, and a row without doc_id is never learned from (held_out).
 With fewer than ``LEAST_CLASS`` rows of either class, scores come from the fixed
 lexicon alone.  Other columns are carried in ``row``.  An empty table gives no rows.
@@ -30,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.boosting import Trees, grow, isotonic
-from lodestar.llm.streams import lean, parts
-from lodestar.llm.textbytes import LOWER_WORD, Texts, byte_sums, chunks, mix, span_hash, split, texts_of
+from lodestar.llm.store import kept
+from lodestar.llm.streams import lean, parts, with_row
+from lodestar.llm.textbytes import CHUNK_BYTES, LOWER_WORD, Texts, byte_sums, chunks, mix, span_hash, split, texts_of
 from lodestar.llm.toxic_words import INSULTS, SECOND_PERSON
 
 TRAIN_ROWS = 6000
-TRAIN_CHARS = 50_000
 LEAST_CLASS = 8
 TERMS = 4000
 STEMS = (4, 5, 6, 8)  # bytes of a word's beginning
@@ -237,12 +239,29 @@ def _some(texts: Texts, which: np.ndarray) -> Texts:
     return Texts(texts.data[take], ends)
 
 
-def fit(texts: Texts, toxic: np.ndarray) -> Model:
-    """A model of whole texts and their labels (bounded by the caller)."""
-    toxic = toxic.astype(bool)
+Sample = Callable[[], Iterator[tuple[np.ndarray, np.ndarray, Texts]]]
+
+
+def fit(sample: Sample) -> Model:
+    """A model of the parts (keys, whether toxic, whole texts) that every call of
+    ``sample`` goes through.  Of a text only its distinct terms and its features are
+    held, so that memory hangs on the number of rows and of their distinct terms."""
+    keys, marks, held = [], [], []
+    for key, mark, part in sample():
+        keys.append(key)
+        marks.append(mark.astype(bool))
+        held.append(_term_rows(part))
+    toxic = np.concatenate([np.empty(0, bool), *marks])
     if min(toxic.sum(), (~toxic).sum()) < LEAST_CLASS:
         return Model(Lexicon(np.empty(0, np.uint64), np.empty(0)), None, None)
-    whose, term, least = _term_rows(texts)
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")  # whatever order they came in
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    begins = np.cumsum([0, *map(len, keys)])
+    whose = np.concatenate([place[w + at] for (w, _, _), at in zip(held, begins, strict=False)])
+    term, least = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+    toxic, least = toxic[order], least[order]
     # texts that are mostly alike count once, and lie in one fold
     heads, group = np.unique(least, return_inverse=True)
     marked = np.zeros(len(heads), dtype=bool)
@@ -259,12 +278,14 @@ def fit(texts: Texts, toxic: np.ndarray) -> Model:
         return _learned(names, index[inside], marked[whose[inside]], int((marked & used).sum()), int((~marked & used).sum()))
 
     part_of = fold[group]
-    x = np.zeros((len(texts), N_FEATURES))
-    for f in range(FOLDS):
-        mine = np.flatnonzero(part_of == f)
-        if len(mine):
-            its = lexicon(f)
-            x[mine] = np.concatenate([features(part, its) for _, part in chunks(_some(texts, mine))])
+    its = [lexicon(f) for f in range(FOLDS)]
+    x = np.zeros((len(toxic), N_FEATURES))
+    where = dict(zip(key[order].tolist(), range(len(order)), strict=True))
+    for some, _, part in sample():
+        rows = np.array([where[k] for k in some.tolist()])
+        for f in np.unique(part_of[rows]):
+            mine = np.flatnonzero(part_of[rows] == f)
+            x[rows[mine]] = np.concatenate([features(p, its[f]) for _, p in chunks(_some(part, mine))])
     y = toxic.astype(np.float64)
     margin = np.zeros(len(y))
     for f in range(FOLDS):
@@ -279,17 +300,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """A model of ``docs`` (doc_id, text) under ``labels`` (doc_id, toxic)."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """A model of ``docs`` (doc_id, text) under ``labels`` (doc_id, toxic): of at most
+    ``rows`` labelled rows, those of the least hashes."""
     marked = labels.where("toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     total = marked.count()
-    # a uniform hash below this share of its range keeps about `rows` rows
-    if total > rows:
-        marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
-    known = docs.select(F.col("doc_id"), F.col("text")).where(F.length("text") <= chars)
-    sample = known.join(F.broadcast(marked), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    sample = sample.take(pa.array(np.lexsort((sample["doc_id"].to_numpy(),)), pa.int64()))
-    return fit(texts_of(sample["text"]), sample["toxic"].to_numpy(zero_copy_only=False))
+    if total > 2 * rows:  # twice as many as are taken, as labels may have no row
+        marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(2 * rows / total * (1 << 30)))
+    marked = kept(marked, "labels")
+    marked = F.broadcast(marked) if marked.count() <= 4 * rows else marked.hint("merge")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    known = docs.select(F.col("doc_id"), text.alias("text")).join(marked, "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "toxic", "text")
+    # rows alike count once; the least by their hash, which no order of rows changes
+    least = known.select("key").distinct().orderBy("key").limit(rows)
+    # `least` has no more than `rows` rows
+    found = known.join(F.broadcast(least), "key").groupBy("key").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    taken = kept(found, "labelled-rows")
+
+    def sample() -> Iterator[tuple[np.ndarray, np.ndarray, Texts]]:
+        held: list = []
+        size = 0
+        for row in taken.toLocalIterator():
+            held.append(row)
+            size += len(row.text)
+            if size > CHUNK_BYTES:
+                yield part(held)
+                held, size = [], 0
+        if held:
+            yield part(held)
+
+    def part(held: list) -> tuple[np.ndarray, np.ndarray, Texts]:
+        return np.array([r.key for r in held], np.int64), np.array([r.toxic for r in held], bool), texts_of(pa.array([r.text for r in held], pa.large_string()))
+
+    return fit(sample)
 
 
 def _scored(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -305,5 +348,5 @@ def _scored(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), score and predicted."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(lean(_scored(model)), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    out = rows.mapInArrow(lean(_scored(model)), with_row(rows, "score double"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

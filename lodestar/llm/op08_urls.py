@@ -1,15 +1,16 @@
 """URL filters: host and path rules, and a weighted vocabulary by Aho-Corasick.
 
 The longest rule that fits decides.  Where none does, the URL is searched for
-terms: one strict term, or soft terms whose distinct weights sum to the limit,
-block it.  A term counts only between boundaries: neither side may be a letter
+terms: one strict term, or distinct soft terms whose weights sum to the limit
+(no weight reaches it alone), block it.  A term counts only between boundaries: neither side may be a letter
 or digit.  Matching is on the URL with A-Z lower-cased.
 
 Nulls and odd rows: a null URL, or one without ``://``, has an empty host and
 path, fits no rule, and is allowed unless its text holds terms.  Rows are judged
-one by one, so that ties, repeated rows and extra columns (carried in ``row``)
-change nothing; an empty table gives no rows.  The vocabulary and rules go to
-every task as they are and are limited to ``MOST_ENTRIES`` entries each.
+one by one, so that ties, repeated rows, very long URLs and extra columns (carried in
+``row``) change nothing; an empty table gives no rows.  Terms and rules go to every
+task in parts of at most ``MOST_ENTRIES`` entries: all URLs are looked at with one
+part after the other, and what is found adds up.
 """
 
 from __future__ import annotations
@@ -22,13 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: fixed values: term -> weight
-STRICT = ("porn", "xxx", "casino", "viagra", "cheap-pills", "escort", "warez", "torrent", "gambling", "malware", "phishing")
-SOFT = {
-    "adult": 1, "sex": 1, "nude": 1, "pills": 1, "cheap": 1, "free": 1, "bet": 1, "poker": 1, "loan": 1, "win": 1, "deal": 1,
-    "crack": 1, "keygen": 1, "download": 1, "dating": 1, "spam": 1, "ads": 1,
-}
-LIMIT = 2
+from lodestar.llm.store import kept
+from lodestar.llm.streams import with_row
+from lodestar.llm.url_words import LIMIT, SOFT, STRICT
+
 #: verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MOST_ENTRIES = 1_000_000
@@ -52,8 +50,7 @@ def parts(url: str | None) -> tuple[str, str]:
 
 
 class Judge:
-    def __init__(self, strict: tuple[str, ...], soft: tuple[tuple[str, int], ...], limit: int, rules: tuple[tuple[str, str, str], ...]) -> None:
-        self.limit = limit
+    def __init__(self, strict: tuple[str, ...], soft: tuple[tuple[str, int], ...], rules: tuple[tuple[str, str, str], ...]) -> None:
         self.rules: dict[str, list[tuple[str, str]]] = {}
         for verdict, host, path in rules:
             self.rules.setdefault(_lower(host), []).append((path, verdict))
@@ -94,13 +91,14 @@ class Judge:
                 strict.add(term)
         return sorted(strict), sorted(soft), sum(soft.values())
 
-    def __call__(self, url: str | None) -> tuple:
+    def __call__(self, url: str | None, rule: str | None, said: str | None, strict: list[str], soft: list[str], weight: int) -> tuple:
+        """What is found with these terms and rules, added to what was found before."""
         host, path = parts(url)
-        rule, verdict = self.rule(host, path)
-        strict, soft, weight = self.terms_of(_lower(url or ""))
-        if verdict is None:
-            verdict = "block" if strict or weight >= self.limit else "allow"
-        return host, path, rule, verdict, strict, soft, weight
+        own, verdict = self.rule(host, path)
+        if own is not None and (rule is None or len(own) > len(rule) or (len(own) == len(rule) and verdict == "block")):
+            rule, said = own, verdict
+        more_strict, more_soft, more = self.terms_of(_lower(url or ""))
+        return host, path, rule, said, sorted({*strict, *more_strict}), sorted({*soft, *more_soft}), weight + more
 
 
 @functools.cache
@@ -108,30 +106,48 @@ def judge(*with_: tuple) -> Judge:
     return Judge(*with_)
 
 
+_FIELDS = "url string, host string, path string, rule string, said string, strict_terms array<string>, soft_terms array<string>, soft_weight long"
+
+
 def _judged(*with_: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kinds = [pa.string()] * 4 + [pa.list_(pa.string())] * 2 + [pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = judge(*with_)
         for batch in batches:
-            columns = list(zip(*map(one, batch.column(1).to_pylist()), strict=True)) or [()] * 7
+            before = [batch.column(name).to_pylist() for name in ("url", "rule", "said", "strict_terms", "soft_terms", "soft_weight")]
+            columns = list(zip(*map(one, *before), strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["row", "host", "path", "rule", "verdict", "strict_terms", "soft_terms", "soft_weight"],
+                [batch.column("row"), batch.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["row", "url", "host", "path", "rule", "said", "strict_terms", "soft_terms", "soft_weight"],
             )
 
     return run
 
 
 def filter_urls(
-    pages: DataFrame, url_col: str = "url", strict: tuple[str, ...] = STRICT, soft: dict[str, int] = SOFT, limit: int = LIMIT, rules: tuple[tuple[str, str, str], ...] = RULES
+    pages: DataFrame,
+    url_col: str = "url",
+    strict: tuple[str, ...] = STRICT,
+    soft: dict[str, int] = SOFT,
+    limit: int = LIMIT,
+    rules: tuple[tuple[str, str, str], ...] = RULES,
+    most: int = MOST_ENTRIES,
 ) -> DataFrame:
     """One row per row of ``pages``: ``row`` (its other columns), host, path, rule,
     verdict, and the terms found."""
-    if max(len(strict), len(soft), len(rules)) > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} terms or rules")
     rest = [F.col(f"`{c}`") for c in pages.columns if c != url_col]
-    rows = pages.select(F.struct(*rest).alias("row"), F.col(url_col).cast("string").alias("url"))
-    schema = rows.schema["row"].dataType.simpleString()
-    run = _judged(tuple(strict), tuple(soft.items()), limit, tuple(rules))
-    return rows.mapInArrow(run, f"row {schema}, host string, path string, rule string, verdict string, strict_terms array<string>, soft_terms array<string>, soft_weight long")
+    none = F.array().cast("array<string>")
+    rows = pages.select(
+        F.struct(*rest).alias("row"), F.col(f"`{url_col}`").cast("string").alias("url"), F.lit("").alias("host"), F.lit("").alias("path"), F.lit(None).cast("string").alias("rule"),
+        F.lit(None).cast("string").alias("said"), none.alias("strict_terms"), none.alias("soft_terms"), F.lit(0).cast("long").alias("soft_weight"),
+    )
+    strict, soft_items, rules = tuple(dict.fromkeys(map(_lower, strict))), tuple({_lower(t): w for t, w in soft.items()}.items()), tuple(rules)
+    for at in range(0, max(1, len(strict), len(soft_items), len(rules)), most):
+        if at:
+            rows = kept(rows, "urls-judged")  # so that one part of the terms is in memory at a time
+        run = _judged(strict[at : at + most], soft_items[at : at + most], rules[at : at + most])
+        rows = rows.mapInArrow(run, with_row(rows, _FIELDS))
+    unwanted = (F.size("strict_terms") > 0) | (F.col("soft_weight") >= limit)
+    verdict = F.coalesce("said", F.when(unwanted, "block").otherwise("allow"))
+    return rows.select("row", "host", "path", "rule", verdict.alias("verdict"), "strict_terms", "soft_terms", "soft_weight")

@@ -1,6 +1,7 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
-from lodestar.llm.op08_urls import LIMIT, RULES, SOFT, STRICT
+from lodestar.llm.op08_urls import RULES
+from lodestar.llm.url_words import LIMIT, SOFT, STRICT
 
 OP9_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset, as in tests, one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset and all
+    runs on this machine, as in tests, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or _own_dir()
 
 
 @functools.cache

@@ -8,6 +8,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
+
+
+def with_row(rows: DataFrame, fields: str, row: str = "row") -> StructType:
+    """The schema of ``row`` as it is in ``rows``, whatever its columns are called and
+    hold, and of further fields."""
+    return StructType([StructField(row, rows.schema[row].dataType), *StructType.fromDDL(fields)])
 
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

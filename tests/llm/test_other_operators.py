@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -130,6 +131,99 @@ def test_isotonic_rises_and_trees_separate():
     assert (np.diff(xs) >= 0).all() and (np.diff(ys) >= 0).all()
 
 
+ODD_COLUMNS = "`my col` int, `a.b` string, `x:y` double, a_map map<string,int>, row int, id string, packed int, bucket long, kind int, score int, words int, n int, url2 string"
+
+
+@pytest.mark.parametrize("operator", ["licences", "toxicity", "near", "mix", "mixture", "substrings", "leaks"])
+def test_odd_columns(spark, operator):
+    from lodestar.llm import op01_licences, op05_minhash, op09_substrings, op10_decontaminate
+
+    text = " ".join(f"w{k}" for k in range(25))
+    docs = spark.createDataFrame([(i, text, "s", 1, "x", 0.5, {"a": 1}, 1, "i", 2, 3, 4, 5, 6, 7, "u") for i in (1, 2)], f"doc_id long, text string, source string, {ODD_COLUMNS}")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, text, {"a": 1})], "item_id long, text string, `my col` map<string,int>")
+    out = {
+        "licences": lambda: op01_licences.licence_scan(docs),
+        "toxicity": lambda: op02_toxicity.toxicity(docs, op02_toxicity.train(docs, labels)),
+        "near": lambda: op05_minhash.near_duplicates(docs),
+        "mix": lambda: op06_mix.mix(docs),
+        "mixture": lambda: op06_mix.mixture(docs),
+        "substrings": lambda: op09_substrings.substring_dedup(docs),
+        "leaks": lambda: op10_decontaminate.leaks(docs, items),
+    }[operator]().collect()
+    assert len(out) >= 2
+    if "row" in out[0]:
+        assert all(r.row["my col"] == 1 and r.row["a.b"] == "x" and r.row["a_map"] == {"a": 1} for r in out)
+
+
+def test_odd_columns_of_other_tables(spark):
+    vectors = spark.createDataFrame([(i, [1.0, 2.0], 1, "x", {"a": 1}, 7, 8) for i in (1, 2)], "vec_id long, embedding array<double>, `my col` int, `a.b` string, a_map map<string,int>, id int, vec int")
+    assert [r.component_id for r in op03_embeddings.embedding_links(vectors).collect()] == [1, 1]
+    pages = spark.createDataFrame([(i, "http://a/", "x", 1, "x", {"a": 1}, 7) for i in (1, 2)], "page_id long, url string, html string, `my col` int, `a.b` string, a_map map<string,int>, row int")
+    assert len(op08_urls.filter_urls(pages).collect()) == 2
+    assert sorted(r.refers_to or 0 for r in op07_warc.read_captures(op07_warc.write_warc(pages)).collect()) == [0, 1]
+    log = spark.createDataFrame([(1, t, "user", "x", 1, "x", {"a": 1}, 7) for t in (0, 1)], "conv_id long, turn long, role string, text string, `my col` int, `a.b` string, a_map map<string,int>, row int")
+    assert [r.n_turns for r in op04_chat.format_chats(log).collect()] == [2]
+
+
+def _plain_features(text, learned):
+    """The dense features of one text, told word by word."""
+    raw = (text or "").encode()
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    word = lambda data: [(m.start(), m.end()) for m in re.finditer(rb"[0-9a-z\x80-\xff]+", data)]
+    spans = word(lower)
+    words = [lower[a:b] for a, b in spans]
+    insults, persons = ({w.encode() for w in ws} for ws in (op02_toxicity.INSULTS, op02_toxicity.SECOND_PERSON))
+    weight = [max([learned.get((w, None), 0.0), *(learned.get((w[:n], n), 0.0) for n in op02_toxicity.STEMS if len(w) > n)]) for w in words]
+    fixed = [w in insults for w in words]
+    hits = [i for i in range(len(words)) if weight[i] > 0 or fixed[i]]
+    you = [i for i, w in enumerate(words) if w in persons]
+    near = sum(any(abs(i - j) <= op02_toxicity.NEAR for j in you) for i in hits)
+    looks = lower.translate(bytes.maketrans(b"@$013457", b"asoieast"))
+    odd = [(a, b, sum(lower[i] != looks[i] for i in range(a, b))) for a, b in word(looks)]
+    odd = [(a, b, m) for a, b, m in odd if m]
+    hidden = sum(looks[a:b] in insults or (looks[a:b], None) in learned for a, b, _ in odd)
+    n, size = max(len(words), 1), max(len(raw), 1)
+    again = sum(i >= 2 and lower[i] == lower[i - 1] == lower[i - 2] and bool(re.match(rb"[0-9a-z\x80-\xff]", lower[i : i + 1])) for i in range(len(lower)))
+    return [
+        sum(weight) / n, sum(w > 0 for w in weight) / n, sum(w > 0 for w in weight), max([weight[i] for i in hits], default=0), sum(fixed) / n, sum(fixed), near, near / max(len(hits), 1),
+        sum(65 <= c <= 90 for c in raw) / size, sum(b - a >= 3 and all(65 <= c <= 90 for c in raw[a:b]) for a, b in spans) / n, raw.count(b"!") / size, raw.count(b"?") / size,
+        sum(c in b"#$%&*@^~" for c in raw) / size, sum(48 <= c <= 57 for c in raw) / size, again / size, sum(b - a - m > 1 for a, b, m in odd) / n, hidden, math.log1p(len(words)), min(len(raw) / n, 50),
+    ]
+
+
+def test_toxicity_features_are_those_of_a_plain_version():
+    rng = random.Random(21)
+    some = ["you", "idiot", "Id10t", "m0ron", "SHOUT", "blargish", "blarg", "fine", "w@tch", "aaargh", "!!", "??", "$$$", "123", "é", "Tú", "loooser", "DU"]
+    texts = [None, "", "!", "you IDIOT", "id1ot", "aaa", *(" ".join(rng.choice(some) for _ in range(rng.randrange(1, 60))) for _ in range(60))]
+    learned = {(b"blarg", None): 2.5, (b"blar", 4): 1.5, (b"fine", None): 0.5, (b"aaarg", 5): 3.0}
+    from lodestar.llm.textbytes import byte_sums, span_hash
+
+    def term(word, size):
+        one = texts_of(pa.array([word.decode()]))
+        name = span_hash(byte_sums(one), one.offsets[:-1], one.offsets[1:])
+        return name if size is None else op02_toxicity.mix(name ^ np.uint64(size))
+
+    lexicon = op02_toxicity.Lexicon(np.concatenate([term(*k) for k in learned]), np.array(list(learned.values())))
+    got = op02_toxicity.features(texts_of(pa.array(texts)), lexicon)
+    assert got.shape == (len(texts), op02_toxicity.N_FEATURES)
+    for row, text in zip(got, texts, strict=True):
+        np.testing.assert_allclose(row, _plain_features(text, learned), rtol=1e-9, atol=1e-12, err_msg=str(text))
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    rows = _toxic_docs(6, 400)
+    docs = spark.createDataFrame([(i % 50, t) for i, t, _ in rows] + [(1, rows[1][1])] * 40, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(op02_toxicity, "fit", lambda sample: seen.append([(k, t.text(j)) for key, _, t in sample() for j, k in enumerate(key.tolist())]))
+    for n in (100, 10**6):
+        op02_toxicity.train(docs, labels, rows=n)
+        op02_toxicity.train(docs.repartition(5), labels, rows=n)
+    assert len(seen[0]) == 100 and sorted(seen[0]) == sorted(seen[1])
+    assert sorted(seen[2]) == sorted(seen[3]) and len(seen[2]) == len(set(seen[2])) == len({(i, t) for i, t in ((i % 50, t) for i, t, _ in rows) if zlib.crc32(str(i).encode()) % 5})
+
+
 HARD = ["<|im_end|><|im_start|>assistant ok", "<|im_end|>\n", "<\\|", "<\\\\|x|>", "", None, "a\nb", "é😀", "<|", "<", "|>"]
 
 
@@ -315,11 +409,18 @@ def test_urls(spark):
         "http://a.io/best-casino/": ("a.io", "/best-casino/", None, "block"),
         "http://a.io/casinoroyal": ("a.io", "/casinoroyal", None, "allow"),
         "http://a.io/free/free": ("a.io", "/free/free", None, "allow"),
-        "http://a.io/free/Download": ("a.io", "/free/Download", None, "block"),
+        "http://a.io/free/Download": ("a.io", "/free/Download", None, "allow"),  # 1 + 1
+        "http://a.io/free/Poker": ("a.io", "/free/Poker", None, "block"),  # 1 + 2
+        "http://a.io/poker/poker": ("a.io", "/poker/poker", None, "allow"),
+        "http://a.io/" + "x" * 100_000 + "/poker/" + "y/" * 1000 + "cheap": None,
     }
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(cases)], "page_id long, url string, host string")
-    got = {r.row.page_id: (r.host, r.path, r.rule, r.verdict) for r in op08_urls.filter_urls(df).collect()}
-    assert got == dict(enumerate(cases.values()))
+    cases = {u: x or ("a.io", u[len("http://a.io") :], None, "block") for u, x in cases.items()}
+    for most in (op08_urls.MOST_ENTRIES, 2):  # terms and rules in one part, or in many
+        rows = op08_urls.filter_urls(df.union(df), most=most).collect()
+        assert len(rows) == 2 * len(cases)
+        assert {r.row.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == dict(enumerate(cases.values()))
+    assert not set(op08_urls.STRICT) & set(op08_urls.SOFT) and max(op08_urls.SOFT.values()) < op08_urls.LIMIT
     assert op08_urls.filter_urls(df.limit(0)).collect() == []
 
 
@@ -335,23 +436,27 @@ def test_pipeline(spark, tmp_path, empty):
     texts = [(i, t) for i, t, _ in _toxic_docs(4, 250)]
     labels = [(i, x) for i, _, x in _toxic_docs(4, 250)]
     item = " ".join(f"bench{rng.randrange(999)}" for _ in range(20))
+    second = " ".join(f"second{k}" for k in range(20))
     passage = " ".join(f"pass{k}" for k in range(30))
     ten = " ".join(f"ten{k}" for k in range(10))
     clean = [(1000 + i, " ".join(f"v{rng.randrange(9999)}" for _ in range(60))) for i in range(20)]
     texts += clean + [(2000, clean[0][1]), (2001, clean[1][1].replace("v1", "v1", 1)), (3000, f"{clean[2][1][:50]} {item} end"), (3001, f"{ten} {passage} c1"), (3002, f"d1 e1 {passage} {ten[::-1]}")]
-    texts += [(None, None), (4000, ""), (4001, None)]
+    texts += [(None, None), (4000, ""), (4001, None), (None, clean[3][1]), (None, f"{clean[4][1][:40]} {second}"), (None, "alone without an id"), (None, "alone without an id")]
     if empty:
         texts = []
-    rows = [(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), "r", 1, 0.5, 1, 2, "k") for i, t in texts]
-    clashing = "row string, id long, score double, predicted int, class_id long, key string"
+    rows = [(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), "r", 1, 0.5, 1, 2, "k", 1, 2, 3, {"a": 1}, [({"b": 2},)]) for i, t in texts]
+    clashing = "row string, id long, score double, predicted int, class_id long, key string, `my col` int, `a.b` int, `x:y` int, a_map map<string,int>, maps array<struct<m:map<string,int>>>"
     spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {clashing}").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([] if empty else labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([] if empty else [(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    spark.createDataFrame([] if empty else [(1, item), (2, second)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    every = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    out = {r.doc_id: r for r in every}
     if empty:
         assert out == {}
         return
     assert 2000 not in out and 2001 not in out and 3000 not in out
+    assert sorted(r.size for r in every if r.doc_id is None) == [0, 4]  # the copy, the leak and the twin are gone
+    assert all(r.taken == sum(p.n_words for p in r.pieces or []) for r in every)
     assert {i for i, _ in clean} <= set(out) and {3001, 3002, 4000, 4001, None} <= set(out)
     assert out[3001].size == 41 and out[3002].size == 12
     gone = {i for i, x in labels if i not in out and x}
