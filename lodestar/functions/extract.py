@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from lodestar.functions import fixed
 from lodestar.functions.dom import Node, body_of, clean, read
 from lodestar.functions.jsonld import derived
 from lodestar.functions.url import normalize, resolve
@@ -25,7 +26,7 @@ ARTICLE_TYPES = frozenset(
 )
 _SILENT = frozenset("script style noscript template".split())
 _LANDMARKS = "header nav main article aside footer section".split()
-_FRAGMENT_PAGE = re.compile(r"#!?/?(?:page|p)[-_=/]?\d+", re.I)
+_FRAGMENT_PAGE = re.compile(fixed.FRAGMENT_PAGE, re.I)
 _ICON = re.compile(r"(^|\s)(shortcut\s+)?icon(\s|$)|apple-touch-icon|mask-icon", re.I)
 _COMMENTS = re.compile("comment|reply", re.I)
 _HEADING = re.compile(r"h[1-6]$")

@@ -281,6 +281,11 @@ def matchers(pattern: Column, origin_: Column) -> Column:
     return F.pandas_udf(run, "struct<regex:string,exact:boolean,specificity:int>")(pattern, origin_)
 
 
+def read_against(href: Column, base: Column) -> Column:
+    """A link's URL read against a base, as it is; null if it is no URL."""
+    return _batched(lambda h, b: None if h is None else resolve(h, b), "string")(href, base)
+
+
 def resolved(href: Column, base: Column) -> Column:
     """A normalised URL of a link read against a base."""
     return _batched(lambda h, b: normalize(resolve(h, b)), "string")(href, base)

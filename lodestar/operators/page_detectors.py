@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions import fixed as X
 from lodestar.functions.robots import blocked_of
 from lodestar.operators.audit import NETLOC, NOINDEX, Audit, same_site
 from lodestar.operators.ladder import ERROR, FAIL, NA, PASS, WARN, Rung, verdict
@@ -40,7 +41,7 @@ def _n(array: str, where: str) -> str:
 page(
     "http-status", False,
     (FAIL, "f.error is not null", "Request failed: {f.error}"),
-    (FAIL, "f.status is null", "No response status was recorded."),
+    (FAIL, "f.status is null", "The response has no status."),
     (FAIL, "f.status >= 500", "Server error {f.status}."),
     (FAIL, "f.status >= 400", "Client error {f.status}{if(discovered_from is null, '', ', linked from a crawled page')}."),
     (PASS, "true", "Responded {f.status}."),
@@ -267,15 +268,14 @@ page(
 
 page(
     "indexability-matrix-reconciliation", HTML,
-    (NA, "size(resources) = 0", "The page links no stylesheet or script."),
+    (NA, "size(resources) = 0", "Neither stylesheets nor scripts to crawl."),
     (PASS, "size(own_resources) = 0", "All stylesheets and scripts are off-site."),
     (FAIL, "size(array_intersect(resources_blocked, x.stylesheets)) > 0", "robots.txt blocks {size(array_intersect(resources_blocked, x.stylesheets))} stylesheet(s)."),
     (WARN, "size(resources_blocked) > 0", "robots.txt blocks {size(resources_blocked)} script(s)."),
     (PASS, "true", "All {size(own_resources)} own stylesheets and scripts may be crawled."),
 )
 
-_FILLER = "(?i)lorem ipsum|coming soon|\\\\[insert"
-_MARKER = "(?<![.\\\\w])(?:TODO|TBD|XXX)\\\\b"
+_FILLER, _MARKER = X.FILLER, X.MARKER
 _READ = "aggregate(x.content.sections, 0, (n, s) -> n + s.words)"
 page(
     "launch-content-completeness", HTML, _NOT_200,
@@ -374,9 +374,9 @@ def page_facts(audit: Audit) -> DataFrame:
     """Page facts with what robots.txt says about a page's resources."""
     from lodestar.functions import url as U
 
-    resolved = F.udf(lambda u, base: [] if (r := U.resolve(u, base)) is None else [r], "array<string>")
     own = f"filter(resources, u -> {NETLOC.format('u')} = site_netloc)"
-    shown = F.when(F.expr("coalesce(x.open_graph['og:image'], x.twitter['twitter:image']) is not null"), resolved(F.expr("coalesce(x.open_graph['og:image'], x.twitter['twitter:image'])"), F.col("url")))
+    image = F.expr("coalesce(x.open_graph['og:image'], x.twitter['twitter:image'])")
+    shown = F.when(image.isNotNull(), F.array_compact(F.array(U.read_against(image, F.col("url")))))
     out = audit.facts.withColumn("resources", F.expr("array_distinct(concat(x.stylesheets, x.scripts))")).withColumn("own_resources", F.expr(own)).withColumn("shown_image", shown)
     return (
         out.withColumn("final_target", U.normalized(F.col("f.final_url")))

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions import fixed as X
 from lodestar.functions import robots as R
 from lodestar.functions import url as U
 from lodestar.operators.audit import NETLOC, NOINDEX_OR_NONE, Audit
 from lodestar.operators.ladder import ERROR, FAIL, NA, PASS, WARN, Rung, observed
 from lodestar.operators.page_detectors import IS_ARTICLE
 from lodestar.operators.site_detectors import WHEN, by_url, judged, site, tally
+from lodestar.sources.scratch import written
 
 #: SQL: why a record is held; null if it is not
 HELD = "case when trim(coalesce(rec.owner, '')) = '' then 'no owner' when rec.next_review_at < crawled_at then 'its review is due' end"
@@ -167,7 +169,7 @@ def _reports(audit: Audit) -> DataFrame:
     return recorded(audit, "lighthouse").where("rec.policy is not null").selectExpr("crawl_id", "rec.policy as policy", "explode(rec.reports) as e")
 
 
-_NO_POLICY: Rung = (NA, "rec.policy is null", "No performance policy was supplied.")
+_NO_POLICY: Rung = (NA, "rec.policy is null", "Nothing says how fast pages have to be.")
 _POLICY_OWNER: Rung = (WARN, "trim(coalesce(rec.policy.owner, '')) = ''", "The policy has no owner.")
 
 
@@ -207,15 +209,17 @@ def lcp_element_strategy(audit: Audit) -> DataFrame:
 
 
 def matrix(audit: Audit, where: str) -> DataFrame:
-    """Rows (crawl_id, row, m) of the URL matrix, m: how its pattern is matched."""
-    rows = entries(audit, "url_matrix", "entries").join(audit.site_facts.select("crawl_id", "origin"), "crawl_id").withColumnRenamed("e", "row").where(where)
+    """Rows (crawl_id, at, row, m) of the URL matrix, m: how its pattern is matched."""
+    listed = recorded(audit, "url_matrix").selectExpr("crawl_id", "posexplode(rec.entries) as (at, row)")
+    rows = listed.join(audit.site_facts.select("crawl_id", "origin"), "crawl_id").where(where)
     return rows.withColumn("m", U.matchers(F.col("row.pattern"), F.col("origin"))).drop("origin")
 
 
 def best_rows(urls: DataFrame, rows: DataFrame) -> DataFrame:
-    """URLs (crawl_id, url, ...) with the most specific row that fits, or null."""
+    """URLs (crawl_id, url, ...) with the most specific row that fits, or null; of
+    rows alike in that, the first (by ``at``)."""
     met = urls.select("crawl_id", "url").distinct().join(rows, "crawl_id").where("rlike(url, m.regex)")
-    best = met.groupBy("crawl_id", "url").agg(F.expr("max_by(row, m.specificity)").alias("row"))
+    best = met.groupBy("crawl_id", "url").agg(F.expr("max_by(row, struct(m.specificity, -at))").alias("row"))
     return urls.join(best, ["crawl_id", "url"], "left")
 
 
@@ -373,7 +377,7 @@ def experiment_cloaking_divergence(audit: Audit) -> DataFrame:
 def staging_protection(audit: Audit) -> DataFrame:
     named = entries(audit, "environments", "entries").where("coalesce(e.kind, '') <> 'production'").selectExpr("crawl_id", "e.name as name", "e.url as url")
     asked = audit.auxiliary.where("reason = 'environment'").selectExpr("crawl_id", "url", "fetch").dropDuplicates(["crawl_id", "url"])
-    login = "size(fetch.redirect_chain) > 0 and rlike(regexp_extract(fetch.final_url, '^https?://([^?#]*)', 1), '(?i)(^|[/._-])(log-?in|sign-?in|sso|auth(enticate)?|account/login|session)([/._?-]|$)')"
+    login = "size(fetch.redirect_chain) > 0 and rlike(regexp_extract(fetch.final_url, '^https?://([^?#]*)', 1), '" + X.LOGIN + "')"
     rows = named.join(asked, ["crawl_id", "url"], "left")
     return on_record(
         "staging-protection", "environments",
@@ -550,23 +554,35 @@ def manual_a11y_evaluation(audit: Audit) -> DataFrame:
 
 
 def redirects(audit: Audit) -> DataFrame:
-    """(crawl_id, kind, source, goal, expect): the redirect map, resolved."""
-    rows = recorded(audit, "redirect_map").selectExpr("crawl_id", "rec.kind as kind", "rec.old_origin as old_origin", "explode(rec.entries) as e").join(audit.site_facts.select("crawl_id", "origin"), "crawl_id")
-    return rows.withColumn("source", U.resolved(F.col("e.from"), F.coalesce("old_origin", "origin"))).withColumn("goal", U.resolved(F.col("e.to"), F.col("origin"))).selectExpr("crawl_id", "kind", "source", "goal", "e.expect as expect", "e.to is not null as moves")
-
-
-def chained(rows: DataFrame, steps: int = 20) -> DataFrame:
-    """Entries whose goal is an entry too; ``loops`` if it comes back.
-
-    Chains are followed by doubling: a map of n entries needs log2(n) joins."""
-    hop = rows.where("source is not null and goal is not null").groupBy("crawl_id", "source").agg(F.max("goal").alias("goal"))
-    starts = hop.join(hop.selectExpr("crawl_id", "source as goal"), ["crawl_id", "goal"], "left_semi")
-    at, jump = starts.selectExpr("crawl_id", "source", "goal as at"), hop
-    for _ in range(max(1, steps.bit_length())):
-        at = at.join(jump.selectExpr("crawl_id", "source as at", "goal as next"), ["crawl_id", "at"], "left").selectExpr("crawl_id", "source", "coalesce(next, at) as at")
-        jump = jump.join(jump.selectExpr("crawl_id", "source as goal", "goal as far"), ["crawl_id", "goal"], "left").selectExpr("crawl_id", "source", "coalesce(far, goal) as goal")
-    ends = hop.selectExpr("crawl_id", "source as at", "true as goes_on")
-    return at.join(ends, ["crawl_id", "at"], "left").selectExpr("crawl_id", "source", "goes_on is not null as loops")
+    """(crawl_id, kind, at, source, goal, expect, moves): the redirect map, resolved."""
+    rows = recorded(audit, "redirect_map").selectExpr("crawl_id", "rec.kind as kind", "rec.old_origin as old_origin", "posexplode(rec.entries) as (at, e)").join(audit.site_facts.select("crawl_id", "origin"), "crawl_id")
+    rows = rows.withColumn("source", U.resolved(F.col("e.from"), F.coalesce("old_origin", "origin"))).withColumn("goal", U.resolved(F.col("e.to"), F.col("origin")))
+    return rows.selectExpr("crawl_id", "kind", "at", "source", "goal", "e.expect as expect", "e.to is not null as moves")
+
+
+def chained(rows: DataFrame) -> DataFrame:
+    """Entries (crawl_id, source, goal[, at]) whose goal is an entry too; ``loops`` if
+    following them never ends.  Of entries of one source, the last by ``at`` counts.
+
+    Chains are followed by doubling: after r rounds every entry has gone 2^r steps or to
+    its chain's end.  A map of n entries has no chain of more than n steps, so that
+    what still goes on after log2(n) rounds is in a loop or runs into one."""
+    order = F.col("at") if "at" in rows.columns else F.lit(0)
+    last = rows.where("source is not null").groupBy("crawl_id", "source").agg(F.max_by(F.struct("goal"), F.struct(order, "goal")).alias("last"))
+    hop = written(last.selectExpr("crawl_id", "source", "last.goal as goal"), "redirects")
+    sources = hop.selectExpr("crawl_id", "source as goal")
+    jump = hop.where("goal is not null").join(sources, ["crawl_id", "goal"], "left_semi").select("crawl_id", "source", "goal")
+    starts = written(jump, "chains")
+    most = hop.groupBy("crawl_id").count().agg(F.max("count")).first()[0] or 0
+    jump = starts
+    for _ in range(most.bit_length()):
+        # an entry that has come to an end needs no further look
+        ahead = jump.selectExpr("crawl_id", "source as goal", "goal as far")
+        jump = written(jump.join(ahead, ["crawl_id", "goal"]).selectExpr("crawl_id", "source", "far as goal"), "chains")
+        if jump.isEmpty():
+            break
+    endless = jump.selectExpr("crawl_id", "source", "true as loops").distinct()
+    return starts.join(endless, ["crawl_id", "source"], "left").selectExpr("crawl_id", "source", "loops is not null as loops")
 
 
 @site("migration-map-builder")
@@ -587,7 +603,7 @@ def tested(audit: Audit) -> DataFrame:
     """Redirect map entries with what their old URL answered, as ``state``."""
     asked = audit.auxiliary.where("reason = 'redirect-map'").withColumn("source", U.normalized(F.col("url"))).withColumn("landed", U.normalized(F.col("fetch.final_url"))).select("crawl_id", "source", "fetch", "landed").dropDuplicates(["crawl_id", "source"])
     state = (
-        "case when fetch is null then 'unrequested' when rlike(coalesce(fetch.error, ''), '(?i)loop|too many redirects') then 'failed' when fetch.error is not null or fetch.status is null then 'unanswered' "
+        "case when fetch is null then 'unrequested' when rlike(coalesce(fetch.error, ''), '" + X.LOOPING + "') then 'failed' when fetch.error is not null or fetch.status is null then 'unanswered' "
         "when size(fetch.redirect_chain) > 1 then 'failed' when expect is not null and coalesce(try_element_at(fetch.redirect_chain, 1).status, fetch.status) <> expect then 'failed' "
         "when moves and not (landed <=> goal) then 'failed' when moves and fetch.status >= 400 then 'failed' else 'ok' end"
     )
@@ -746,7 +762,7 @@ _OWN = f"{NETLOC.format('loc')} = site_netloc"
 def news_sitemap(audit: Audit) -> DataFrame:
     from lodestar.functions.language import codes as known_codes
 
-    docs = audit.sitemaps.withColumn("named", F.expr("rlike(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '(?i)(^|[^a-z])news([^a-z]|$)')"))
+    docs = audit.sitemaps.withColumn("named", F.expr("rlike(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '" + X.NEWS_NAME + "')"))
     rows = audit.sitemap_news.join(audit.site_facts.select("crawl_id", "site_netloc"), "crawl_id").join(audit.sitemaps.selectExpr("crawl_id", "url as sitemap", "fetched_at").dropDuplicates(["crawl_id", "sitemap"]), ["crawl_id", "sitemap"], "left")
     day = "rlike(trim(publication_date), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')"
     timed = "rlike(trim(publication_date), '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})$')"
@@ -782,10 +798,11 @@ def news_article_policy(audit: Audit) -> DataFrame:
     news = f"exists(x.json_ld_nodes, n -> exists(n.types, t -> {strip} in ('NewsArticle', 'AnalysisNewsArticle', 'AskPublicNewsArticle', 'BackgroundNewsArticle', 'OpinionNewsArticle', 'ReportageNewsArticle', 'ReviewNewsArticle')))"
     org = f"exists(x.json_ld_nodes, n -> exists(n.types, t -> {strip} in ('Organization', 'NewsMediaOrganization', 'Corporation', 'NGO')) and get_json_object(n.json, '$.{{}}') is not null)"
     segs = "split(regexp_extract(l.url, '^https?://[^/?#]*([^?#]*)', 1), '/')"
-    contact = f"exists(x.links, l -> rlike(l.url, '(?i)^(mailto|tel):') or rlike(trim(l.anchor_text), '(?iu)^(contact( us)?|kontakt|contacto|contato|contatti|nous contacter|impressum)$') or exists({segs}, s -> rlike(s, '(?i)^(contact|contact-us|contactus|kontakt|contacto|contato|contatti|nous-contacter|impressum)([.]\\\\w+)?$')))"
-    about = f"exists(x.links, l -> rlike(trim(l.anchor_text), '(?iu)^(about( us)?|masthead|impressum|who we are|our story|om oss|über uns|qui sommes-nous|chi siamo|quiénes somos)$') or exists({segs}, s -> rlike(s, '(?i)^(about|about-us|about_us|aboutus|masthead|impressum|who-we-are|om-oss|ueber-uns|uber-uns|qui-sommes-nous|chi-siamo|quienes-somos)([.]\\\\w+)?$')))"
-    sponsored = f"(exists(x.json_ld_nodes, n -> exists(n.types, t -> {strip} = 'AdvertiserContentArticle')) or exists(split(regexp_extract(f.final_url, '^https?://[^/?#]*([^?#]*)', 1), '/'), s -> rlike(s, '(?i)^(sponsored|sponsor(ed)?-content|paid-?posts?|paid-?content|partner-?content|advertorials?|brand-?studio)$')))"
-    told = "rlike(concat(x.text, ' ', coalesce(x.authorship.byline, ''), ' ', array_join(transform(x.images, i -> coalesce(i.alt, '')), ' ')), '(?i)sponsored|paid (post|content|partnership|for by)|advertisement|advertorial|advertiser content|promoted by')"
+    contact = f"exists(x.links, l -> rlike(l.url, '(?i)^(mailto|tel):') or rlike(trim(l.anchor_text), '{X.CONTACT_TEXT}') or exists({segs}, s -> rlike(s, '{X.CONTACT_PATH}')))"
+    about = f"exists(x.links, l -> rlike(trim(l.anchor_text), '{X.ABOUT_TEXT}') or exists({segs}, s -> rlike(s, '{X.ABOUT_PATH}')))"
+    declared = f"exists(x.json_ld_nodes, n -> exists(n.types, t -> {strip} = 'AdvertiserContentArticle'))"
+    sponsored = f"({declared} or exists(split(regexp_extract(f.final_url, '^https?://[^/?#]*([^?#]*)', 1), '/'), s -> rlike(s, '{X.SPONSORED}')))"
+    told = f"rlike(concat(x.text, ' ', coalesce(x.authorship.byline, ''), ' ', array_join(transform(x.images, i -> coalesce(i.alt, '')), ' ')), '{X.DISCLOSED}')"
     pages = audit.facts.where("html_200").selectExpr(
         "crawl_id", "normalized_url", f"{news} as typed", "f.truncated as cut", f"{contact} or {org.format('email')} or {org.format('telephone')} or {org.format('contactPoint')} as contact", f"{about} or {org.format('name')} as publisher",
         "coalesce(x.derived.article.author, x.authorship.byline, x.authorship.meta_author, nullif(trim(x.authorship.article_author), '')) as author",
@@ -853,7 +870,7 @@ def videoobject_schema(audit: Audit) -> DataFrame:
 
 @site("video-sitemap")
 def video_sitemap(audit: Audit) -> DataFrame:
-    docs = audit.sitemaps.withColumn("named", F.expr("rlike(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '(?i)(^|[^a-z])videos?([^a-z]|$)')"))
+    docs = audit.sitemaps.withColumn("named", F.expr("rlike(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '" + X.VIDEO_NAME + "')"))
     rows = audit.sitemap_video.join(audit.site_facts.select("crawl_id", "site_netloc", "robots_txt"), "crawl_id")
     rows = rows.withColumn("own", F.expr(f"filter(array_compact(array(loc, thumbnail_url, content_url, player_url)), u -> {NETLOC.format('u')} = site_netloc)")).withColumn("barred", R.blocked_of(F.col("robots_txt"), "Googlebot", F.col("own")))
     pages = rows.selectExpr("crawl_id", "loc as target").distinct().join(audit.facts.where("html_200").selectExpr("crawl_id", "normalized_url as target", f"({_VIDEOS}) + size(x.derived.videos) as videos"), ["crawl_id", "target"])

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import fixed as X
 from lodestar.functions import robots as R
+from lodestar.functions.url import TRACKING_KEYS
 from lodestar.operators.audit import NETLOC, NOINDEX, Audit, same_site
 from lodestar.operators.ladder import ERROR, FAIL, NA, PASS, WARN, Rung, observed
 from lodestar.operators.page_detectors import IS_ARTICLE
@@ -144,7 +146,7 @@ def crawler_fetch_limit(audit: Audit) -> DataFrame:
         rows, "crawler-fetch-limit",
         [
             (NA, "error is not null or status is null or status < 200 or status >= 300", "No successful response to measure."),
-            (NA, "rlike(kind, '^(image|video|audio|font)/|^application/(octet-stream|zip|gzip|x-gzip|wasm)$')", "{kind} is no document."),
+            (NA, "rlike(kind, '" + X.NO_DOCUMENT + "')", "{kind} is no document."),
             (FAIL, "level = 3", "{size.bytes} bytes, or a linked file, are past the limit."),
             (ERROR, "level = 2", "The size is not known."),
             (WARN, "level = 1", "{size.bytes} bytes, or a linked file, are near the limit."),
@@ -331,7 +333,7 @@ def trust_pages_presence(audit: Audit) -> DataFrame:
 
 @site("outbound-link-qualification")
 def outbound_link_qualification(audit: Audit) -> DataFrame:
-    sponsored = "(?i)^(sponsored|sponsor(ed)?-content|paid-?posts?|paid-?content|partner-?content|advertorials?|brand-?studio)$"
+    sponsored = X.SPONSORED
     declared = (
         "exists(x.json_ld_nodes, n -> exists(n.types, t -> regexp_replace(t, '^(https?://schema[.]org/|schema:)', '') = 'AdvertiserContentArticle')) "
         f"or exists(split(regexp_extract(f.final_url, '^https?://[^/?#]*([^?#]*)', 1), '/'), s -> rlike(s, '{sponsored}'))"
@@ -401,7 +403,7 @@ def url_convention(audit: Audit) -> DataFrame:
         [(audit.facts.where("html_200"), {
             "html_pages": "count(*)", "upper": "count_if(rlike(path, '[A-Z]'))", "underscored": "count_if(contains(path, '_'))", "deep": "count_if(size(filter(split(path, '/'), s -> s <> '')) > 4)",
         })],
-        _NO_PAGES, (WARN, "upper + underscored + deep > 0", "{upper} with uppercase, {underscored} with underscores, {deep} too deep."), (PASS, "true", "URLs are lowercase, hyphenated and shallow."),
+        _NO_PAGES, (WARN, "upper + underscored + deep > 0", "Against the convention: {upper} capital(s), {underscored} underscore(s), {deep} deep path(s)."), (PASS, "true", "All paths follow the convention."),
     )
 
 
@@ -417,7 +419,7 @@ def host_slash_policy(audit: Audit) -> DataFrame:
 
 @site("internal-search-indexability")
 def internal_search_indexability(audit: Audit) -> DataFrame:
-    looks = "rlike(regexp_extract({0}, '^https?://[^/?#]*([^?#]*)', 1), '(?i)/(search|suche|recherche|busca|resultater)\\\\b') or rlike({0}, '[?&](q|s|query|search|keyword|keywords)(=|&|#|$)')"
+    looks = f"rlike(regexp_extract({{0}}, '^https?://[^/?#]*([^?#]*)', 1), '{X.SEARCH_PATH}') or rlike({{0}}, '[?&]({'|'.join(X.SEARCH_NAMES)})(=|&|#|$)')"
     crawled = audit.facts.where(looks.format("normalized_url"))
     return judged(
         "internal-search-indexability", audit,
@@ -428,11 +430,12 @@ def internal_search_indexability(audit: Audit) -> DataFrame:
 
 #: SQL: a query's pairs, each with its role
 _PAIRS = "filter(split(regexp_extract({0}, '[?]([^#]*)', 1), '&'), p -> p <> '')"
+_TRACKING = "|".join(sorted(k for k in TRACKING_KEYS if not k.startswith("utm_")))
+_NAMES = "'" + "', '".join(X.SEARCH_NAMES) + "'"
+_PAGES = "'" + "', '".join(X.PAGE_NAMES) + "'"
 _ROLE = (
-    "case when rlike(k, '(?i)^(jsessionid|phpsessid|aspsessionid\\\\w*|sessionid|session_id|sessid|cfid|cftoken|zenid|oscsid)$') then 'session' "
-    "when rlike(k, '(?i)^(utm_.*|gclid|gbraid|wbraid|dclid|fbclid|msclkid|ttclid|mc_cid|mc_eid|igshid|ref_src)$') then 'tracking' "
-    "when lower(k) in ('q', 's', 'query', 'search', 'keyword', 'keywords') then 'search' "
-    "when lower(k) in ('page', 'p', 'pg', 'paged') and rlike(v, '^[0-9]+$') then 'pagination' else 'state' end"
+    f"case when rlike(k, '{X.SESSION_NAMES}') then 'session' when rlike(k, '(?i)^(utm_.*|{_TRACKING})$') then 'tracking' "
+    f"when lower(k) in ({_NAMES}) then 'search' when lower(k) in ({_PAGES}) and rlike(v, '^[0-9]+$') then 'pagination' else 'state' end"
 )
 ROUTE = "regexp_extract({0}, '^([^?#]*)', 1)"
 
@@ -455,7 +458,7 @@ def parameter_crawl_space(audit: Audit) -> DataFrame:
     return judged(
         "parameter-crawl-space", audit,
         [
-            (marked, {"urls": "count_if(size(roles) > 0)", "sessions": "count_if(array_contains(roles, 'session') or rlike(url, '(?i);(jsessionid|phpsessid|sessionid)='))"}),
+            (marked, {"urls": "count_if(size(roles) > 0)", "sessions": "count_if(array_contains(roles, 'session') or rlike(url, '" + X.SESSION_PATH + "'))"}),
             (spelled, {"permuted": "count(*)"}),
             (over, {"unfetched": "count(*)", "variants": "count_if(seen and size(roles) > 0)", "states": "count_if(array_contains(roles, 'state'))"}),
             (audit.blocked.where(f"size({_PAIRS.format('url')}) > 0"), {"barred": "count(*)"}),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestar.operators.audit import Audit
 from lodestar.operators.page_detectors import PAGE
 from lodestar.operators.site_detectors import AFTER, SITE
+from lodestar.sources.scratch import written
 
 
 def implemented() -> list[str]:
@@ -117,17 +118,19 @@ def guard(observations: DataFrame) -> DataFrame:
 
 
 def observe(audit: Audit) -> DataFrame:
-    """All observations of all detectors."""
+    """All observations of all detectors, in two stages: detectors that look at the crawl,
+    written once, then those that look at the others' observations."""
     from lodestar.operators import record_detectors  # noqa: F401
     from lodestar.operators.page_detectors import page_observations
 
     first = page_observations(audit)
     for run in SITE.values():
         first = first.unionByName(run(audit))
-    later = [run(audit, first) for run in AFTER.values()]
-    for rows in later:
-        first = first.unionByName(rows)
-    return first
+    first = written(first, "observations")
+    out = first
+    for run in AFTER.values():
+        out = out.unionByName(run(audit, first))
+    return out
 
 
 def gate_history(checks: DataFrame, previous: DataFrame, graded: DataFrame, reopened: DataFrame) -> DataFrame:

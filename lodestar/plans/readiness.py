@@ -88,17 +88,17 @@ def run_problem(known_checks: Column, assessed_at: Column) -> Column:
     required = ["run_id", "check_id", "release_id", "scope_revision", "criteria_revision", "origin", "tester", "evidence", "reviewed_by"]
     tested, reviewed, following, assessed = (instant(c) for c in (F.col("tested_at"), F.col("reviewed_at"), F.col("next_review_at"), assessed_at))
     late = F.col("next_review_at").isNotNull() & (following.isNull() | (following <= tested))
-    problems = [F.when(~filled(F.col(c)), f"missing {c}") for c in required] + [
-        F.when(F.col("run_id").rlike("[*?~]"), "run id holds a wildcard character"),
-        F.when(~F.array_contains(known_checks, F.col("check_id")), "unknown check"),
-        F.when(~F.coalesce(F.col("environment").isin("planning", "pre-production", "production"), F.lit(False)), "unknown environment"),
-        F.when(~F.coalesce(F.col("result").isin("not-started", "in-progress", "passed", "failed", "skipped", "reopened"), F.lit(False)), "unknown result"),
-        F.when(tested.isNull(), "invalid tested time"),
-        F.when(reviewed.isNull() | (reviewed < tested), "review time missing or before the test"),
-        F.when(assessed.isNull() | (reviewed > assessed), "review time after the assessment"),
-        F.when(late, "next review not after the test"),
-        F.when((F.col("result") == "passed") & following.isNull() & ~filled(F.col("event_trigger")), "a passed run needs a next review time or an event trigger"),
-        F.when((F.col("result") == "reopened") & ~filled(F.col("event_trigger")), "a reopened run needs the event that reopened it"),
+    problems = [F.when(~filled(F.col(c)), f"no {c}") for c in required] + [
+        F.when(F.col("run_id").rlike("[*?~]"), "its id could stand for several runs"),
+        F.when(~F.array_contains(known_checks, F.col("check_id")), "it is of a check that the catalogue lacks"),
+        F.when(~F.coalesce(F.col("environment").isin("planning", "pre-production", "production"), F.lit(False)), "its environment is none of the three"),
+        F.when(~F.coalesce(F.col("result").isin("not-started", "in-progress", "passed", "failed", "skipped", "reopened"), F.lit(False)), "its result is none of the six"),
+        F.when(tested.isNull(), "when it was tested can't be read"),
+        F.when(reviewed.isNull() | (reviewed < tested), "it was not reviewed, or sooner than tested"),
+        F.when(assessed.isNull() | (reviewed > assessed), "its review lies in the assessment's future"),
+        F.when(late, "it falls due before it was tested"),
+        F.when((F.col("result") == "passed") & following.isNull() & ~filled(F.col("event_trigger")), "it passed for good: neither a date nor an event ends that"),
+        F.when((F.col("result") == "reopened") & ~filled(F.col("event_trigger")), "nothing is said to have reopened it"),
     ]
     return F.coalesce(*problems)
 

@@ -395,11 +395,25 @@ FROM (SELECT page_id, url AS u FROM pages)
 """)
 def best_match_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", F.col("url"), F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("crawl_id"))
-    patterns = spark.createDataFrame([(p,) for p in ("/en/1*", "/en/**", "/*/*")], "pattern string")
-    rows = pages.select("crawl_id").distinct().join(patterns, F.lit(True)).withColumn("m", U.matchers(F.col("pattern"), F.col("crawl_id"))).select("crawl_id", F.struct("pattern").alias("row"), "m")
+    return _best_patterns(spark, pages, "/en/1*", "/en/**", "/*/*")
+
+
+def _best_patterns(spark: SparkSession, pages: DataFrame, *patterns: str) -> DataFrame:
+    listed = spark.createDataFrame(list(enumerate(patterns)), "at int, pattern string")
+    rows = pages.select("crawl_id").distinct().join(listed, F.lit(True)).withColumn("m", U.matchers(F.col("pattern"), F.col("crawl_id"))).select("crawl_id", "at", F.struct("pattern").alias("row"), "m")
     return best_rows(pages, rows).select("page_id", F.col("row.pattern").alias("pattern"))
 
 
+@query(r"""
+SELECT page_id, CASE WHEN regexp_matches(u, '^https?://[^/]+/en/[^/?#]*1/?$') THEN '/en/*1' WHEN regexp_matches(u, '^https?://[^/]+/en/1[^/?#]*/?$') THEN '/en/1*' WHEN regexp_matches(u, '^https?://[^/]+/en/.*$') THEN '/en/**' ELSE NULL END AS pattern
+FROM (SELECT page_id, url AS u FROM pages)
+""")
+def best_match_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two patterns are equally specific: the first of them counts."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.col("url"), F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("crawl_id"))
+    return _best_patterns(spark, pages, "/en/*1", "/en/1*", "/en/**")
+
+
 # ---- events as logs and reports
 
 
@@ -655,26 +669,39 @@ def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     goal = F.when(key % 7 == 0, None).when(key % 5 == 0, key - 4).otherwise(key + 1)
     rows = read(spark, sf_dir, "customer").select(F.lit("c").alias("crawl_id"), key.cast("string").alias("source"), goal.cast("string").alias("goal"))
+    return chained(rows.where("goal is not null")).select("source", "loops")
+
+
+@query("""
+WITH m AS (SELECT c_custkey AS s, CASE WHEN c_custkey % 120 <> 0 THEN c_custkey + 1 WHEN c_custkey // 120 % 2 = 0 THEN c_custkey - 119 END AS t, (c_custkey + 119) // 120 AS block FROM customer)
+SELECT s::VARCHAR AS source, block % 2 = 0 AND block * 120 <= (SELECT max(s) FROM m) AS loops FROM m WHERE t IN (SELECT s FROM m)
+""")
+def redirect_long_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 120 entries: every other one comes back to its beginning, the others end
+    at an entry that is gone."""
+    key = F.col("c_custkey")
+    goal = F.when(key % 120 != 0, key + 1).when(F.floor(key / 120) % 2 == 0, key - 119)
+    rows = read(spark, sf_dir, "customer").select(F.lit("c").alias("crawl_id"), key.cast("string").alias("source"), goal.cast("string").alias("goal"))
     return chained(rows).select("source", "loops")
 
 
 @query("""
-WITH e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 49 AND l_discount >= 0.09)
+WITH e AS (SELECT DISTINCT c_custkey AS a, s_suppkey AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey)
 SELECT a, b FROM e WHERE a <> b AND NOT EXISTS (SELECT 1 FROM e r WHERE r.a = e.b AND r.b = e.a)
 """)
 def reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09").select("l_orderkey", "l_suppkey")
-    buyers = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    edges = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = edges.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    buyers = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(read(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    edges = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf_dir, "supplier").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = edges.select(F.col("c_custkey").alias("a"), F.col("s_suppkey").alias("b")).distinct()
     return edges.where("a <> b").join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
 
 
 @query("""
-SELECT l_orderkey AS observation_id, l_linenumber AS line, o_custkey AS page_id, c_name AS page FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey WHERE l_returnflag = 'R' AND l_quantity >= 45
+SELECT l_orderkey AS observation_id, l_linenumber AS line, o_custkey AS page_id, c_name AS page FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey
 """)
 def evidence_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select(F.col("l_orderkey").alias("observation_id"), F.col("l_linenumber").alias("line"))
+    links = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("observation_id"), F.col("l_linenumber").alias("line"))
     observations = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("observation_id"), F.col("o_custkey").alias("page_id"))
     pages = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.col("c_name").alias("page"))
     return compare.evidence_drilldown(links, observations, pages).select("observation_id", "line", "page_id", "page")
@@ -710,11 +737,14 @@ def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS s, l_suppkey % 500 AS t FROM lineitem WHERE l_quantity >= 48),
-w(u, d) AS (SELECT 1::BIGINT, 0 UNION SELECT t, d + 1 FROM w JOIN e ON e.s = w.u WHERE d < 3)
-SELECT u::VARCHAR AS url, min(d)::BIGINT AS depth FROM w GROUP BY 1
+WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS s, 's' || l_suppkey AS t FROM lineitem UNION SELECT 's' || l_suppkey, 'p' || (l_partkey + 1) FROM lineitem),
+w(u, d) AS (SELECT 'p1', 0 UNION SELECT t, d + 1 FROM w JOIN e ON e.s = w.u WHERE d < 3)
+SELECT u AS url, min(d)::BIGINT AS depth FROM w GROUP BY 1
 """)
 def crawl_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = read(spark, sf_dir, "lineitem").where("l_quantity >= 48").select((F.col("l_partkey") % 500).cast("string").alias("source"), (F.col("l_suppkey") % 500).cast("string").alias("target")).distinct()
-    seeds = spark.createDataFrame([("1",)], "url string")
+    """From the first part to its suppliers, on to the parts after theirs, and their suppliers."""
+    lines = read(spark, sf_dir, "lineitem")
+    part, following, supplier = (F.concat(F.lit(name), key) for name, key in (("p", F.col("l_partkey")), ("p", F.col("l_partkey") + 1), ("s", F.col("l_suppkey"))))
+    edges = lines.select(part.alias("source"), supplier.alias("target")).union(lines.select(supplier, following)).distinct()
+    seeds = spark.createDataFrame([("p1",)], "url string")
     return store.frontier(edges, seeds, 3).select("url", F.col("depth").cast("long").alias("depth"))

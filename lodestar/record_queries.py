@@ -74,31 +74,32 @@ def record_analytics_reconciliation(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 @query("""
-SELECT p_brand AS crawl_id, CASE WHEN count(*) FILTER (WHERE (p_retailprice * 4 > 4000 AND NOT p_size % 3 = 0) OR (p_retailprice / 2 > 500 AND NOT p_size % 3 = 1) OR p_size / 100.0 > 0.25) > 0 THEN 'fail'
- WHEN count(*) FILTER (WHERE p_size % 7 = 0) > 0 THEN 'warn' ELSE 'pass' END AS outcome FROM (SELECT p_brand || p_type AS p_brand, p_retailprice, p_size FROM part WHERE p_size < 40) GROUP BY 1
+SELECT p_brand AS crawl_id, CASE WHEN count(*) FILTER (WHERE (p_retailprice * 4 > 4000 AND NOT p_size % 3 = 0) OR (p_retailprice / 2 > 500 AND NOT p_size % 3 = 1) OR p_size / 190.0 > 0.25) > 0 THEN 'fail'
+ WHEN count(*) FILTER (WHERE p_size % 7 = 0) > 0 THEN 'warn' ELSE 'pass' END AS outcome FROM (SELECT p_brand || p_type AS p_brand, p_retailprice, p_size FROM part) GROUP BY 1
 """)
 def record_field_cwv_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("p_size") % 3 == 0, F.array(F.struct(F.lit("lcp").alias("metric"), F.lit("o").alias("owner")))).when(F.col("p_size") % 3 == 1, F.array(F.struct(F.lit("inp").alias("metric"), F.lit("o").alias("owner"))))
     one = F.struct(
         F.lit("crux").alias("source"), F.col("p_name").alias("target"), F.lit("phone").alias("form_factor"), F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice") * 4).otherwise(F.when(F.col("p_retailprice") * 4 > 4000, F.col("p_retailprice") * 4)).alias("lcp_ms"),
-        (F.col("p_retailprice") / 2).alias("inp_ms"), (F.col("p_size") / 100).alias("cls"), action.alias("actions"),
+        (F.col("p_retailprice") / 2).alias("inp_ms"), (F.col("p_size") / 190).alias("cls"), action.alias("actions"),
     )
-    rows = written(read(spark, sf_dir, "part").where("p_size < 40").groupBy(F.concat("p_brand", "p_type").alias("crawl_id")).agg(F.collect_list(one).alias("populations")), "vitals")
+    rows = written(read(spark, sf_dir, "part").groupBy(F.concat("p_brand", "p_type").alias("crawl_id")).agg(F.collect_list(one).alias("populations")), "vitals")
     audit = crawls(spark, rows)
     audit.inputs["crux"] = held(rows, "crux", populations=F.col("populations"))
     return outcomes("field-cwv-monitor", audit)
 
 
 @query("""
-SELECT user_id::VARCHAR AS crawl_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE > 0.01 THEN 'fail' WHEN count(*) FILTER (WHERE event_type = 'view') > 0 THEN 'fail'
- WHEN count(*) FILTER (WHERE event_id % 3 = 0) / count(*)::DOUBLE > 0.25 THEN 'warn' ELSE 'pass' END AS outcome FROM events WHERE user_id % 2 = 0 OR event_type NOT IN ('error', 'view') GROUP BY 1
+SELECT user_id::VARCHAR AS crawl_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND event_id % 5 = 0 AND user_id % 3 = 0) / count(*)::DOUBLE > 0.01 THEN 'fail' WHEN user_id % 4 = 0 AND count(*) FILTER (WHERE event_type = 'view') > 0 THEN 'fail'
+ WHEN count(*) FILTER (WHERE event_id % 3 = 0) / count(*)::DOUBLE > 0.25 THEN 'warn' ELSE 'pass' END AS outcome FROM events GROUP BY user_id
 """)
 def record_log_file_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.struct(
-        F.col("ts").cast("timestamp").alias("at"), F.lit("GET").alias("method"), F.concat(F.lit("/"), "event_type").alias("path"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
+        F.col("ts").cast("timestamp").alias("at"), F.lit("GET").alias("method"), F.concat(F.when(F.col("user_id") % 4 == 0, "/").otherwise("/open/"), "event_type").alias("path"),
+        F.when((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0) & (F.col("user_id") % 3 == 0), 500).otherwise(200).alias("status"),
         F.lit("Googlebot").alias("user_agent"), (F.col("event_id") % 3 == 0).alias("parameterised"),
     )
-    events = read(spark, sf_dir, "events").where("user_id % 2 = 0 or event_type not in ('error', 'view')")
+    events = read(spark, sf_dir, "events")
     rows = written(events.groupBy(F.col("user_id").cast("string").alias("crawl_id")).agg(F.collect_list(hit).alias("hits")), "hits")
     audit = crawls(spark, rows, robots_txt=F.lit("User-agent: *\nDisallow: /view"))
     audit.inputs["server_logs"] = held(rows, "server_logs", hits=F.col("hits"))

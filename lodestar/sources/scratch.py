@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -14,10 +14,17 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="lodestar-")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path not used yet under ``spark.checkpoint.dir`` (a folder of our own only where
+    that is unset and all runs on this machine, as in tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{named or _own_dir()}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read again, under ``spark.checkpoint.dir`` (a folder of
-    our own only where that is unset, as in tests)."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or _own_dir()}/{name}-{uuid.uuid4().hex}"
+    """``df`` written once and read again."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

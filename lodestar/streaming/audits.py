@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.functions.extract import with_extracted
 from lodestar.sources.logs import read_lines
+from lodestar.sources.scratch import fresh_path
 
 
 def arriving_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,7 +48,14 @@ def daily_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", la
 
 
 def run_to_end(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that a stream has so far, by a memory sink."""
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream has so far, as a table in the shared folder: every batch
+    replaces what the one before wrote."""
+    path = fresh_path(rows.sparkSession, name)
+    schema = rows.schema
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = rows.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return rows.sparkSession.table(name)
+    return rows.sparkSession.read.schema(schema).parquet(path)
