@@ -281,6 +281,16 @@ def matchers(pattern: Column, origin_: Column) -> Column:
     return F.pandas_udf(run, "struct<regex:string,exact:boolean,specificity:int>")(pattern, origin_)
 
 
+def of_site(url: Column, origin_: Column) -> Column:
+    """Whether both are of one host and port."""
+    return _batched(same_site, "boolean")(url, origin_)
+
+
+def registrable(host_: Column) -> Column:
+    """The registrable domain of a host; null of an address or a single label."""
+    return _batched(lambda h: None if h is None else registrable_domain(h), "string")(host_)
+
+
 def read_against(href: Column, base: Column) -> Column:
     """A link's URL read against a base, as it is; null if it is no URL."""
     return _batched(lambda h, b: None if h is None else resolve(h, b), "string")(href, base)

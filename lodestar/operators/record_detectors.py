@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import fixed as X
 from lodestar.functions import robots as R
+from lodestar.functions import scalars as S
 from lodestar.functions import url as U
 from lodestar.operators.audit import NETLOC, NOINDEX_OR_NONE, Audit
 from lodestar.operators.ladder import ERROR, FAIL, NA, PASS, WARN, Rung, observed
@@ -97,13 +98,17 @@ simple(
     (FAIL, "invented > 0", "{invented} report(s) claim history before their tool recorded it."), (FAIL, "mixed > 0", "{mixed} report(s) mix engines."), (WARN, "n = 0", "No reports."),
     (WARN, "unread > 0", "{unread} period(s) are no date range."), HOLD, (PASS, "true", "{n} report(s) are per engine and honest."), array="entries",
 )
-_GAP = "coalesce(abs(e.a - e.b) / nullif(greatest(e.a, e.b), 0), 0)"
-simple(
-    "analytics-reconciliation", "analytics",
-    {"n": "count(*)", "unexplained": f"count_if({_GAP} > 0.1 and e.explanation is null)", "drifting": f"count_if({_GAP} > 0.05 and not ({_GAP} > 0.1 and e.explanation is null))"},
-    (NA, "n = 0", "No reported figures."), (FAIL, "unexplained > 0", "{unexplained} pair(s) are over 10% apart."), (WARN, "drifting > 0", "{drifting} pair(s) are over 5% apart."),
-    HOLD, (PASS, "true", "All {n} pair(s) agree."), array="reported",
-)
+
+
+@site("analytics-reconciliation")
+def analytics_reconciliation(audit: Audit) -> DataFrame:
+    rows = entries(audit, "analytics", "reported").withColumn("gap", S.figure_gap(F.col("e.a"), F.col("e.b"))).withColumn("open", F.expr("gap > 0.1 and e.explanation is null"))
+    return on_record(
+        "analytics-reconciliation", "analytics", [(rows, {"n": "count(*)", "unexplained": "count_if(open)", "drifting": "count_if(gap > 0.05 and not open)"})], audit,
+        (NA, "n = 0", "No reported figures."), (FAIL, "unexplained > 0", "{unexplained} pair(s) are over 10% apart."), (WARN, "drifting > 0", "{drifting} pair(s) are over 5% apart."), HOLD, (PASS, "true", "All {n} pair(s) agree."),
+    )
+
+
 simple(
     "monitoring-incident-sla", "incidents", {"n": "count(*)", "loose": "count_if(trim(coalesce(e.owner, '')) = '' or trim(coalesce(e.remediation, '')) = '')"},
     (FAIL, "loose > 0", "{loose} incident(s) have no owner or remediation."), HOLD, (PASS, "true", "{n} incident(s) are owned and remedied."), array="entries",
@@ -149,10 +154,11 @@ def security_dependency_maintenance(audit: Audit) -> DataFrame:
 
 @site("field-cwv-monitor")
 def field_cwv_monitor(audit: Audit) -> DataFrame:
-    each = entries(audit, "crux", "populations").selectExpr("crawl_id", "e.actions as actions", "stack(3, 'lcp', e.lcp_ms, 4000d, 'inp', e.inp_ms, 500d, 'cls', e.cls, 0.25d) as (metric, p75, poor)")
+    each = entries(audit, "crux", "populations").selectExpr("crawl_id", "e.actions as actions", "stack(3, 'lcp', e.lcp_ms, 'inp', e.inp_ms, 'cls', e.cls) as (metric, p75)")
+    each = each.withColumn("grade", S.field_grade(F.col("metric"), F.col("p75")))
     owned = "exists(actions, a -> a.metric = metric and trim(coalesce(a.owner, '')) <> '')"
     return on_record(
-        "field-cwv-monitor", "crux", [(each, {"n": "count(*)", "missing": "count_if(p75 is null)", "unanswered": f"count_if(p75 > poor and not coalesce({owned}, false))"})], audit,
+        "field-cwv-monitor", "crux", [(each, {"n": "count(*)", "missing": "count_if(p75 is null)", "unanswered": f"count_if(grade = 'poor' and not coalesce({owned}, false))"})], audit,
         (FAIL, "unanswered > 0", "{unanswered} poor metric(s) have no action."), (WARN, "n = 0 or missing > 0", "{missing} metric(s) are unavailable."), HOLD, (PASS, "true", "{n} metric(s) are graded."),
     )
 
@@ -416,14 +422,10 @@ def indexation_review(audit: Audit) -> DataFrame:
 @site("gsc-property-ownership")
 def gsc_property_ownership(audit: Audit) -> DataFrame:
     rows = entries(audit, "search_console", "properties").join(audit.site_facts.selectExpr("crawl_id", "lower(origin) as origin", "site_netloc"), "crawl_id")
-    host = "regexp_replace(site_netloc, ':[0-9]+$', '')"
-    covers = (
-        f"case when startswith(e.property, 'sc-domain:') then {host} = lower(substring(e.property, 11)) or endswith({host}, concat('.', lower(substring(e.property, 11)))) "
-        "when rlike(e.property, '^https?://') then startswith(concat(rtrim('/', origin), '/'), concat(rtrim('/', lower(e.property)), '/')) end"
-    )
+    rows = rows.withColumn("covers", S.property_covers(F.col("e.property"), F.col("origin")))
     return on_record(
         "gsc-property-ownership", "search_console",
-        [(rows, {"n": "count(*)", "covering": f"count_if({covers})", "owners": f"max(if({covers}, size(array_distinct(transform(e.owners, o -> lower(trim(o))))), 0))"})], audit,
+        [(rows, {"n": "count(*)", "covering": "count_if(covers)", "owners": "max(if(covers, size(array_distinct(transform(e.owners, o -> lower(trim(o))))), 0))"})], audit,
         (WARN, "n = 0", "No property is named."), (FAIL, "covering = 0", "No property covers the site."), (FAIL, "owners = 0", "The property has no owner."), HOLD, (WARN, "owners = 1", "The property has one owner."),
         (PASS, "true", "A property covers the site, with {owners} owners."),
     )
@@ -764,13 +766,7 @@ def news_sitemap(audit: Audit) -> DataFrame:
 
     docs = audit.sitemaps.withColumn("named", F.expr("rlike(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '" + X.NEWS_NAME + "')"))
     rows = audit.sitemap_news.join(audit.site_facts.select("crawl_id", "site_netloc"), "crawl_id").join(audit.sitemaps.selectExpr("crawl_id", "url as sitemap", "fetched_at").dropDuplicates(["crawl_id", "sitemap"]), ["crawl_id", "sitemap"], "left")
-    day = "rlike(trim(publication_date), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')"
-    timed = "rlike(trim(publication_date), '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})$')"
-    rows = rows.selectExpr(
-        "*", f"case when {day} then try_cast(concat(trim(publication_date), 'T00:00:00+14:00') as timestamp) when {timed} then try_cast(trim(publication_date) as timestamp) end as earliest",
-        f"case when {day} then try_cast(concat(trim(publication_date), 'T23:59:59.999-12:00') as timestamp) when {timed} then try_cast(trim(publication_date) as timestamp) end as latest",
-        "lower(trim(language)) as code",
-    )
+    rows = rows.withColumn("span", S.publication_span(F.col("publication_date"))).selectExpr("*", "span.earliest as earliest", "span.latest as latest", "lower(trim(language)) as code")
     codes = ", ".join(f"'{c}'" for c in sorted(known_codes(audit.spark).languages))
     good = f"(code in ('zh-cn', 'zh-tw') or rlike(code, '^[a-z]{{3}}$') or code in ({codes}))"
     tagged = f"(rlike(code, '^[a-z]{{2}}-') and split(code, '-')[0] in ({codes}))"
@@ -851,10 +847,9 @@ def video_watch_page(audit: Audit) -> DataFrame:
 
 @site("videoobject-schema")
 def videoobject_schema(audit: Audit) -> DataFrame:
-    ident = "coalesce(nullif(regexp_extract({0}, '[?&]v=([^&#]+)', 1), ''), nullif(regexp_extract(regexp_extract({0}, '^([^?#]*)', 1), '([^/]+)/?$', 1), ''))"
-    players = f"transform(concat(transform(filter(x.media, i -> i.kind = 'video' and not i.ambient), i -> coalesce(i.src, '')), transform({_PLAYERS}, p -> p.src)), u -> {ident.format('u')})"
-    marked = f"flatten(transform(x.derived.videos, v -> array_compact(array({ident.format('v.content_url')}, {ident.format('v.embed_url')}))))"
-    rows = audit.facts.where("is_html").withColumn("players", F.expr(players)).withColumn("marked", F.expr(marked))
+    shown = F.expr(f"concat(transform(filter(x.media, i -> i.kind = 'video' and not i.ambient), i -> coalesce(i.src, '')), transform({_PLAYERS}, p -> p.src))")
+    named = F.expr("array_compact(flatten(transform(x.derived.videos, v -> array(v.content_url, v.embed_url))))")
+    rows = audit.facts.where("is_html").withColumn("players", F.transform(shown, S.media_id)).withColumn("marked", F.array_compact(F.transform(named, S.media_id)))
     return observed(
         rows, "videoobject-schema",
         [

@@ -86,6 +86,29 @@ def latest_complete(audits: DataFrame) -> DataFrame:
     return done.groupBy("site_id").agg(F.max_by("audit_id", F.struct("finished_at", "audit_id")).alias("audit_id"))
 
 
+def totals(sites: DataFrame) -> DataFrame:
+    """Sums over a run's sites (pages, graded, total, passed, failed, in_progress, decision);
+    one without graded checks (null) failed.  No row for fewer than two that did not."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pages", "graded", "total", "passed", "failed", "in_progress")]
+    done = sites.where("graded is not null")
+    failed = sites.agg(F.count_if(F.col("graded").isNull()).alias("not_analyzed"))
+    out = done.agg(F.count("*").alias("analyzed"), *sums, F.count_if(F.col("decision") == "GO").alias("go"), F.count_if(F.col("decision") == "HOLD").alias("hold"))
+    share = F.when(F.col("total") > 0, F.floor(F.col("graded") / F.col("total") * 100 + 0.5)).otherwise(0).cast("int")
+    return out.join(failed, F.lit(True)).where("analyzed >= 2").withColumn("percent", share)  # two rows meet
+
+
+def audits_of(audits: DataFrame, site_id: str | int) -> DataFrame:
+    """A site's audits, the newest first."""
+    return audits.where(F.col("site_id") == F.lit(site_id)).orderBy(F.desc("created_at"), F.desc("audit_id"))
+
+
+def without_sites(gone: DataFrame, sites: DataFrame, audits: DataFrame, *of_audits: DataFrame) -> list[DataFrame]:
+    """Tables once sites are deleted: their audits go, and all rows of those."""
+    left = audits.join(gone.select("site_id"), "site_id", "left_anti")
+    ended = audits.join(gone.select("site_id"), "site_id", "left_semi").select("audit_id")
+    return [sites.join(gone.select("site_id"), "site_id", "left_anti"), left, *[t.join(ended, "audit_id", "left_anti") for t in of_audits]]
+
+
 def resolved_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Links with the page that they lead to; those to no page stay."""
     to = pages.select("crawl_id", F.col("normalized_url").alias("target"), F.col("page_id").alias("to_page_id"))

@@ -196,6 +196,27 @@ def cutover_readiness(checks: DataFrame, states: DataFrame, runs: DataFrame, rel
     )
 
 
+def record_attestations(given: DataFrame, checks: DataFrame, states: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(history to append, states with those attested replaced, refused ones with their problem).
+
+    ``given``: crawl_id, check_id, attested_by, statement, expires_at, status, applicability,
+    applicability_rationale.  Of several for one check, that which lasts longest counts."""
+    scope = F.coalesce("applicability", F.lit("yes"))
+    problem = (
+        F.when(F.col("known").isNull(), "the catalogue has no such check").when(F.col("expires_at").isNull(), "its end can't be read").when(F.col("expires_at") <= now, "it has ended already")
+        .when((scope == "no") & (F.trim(F.coalesce("applicability_rationale", F.lit(""))) == ""), "out of scope without a reason")
+    )
+    known = checks.select(F.col("id").alias("check_id"), F.lit(True).alias("known")).distinct()
+    judged = given.join(known, "check_id", "left").withColumn("problem", problem).withColumn("applicability", scope).drop("known")
+    good = judged.where("problem is null").drop("problem")
+    last = good.groupBy("crawl_id", "check_id").agg(F.max_by(F.struct(*[c for c in good.columns if c not in ("crawl_id", "check_id")]), F.struct("expires_at", "status")).alias("a"))
+    own = [c for c in states.columns if c not in ("crawl_id", "check_id")]
+    told = {"status": "a.status", "applicability": "a.applicability", "applicability_rationale": "a.applicability_rationale", "attestation_expires_at": "a.expires_at"}
+    fresh = last.select("crawl_id", "check_id", *[F.col(told[c]).alias(c) if c in told else (F.lit("attested") if c == "coverage" else F.lit(None)).cast(states.schema[c].dataType).alias(c) for c in own])
+    kept = states.join(last.select("crawl_id", "check_id"), ["crawl_id", "check_id"], "left_anti").select("crawl_id", "check_id", *own)
+    return good, kept.unionByName(fresh), judged.where("problem is not null")
+
+
 def merge_attested(machine: DataFrame, attested: DataFrame) -> DataFrame:
     """Check states where attestations outrank machine verdicts, but for the gates on
     which a fresh machine failure stands."""
