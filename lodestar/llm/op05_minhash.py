@@ -8,13 +8,20 @@ share weight share darts.  Ranks are searched upwards until each of the
 signature's coordinates has been hit; a coordinate keeps its earliest dart.
 A document costs about k ln k darts however many words it has.
 
-Bands of the signature give candidates; candidates' groups are compared exactly,
-all against all within blocks, and similar ones (weighted Jaccard >= 0.8) joined.
+Bands of the signature give candidates.  First every document is compared exactly
+with the least document of each band that it shares (weighted Jaccard >= 0.8), which
+settles most of a group of near copies in time linear in its size: documents found
+to be of one class need not be compared with each other.  In a group of candidates
+that falls into several classes, the documents outside the largest are then compared
+with all others of the group, block by block.  Blocks are bounded by documents and by
+bytes.
 
 Nulls, ties and odd rows: a text without words is a class of its own.  Rows of
 one ``doc_id`` are one document, similar to whatever one of them is similar to.
 Rows without ``doc_id`` take the class of their exact copies, else null.  A text
-of fewer than five words has one shingle of all of them.
+of fewer than five words has one shingle of all of them.  A very long text is hashed
+in segments and held whole in one task.  Other columns are not looked at.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.graph import components
@@ -37,6 +44,7 @@ from lodestar.llm.textbytes import LOWER_WORD, Texts, chunks, hash_words, mix, r
 SHINGLE = 5
 BANDS, ROWS = 40, 6  # a pair of similarity 0.8 is missed with probability 5e-6
 BLOCK = 1024
+BLOCK_BYTES = 16 << 20  # of texts; a longer text is a block of its own
 _MOST_TEXTS = 1024  # in a chunk
 _FIRST_RANK = 2.0**-6
 
@@ -118,8 +126,8 @@ def _sign(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 flat = pa.array(np.ascontiguousarray(key).view(np.int64).reshape(-1))
                 offsets = pa.array(np.arange(0, (len(part) + 1) * bands, bands, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), *prints, pa.ListArray.from_arrays(offsets, flat)],
-                    names=["id", "p1", "p2", "keys"],
+                    [batch.column(0).slice(at, len(part)), *prints, pa.array(np.diff(part.offsets)), pa.ListArray.from_arrays(offsets, flat)],
+                    names=["id", "p1", "p2", "bytes", "keys"],
                 )
 
     return run
@@ -172,24 +180,54 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return (common > 0) & (common >= threshold / (1 + threshold) * (sizes[:, None] + sizes[None, :]) - 1e-9)
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, id, packed) with the elements of the texts instead."""
+    expand = zstandard.ZstdDecompressor()
+    for batch in parts(batches, 512):
+        texts = texts_of(pa.array([expand.decompress(p) for p in batch.column(2).to_pylist()], pa.large_binary()))
+        sets: list[bytes] = []
+        for _, part in chunks(texts):
+            names, first = elements(part)
+            sets += [names[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.large_binary())], names=["block", "id", "set"])
+
+
+def _with_hub(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, id, packed) sorted by block and id in, the first of each block its
+    hub; (a, b) out: the documents that are similar to their hub."""
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+        return bool((x[at] == y).sum() >= threshold / (1 + threshold) * (len(x) + len(y)) - 1e-9) and len(y) > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, hub = None, 0
+        own: list[np.ndarray] = []  # one but for rows that share the hub's id
+        for batch in _hashed(batches):
+            a: list[int] = []
+            b: list[int] = []
+            for key, doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names = np.frombuffer(data, np.uint64)
+                if key != block:
+                    block, hub, own = key, doc, []
+                if doc == hub:
+                    own += [names] if len(names) else []
+                elif any(alike(x, names) for x in own):
+                    a.append(doc)
+                    b.append(hub)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (block, id, packed) sorted by block in; (a, b) out, which connect the
     similar documents of each block as all their links would."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        for batch in parts(batches, 512):
-            texts = texts_of(pa.array([expand.decompress(p) for p in batch.column(2).to_pylist()], pa.large_binary()))
-            sets: list[bytes] = []
-            for _, part in chunks(texts):
-                names, first = elements(part)
-                sets += [names[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.large_binary())], names=["block", "id", "set"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
-        for _, rows in by_key(hashed(batches), "block"):
+        for _, rows in by_key(_hashed(batches), "block"):
             ids = rows.column("id").to_numpy()
             if len(ids) < 2:
                 continue
@@ -205,31 +243,64 @@ def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _blocks(n: Column, size: Column, block: int) -> Column:
+    """How many blocks so many documents of so many bytes are dealt into."""
+    return F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _left_open(group: DataFrame, links: DataFrame, block: int) -> DataFrame:
+    """(block, id): what has still to be compared in candidates' groups of several classes."""
+    classes = components(links, "a", "b").withColumnRenamed("component", "class")
+    known = group.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    sizes = known.groupBy("component", "class").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("component").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max_by("class", F.struct("n", -F.col("class"))).alias("main"))
+    # of a group of two documents, the one pair has been compared
+    some = kept(known.join(several.where("classes > 1 and n > 2").select("component", "main"), "component").withColumn("apart", F.col("class") != F.col("main")), "open")
+    sums = some.groupBy("component").agg(
+        _blocks(F.count("*"), F.sum("bytes"), block).alias("every"), _blocks(F.count_if("apart"), F.sum(F.when(F.col("apart"), F.col("bytes")).otherwise(0)), block).alias("others")
+    )
+    dealt = some.join(sums, "component")
+
+    def place(of: str, salt: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.col(of)).cast("int")
+
+    def in_block(i: Column, j: Column) -> Column:
+        return F.xxhash64("component", i, j).alias("block")
+
+    alone = dealt.where("apart").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("every") - 1))).select(in_block(place("others", 1), F.col("j")), "id")
+    all_ = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(in_block(F.col("i"), place("every", 2)), "id")
+    return alone.union(all_).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
     """(doc_id, class_id) per row of ``docs``: the least doc_id among all that
     chains of similar documents connect with it."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = kept(plain.mapInArrow(lean(_sign(bands, rows)), "id long, p1 long, p2 long, keys array<long>"), "signatures")
+    signed = kept(plain.mapInArrow(lean(_sign(bands, rows)), "id long, p1 long, p2 long, bytes long, keys array<long>"), "signatures")
     # written, so that the join below has an exchange of its own that can be split
     first = kept(signed.where("p1 is not null and id is not null").groupBy("p1", "p2").agg(F.min("id").alias("first")), "firsts")
     # copies: every row is tied to the first with the same weighted set
     copies = kept(signed.select("id", "p1", "p2").join(first.hint("merge"), ["p1", "p2"], "left").select("id", "first"), "copies")
-    lead = signed.join(copies.where("id = first").select("id").distinct(), "id").select("id", F.explode("keys").alias("key"))
+    lead = signed.join(copies.where("id = first").select("id").distinct(), "id").select("id", "bytes", F.explode("keys").alias("key"))
     hubs = lead.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    met = lead.join(hubs, "key").where("id > hub").select("id", "hub").distinct()
-    # documents that any link might connect, in blocks that are compared pairwise
-    group = kept(components(met, "id", "hub"), "candidates")
-    many = group.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = group.join(many, "component").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = kept(lead.join(hubs, "key").where("id > hub").groupBy("id", "hub").agg(F.max("bytes").alias("bytes")), "met")
     texts = plain.where("id is not null").mapInArrow(lean(_squeezed), "id long, packed binary")
-    paired = (
-        texts.join(dealt.hint("merge"), "id")  # at any size alike
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "id", "packed")
-    )
-    links = paired.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_compare(threshold)), "a long, b long")
+
+    def compared(blocks: DataFrame, by: Callable) -> DataFrame:
+        # a text is joined alike at any size of the blocks' table
+        placed = texts.join(blocks.hint("merge"), "id").select("block", "id", "packed")
+        return placed.repartition("block").sortWithinPartitions("block", "id").mapInArrow(lean(by(threshold)), "a long, b long")
+
+    parts_of = met.groupBy("hub").agg(_blocks(F.count("*"), F.sum("bytes"), block).alias("parts"))
+    spokes = met.join(parts_of, "hub").select(F.concat_ws(":", "hub", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "id")
+    middles = parts_of.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.concat_ws(":", "hub", "part").alias("block"), F.col("hub").alias("id"))
+    near = kept(compared(spokes.union(middles), _with_hub), "links")
+    # documents that any link might connect
+    group = components(met, "id", "hub")
+    sized = kept(group.join(signed.groupBy("id").agg(F.max("bytes").alias("bytes")), "id"), "candidates")
+    links = near.union(compared(_left_open(sized, near, block), _compare))
     ties = links.union(copies.where("first is not null and id <> first").select("id", "first"))
     classes = components(ties, "a", "b")
     own = F.coalesce("component", "first", "id")

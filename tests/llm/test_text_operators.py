@@ -204,6 +204,64 @@ def test_near_duplicates_in_many_blocks(spark):
     assert {r.doc_id: r.class_id for r in out} == classes(sets, links)
 
 
+def test_near_copies_of_a_large_group_are_compared_with_their_hub(spark, monkeypatch):
+    """Of a group of near copies only those unlike the hub are compared with all others."""
+    rng = random.Random(31)
+    base = words(rng, 100, 10**5)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 50):
+        near = list(base)
+        near[rng.randrange(100)] = f"edit{i}"
+        rows.append((i, " ".join(near)))
+    chain = list(base)
+    for i in range(60, 72):  # each like the one before, the last unlike the hub
+        chain = list(chain)
+        chain[(i * 8) % 100] = f"step{i}"
+        rows.append((i, " ".join(chain)))
+    rows += [(80, " ".join(words(rng, 100, 10**5))), (3, " ".join(words(rng, 30, 10**5)))]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(shingles(t))
+    links = [(a, b) for a in sets for b in sets if a < b and any(jaccard(x, y) >= 0.8 for x in sets[a] for y in sets[b])]
+    asked = []
+    whole = op05_minhash._left_open
+    monkeypatch.setattr(op05_minhash, "_left_open", lambda *a: asked.append(whole(*a)) or asked[-1])
+    for block in (1024, 8):
+        out = op05_minhash.near_duplicates(frame(spark, rows), block=block).collect()
+        assert len(out) == len(rows) and {r.doc_id: r.class_id for r in out} == classes(sets, links)
+    near = frame(spark, rows[:50])
+    assert len({r.class_id for r in op05_minhash.near_duplicates(near).collect()}) == 1
+    assert asked[-1].count() == 0  # nothing was left to compare
+
+
+def test_near_duplicates_of_long_texts(spark, monkeypatch):
+    rng = random.Random(32)
+    long = words(rng, 60_000, 10**5)
+    edited = list(long)
+    edited[30_000:30_500] = words(rng, 500, 10**5)
+    rows = [(5, " ".join(long)), (7, " ".join(edited)), (6, " ".join(long)), (8, " ".join(words(rng, 60_000, 10**5)))]
+    monkeypatch.setattr(op05_minhash, "BLOCK_BYTES", 1000)
+    out = {r.doc_id: r.class_id for r in op05_minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert out == {5: 5, 6: 5, 7: 5, 8: 8}
+
+
+def test_recall_of_planted_near_copies(spark):
+    """Pairs just above the threshold, by brute force."""
+    rng = random.Random(33)
+    rows, pairs = [], []
+    for k in range(150):
+        a = words(rng, 80, 10**6)
+        b = list(a)
+        for _ in range(rng.choice([1, 1, 2])):
+            b[rng.randrange(80)] = f"e{k}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        if jaccard(shingles(" ".join(a)), shingles(" ".join(b))) >= 0.8:
+            pairs.append((2 * k, 2 * k + 1))
+    out = {r.doc_id: r.class_id for r in op05_minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert len(pairs) >= 100 and sum(out[a] == out[b] for a, b in pairs) == len(pairs)
+    assert sum(out[2 * k] == out[2 * k + 1] for k in range(150)) == len(pairs)
+
+
 def test_rows_without_id_take_their_copies_class(spark):
     rows = [(3, "a b c d e f"), (None, "a b c d e f"), (None, "g h i j k"), (None, None)]
     out = sorted(((r.doc_id, r.class_id) for r in op05_minhash.near_duplicates(frame(spark, rows)).collect()), key=str)
