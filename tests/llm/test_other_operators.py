@@ -60,6 +60,33 @@ def test_embeddings(spark):
     assert op03_embeddings.embedding_links(df.limit(0)).collect() == []
 
 
+def test_tiles_that_hold_no_link_are_skipped(spark):
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(6, 24))
+    rows = [(i, (centres[i % 6] + rng.normal(size=24) * 0.15).tolist()) for i in range(300)] + [(900, [1.0, 2.0]), (901, [1.0, 2.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links = [(a, b) for a, x in rows for b, y in rows if a < b and len(x) == len(y) and _cos(np.array(x), np.array(y)) >= 0.9]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in op03_embeddings.embedding_links(df, block=20).collect()}
+    expected = classes([i for i, _ in rows], links)
+    assert out == {i: (sum(i in e for e in links), expected[i]) for i, _ in rows}
+    kept_rows = spark.createDataFrame([(i, 1, np.array(v).tobytes()) for i, v in rows], "id long, copies long, vec binary")
+    placed, blocks = op03_embeddings.in_blocks(kept_rows, 20, "<f8")
+    pairs = {(r.i, r.j) for r in op03_embeddings.tiles_of(blocks, 0.9).collect()}
+    n = blocks.count()
+    assert len(pairs) < n * (n + 1) / 2 * 0.8
+    where = {r.id: r.block for r in placed.collect()}
+    assert all((min(where[a], where[b]), max(where[a], where[b])) in pairs for a, b in links)
+
+
+def test_products_of_many_dimensions_are_exact():
+    rng = np.random.default_rng(5)
+    p, q = (rng.integers(-127, 128, (3, 5000)).astype(np.float32) for _ in range(2))
+    assert (op03_embeddings._product(p, q) == p.astype(np.int64) @ q.astype(np.int64).T).all()
+    long = rng.normal(size=(2, 5000))
+    three = np.stack([long[0], long[1], long[0] * 2])
+    assert [tuple(map(int, x)) for us, vs in op03_embeddings.tile(three, three, True, 0.99) for x in zip(us, vs, strict=True)] == [(0, 2)]
+
+
 def test_tile_bounds_never_lose_a_pair():
     rng = np.random.default_rng(3)
     a = rng.normal(size=(300, 24)) * rng.choice([1e-6, 1, 1e6], size=(300, 1))
