@@ -45,6 +45,9 @@ class Audit:
     previous_probes: DataFrame | None = None
     gates: DataFrame | None = None
     inputs: dict[str, DataFrame] = field(default_factory=dict)
+    #: long lists of sections (``schemas.LONG``) as tables of rows with crawl_id, which no
+    #: task has to hold whole
+    rows: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for f in fields(self):

@@ -31,8 +31,14 @@ def recorded(audit: Audit, section: str) -> DataFrame:
 
 
 def entries(audit: Audit, section: str, array: str) -> DataFrame:
-    """(crawl_id, e): a record's entries, one row each."""
-    return recorded(audit, section).selectExpr("crawl_id", f"explode(rec.{array}) as e")
+    """(crawl_id, e): a record's entries, one row each: those of its list, and of the
+    table that holds them where there is one."""
+    listed = recorded(audit, section).selectExpr("crawl_id", f"explode(rec.{array}) as e")
+    table = audit.rows.get(f"{section}.{array}")
+    if table is None:
+        return listed
+    fields = [f.name for f in listed.schema["e"].dataType]
+    return listed.unionByName(table.select("crawl_id", F.struct(*fields).alias("e")))
 
 
 def on_record(name: str, section: str, parts: Parts, audit: Audit, *rungs: Rung) -> DataFrame:
@@ -470,7 +476,7 @@ def content_decay(audit: Audit) -> DataFrame:
     falling = both.where("before >= 100 and after < before * 0.7").join(decided, ["crawl_id", "url"], "left")
     return on_record(
         "content-decay", "search_console", [(last, {"periods": "max(periods)", "undated": "max(undated)"}), (falling, {"falling": "count(*)", "undecided": "count_if(decided is null)"})], audit,
-        (NA, "rec.performance is null", "No performance report."), (NA, "periods < 2", "Fewer than two periods."), (WARN, "undated > 0", "The periods can't be ordered."), (FAIL, "undecided > 0", "{undecided} of {falling} declining URL(s) have no decision."),
+        (NA, "rec.performance is null and periods = 0", "No performance report."), (NA, "periods < 2", "Fewer than two periods."), (WARN, "undated > 0", "The periods can't be ordered."), (FAIL, "undecided > 0", "{undecided} of {falling} declining URL(s) have no decision."),
         (PASS, "falling = 0", "No URL declined."), HOLD, (PASS, "true", "All {falling} declining URL(s) have a decision."),
     )
 
@@ -478,6 +484,9 @@ def content_decay(audit: Audit) -> DataFrame:
 @site("reporting-anomaly-thresholds")
 def reporting_anomaly_thresholds(audit: Audit) -> DataFrame:
     perf = recorded(audit, "search_console").selectExpr("crawl_id", "posexplode(rec.performance) as (at, e)")
+    if (table := audit.rows.get("search_console.performance")) is not None:
+        fields = [f.name for f in perf.schema["e"].dataType]
+        perf = perf.unionByName(table.select("crawl_id", F.col("place").cast("int").alias("at"), F.struct(*fields).alias("e")))
     totals = perf.groupBy("crawl_id", "e.period").agg(F.min("at").alias("at"), F.sum("e.clicks").alias("clicks"), F.sum("e.impressions").alias("impressions"))
     two = totals.groupBy("crawl_id").agg(F.expr("slice(reverse(array_sort(collect_list(struct(at, clicks, impressions)))), 1, 2)").alias("two"))
     rows = recorded(audit, "reporting").selectExpr("crawl_id", "rec.anomalies as anomalies", "explode(rec.thresholds) as t").join(two, "crawl_id", "left")
@@ -504,7 +513,7 @@ def log_file_analysis(audit: Audit) -> DataFrame:
     return on_record(
         "log-file-analysis", "server_logs",
         [(hits, {"hits": "count(*)", "errors": "count_if(e.status between 500 and 599)", "params": "count_if(e.parameterised)"}), (barred, {"barred": "sum(n)"})], audit,
-        (NA, "rec.hits is null", "The log was not read."), (NA, "hits = 0", "No crawler hits."), (FAIL, "errors / hits > 0.01", "{errors} of {hits} crawler hits got a 5xx."), (FAIL, "barred > 0", "{barred} hit(s) reached disallowed URLs."),
+        (NA, "rec.hits is null and hits = 0", "The log was not read."), (NA, "hits = 0", "No crawler hits."), (FAIL, "errors / hits > 0.01", "{errors} of {hits} crawler hits got a 5xx."), (FAIL, "barred > 0", "{barred} hit(s) reached disallowed URLs."),
         (WARN, "params / hits > 0.25", "{params} of {hits} hits carry parameters."), HOLD, (PASS, "true", "{hits} crawler hits are sound."),
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lodestar.functions import language as L
 from lodestar.functions import robots as R
+from lodestar.functions import scalars as S
 from lodestar.functions import url as U
 from lodestar.functions.extract import raw_pages
 from lodestar.operators.audit import Audit
@@ -492,7 +493,7 @@ FROM (SELECT coalesce(abs(o_totalprice - b) / nullif(greatest(o_totalprice, b),
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.expr("l_extendedprice * (1 + l_tax) * (1 - l_discount)")).alias("b"))
     met = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    gap = F.expr("coalesce(abs(o_totalprice - b) / nullif(greatest(o_totalprice, b), 0), 0)")
+    gap = S.figure_gap(F.col("o_totalprice"), F.col("b"))
     return met.groupBy(F.when(gap > 0.1, "unexplained").when(gap > 0.05, "drifting").otherwise("agrees").alias("verdict")).agg(F.count("*").alias("orders"))
 
 

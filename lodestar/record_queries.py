@@ -99,10 +99,11 @@ def record_log_file_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0) & (F.col("user_id") % 3 == 0), 500).otherwise(200).alias("status"),
         F.lit("Googlebot").alias("user_agent"), (F.col("event_id") % 3 == 0).alias("parameterised"),
     )
-    events = read(spark, sf_dir, "events")
-    rows = written(events.groupBy(F.col("user_id").cast("string").alias("crawl_id")).agg(F.collect_list(hit).alias("hits")), "hits")
+    events = read(spark, sf_dir, "events").withColumn("crawl_id", F.col("user_id").cast("string"))
+    rows = written(events.select("crawl_id").distinct(), "users")
     audit = crawls(spark, rows, robots_txt=F.lit("User-agent: *\nDisallow: /view"))
-    audit.inputs["server_logs"] = held(rows, "server_logs", hits=F.col("hits"))
+    audit.inputs["server_logs"] = held(rows, "server_logs")
+    audit.rows["server_logs.hits"] = events.select("crawl_id", hit.alias("hit")).select("crawl_id", "hit.*")
     return outcomes("log-file-analysis", audit)
 
 
@@ -114,9 +115,11 @@ SELECT f.user_id::VARCHAR AS crawl_id, CASE WHEN any_value(periods) < 2 THEN 'no
 def record_content_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     period = F.when(F.col("event_id") % 2 == 0, "2026-01-01 to 2026-01-31").otherwise("2026-02-01 to 2026-02-28")
     row = F.struct(F.concat(F.lit("https://example.com/"), "event_type").alias("page"), F.lit(None).cast("string").alias("query"), F.lit(60.0).alias("clicks"), F.lit(1.0).alias("impressions"), period.alias("period"))
-    rows = written(read(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("crawl_id")).agg(F.collect_list(row).alias("performance")), "performance")
+    events = read(spark, sf_dir, "events").withColumn("crawl_id", F.col("user_id").cast("string"))
+    rows = written(events.select("crawl_id").distinct(), "users")
     audit = crawls(spark, rows)
-    audit.inputs["search_console"] = held(rows, "search_console", performance=F.col("performance"))
+    audit.inputs["search_console"] = held(rows, "search_console")
+    audit.rows["search_console.performance"] = events.select("crawl_id", F.col("event_id").alias("place"), row.alias("row")).select("crawl_id", "place", "row.*")
     decision = F.array(F.struct(F.lit("https://example.com/view").alias("url"), F.lit("rewrite").alias("decision")))
     audit.inputs["content_decisions"] = held(rows, "content_decisions", entries=decision)
     return outcomes("content-decay", audit)
@@ -179,9 +182,11 @@ SELECT user_id::VARCHAR AS crawl_id, CASE WHEN user_id % 11 = 0 THEN 'fail' WHEN
 def record_indexnow_integration(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.when(F.col("user_id") % 11 == 0, "https://other.com/").otherwise("https://example.com/")
     one = F.struct(F.concat(host, F.col("event_id") % 10).alias("url"), F.col("ts").cast("timestamp").alias("sent_at"), F.lit(200).alias("status"))
-    rows = written(read(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("crawl_id")).agg(F.collect_list(one).alias("log")), "sent")
+    events = read(spark, sf_dir, "events").withColumn("crawl_id", F.col("user_id").cast("string"))
+    rows = written(events.select("crawl_id").distinct(), "users")
     audit = crawls(spark, rows)
-    audit.inputs["index_now"] = held(rows, "index_now", log=F.col("log"), key=F.lit("k"))
+    audit.inputs["index_now"] = held(rows, "index_now", key=F.lit("k"))
+    audit.rows["index_now.log"] = events.select("crawl_id", one.alias("one")).select("crawl_id", "one.*")
     return outcomes("indexnow-integration", audit)
 
 

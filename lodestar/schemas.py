@@ -63,6 +63,12 @@ REVIEW_RUNS = (
     "tested_at timestamp, tester string, result string, evidence string, reviewed_by string, reviewed_at timestamp, next_review_at timestamp, event_trigger string"
 )
 HELD = "crawl_id string, owner string, recorded_at timestamp, next_review_at timestamp"
+#: lists of sections that grow with a site's traffic (place: where a row stands)
+LONG = {
+    "server_logs.hits": "crawl_id string, at timestamp, method string, path string, status int, user_agent string, parameterised boolean",
+    "search_console.performance": "crawl_id string, place long, page string, query string, clicks double, impressions double, period string",
+    "index_now.log": "crawl_id string, url string, sent_at timestamp, status int",
+}
 #: person-supplied records; each has HELD's columns first
 INPUTS = {
     "a11y_evaluation": "scope string, methods array<string>, limitations string, conformance_claim string, blockers array<struct<criterion:string,url:string,resolved:boolean>>",
