@@ -6,8 +6,8 @@ anchor's name: a name that stands once needs no further look, and windows under
 a repeated name are proposed as equal by a fingerprint.  Words decide: each
 proposed window is compared, word by word, with the one before it of its
 fingerprint.  Equal windows always share name and fingerprint, so none is missed;
-windows that differ in spite of their fingerprints are looked at again under other
-hashes, until none is left undecided.
+windows that differ in spite of their fingerprints, and all others of those
+fingerprints, are looked at again under other hashes, until none is left undecided.
 
 What a chunk of texts repeats within itself is settled before the shuffle, and what
 was repeated in an earlier chunk of a task is proposed there, so that a passage which
@@ -49,6 +49,7 @@ _ASKED = (*_REMOVED, 8, 8, 4)  # and where the windows are said to stand before
 _SURE, _ASK = 0, 1
 _FLUSH = 1 << 18
 _OUT_BYTES = 1 << 26
+MOST_OPEN = 1 << 20  # fingerprints that are told to all tasks
 _HOT = 1 << 17  # repeated windows that a task remembers between chunks
 SEGMENT = 1 << 19  # words of one text that are looked at together
 
@@ -67,14 +68,9 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, np.diff(np.append(heads, len(breaks)))
 
 
-def _word_hashes(texts: Texts, words: Words, turn: int) -> np.ndarray:
-    """The words' hashes; those of a later turn have nothing in common with the first's."""
-    if not turn:
-        return hash_words(texts, words)
-    key = turn.to_bytes(4, "little")
-    data = texts.data
-    some = (hashlib.blake2b(data[a:b].tobytes(), digest_size=8, key=key).digest() for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True))
-    return np.frombuffer(b"".join(some), np.uint64)
+def _other_print(words: bytes, turn: int) -> int:
+    """A fingerprint that has nothing in common with the first turn's."""
+    return int.from_bytes(hashlib.blake2b(words, digest_size=PRINT_BITS // 8, key=turn.to_bytes(4, "little")).digest(), "little")
 
 
 def _prints(hashes: np.ndarray, starts: np.ndarray, width: int, bits: int) -> np.ndarray:
@@ -130,9 +126,10 @@ class _Hot:
         self.prints, self.names, self.ids, self.keys, self.starts = (x[order[fresh]] for x in every)
 
 
-def _windows_by_anchor(width: int, buckets: int, turn: int = 0, bits: int = PRINT_BITS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _windows_by_anchor(width: int, buckets: int, bits: int = PRINT_BITS, turn: int = 0, only: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents in; out come, for a bucket of anchor names, packed windows, and
-    with buckets below zero what chunks already know or propose."""
+    with buckets below zero what chunks already know or propose.  After the first
+    turn, windows of some fingerprints only, told apart by other ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = _Hot()
@@ -140,7 +137,7 @@ def _windows_by_anchor(width: int, buckets: int, turn: int = 0, bits: int = PRIN
             ids, missing = _ids(batch.column(0)), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for at, texts in chunks(texts_of(batch.column(1))):
                 words = split(texts, NON_SPACE)
-                keys, hashes = _text_keys(texts, missing[at : at + len(texts)]), _word_hashes(texts, words, turn)
+                keys, hashes = _text_keys(texts, missing[at : at + len(texts)]), hash_words(texts, words)
                 own = ids[at : at + len(texts)]
                 data = texts.data.tobytes()
                 if len(texts) > 1 or len(hashes) <= SEGMENT:
@@ -157,6 +154,12 @@ def _windows_by_anchor(width: int, buckets: int, turn: int = 0, bits: int = PRIN
             return
         doc = np.searchsorted(first, starts, side="right") - 1
         prints = _prints(hashes, starts, width, bits)
+        if turn:
+            some = np.arange(len(starts)) if only is None else np.flatnonzero(np.isin(prints, only))
+            if not len(some):
+                return
+            starts, names, places, doc = starts[some], names[some], places[some], doc[some]
+            prints = np.array([_other_print(_passage(data, words, at, width), turn) for at in (starts + base).tolist()], dtype=np.uint64)
         ranked = np.lexsort((keys, ids))
         changed = np.ones(len(ids), dtype=bool)
         changed[1:] = (ids[ranked][1:] != ids[ranked][:-1]) | (keys[ranked][1:] != keys[ranked][:-1])
@@ -184,7 +187,7 @@ def _windows_by_anchor(width: int, buckets: int, turn: int = 0, bits: int = PRIN
         sel = np.flatnonzero(gone)
         if len(sel):
             breaks = np.ones(len(sel), dtype=bool)
-            breaks[1:] = (np.diff(sel) != 1) | (doc[sel][1:] != doc[sel][:-1]) | (np.diff(lead[sel]) != 1) | (doc[lead[sel]][1:] != doc[lead[sel]][:-1])
+            breaks[1:] = (np.diff(starts[sel]) != 1) | (doc[sel][1:] != doc[sel][:-1]) | (np.diff(starts[lead[sel]]) != 1) | (doc[lead[sel]][1:] != doc[lead[sel]][:-1])
             heads, n = _runs(breaks)
             g, was = sel[heads], lead[sel[heads]]
             same = np.ones(len(g), dtype=bool)
@@ -207,7 +210,7 @@ def _windows_by_anchor(width: int, buckets: int, turn: int = 0, bits: int = PRIN
             if len(w):
                 breaks = np.ones(len(w), dtype=bool)
                 breaks[1:] = (
-                    (np.diff(w) != 1) | (doc[w][1:] != doc[w][:-1]) | (hot.ids[at][1:] != hot.ids[at][:-1]) | (hot.keys[at][1:] != hot.keys[at][:-1]) | (np.diff(hot.starts[at]) != 1)
+                    (np.diff(starts[w]) != 1) | (doc[w][1:] != doc[w][:-1]) | (hot.ids[at][1:] != hot.ids[at][:-1]) | (hot.keys[at][1:] != hot.keys[at][:-1]) | (np.diff(hot.starts[at]) != 1)
                 )
                 heads, n = _runs(breaks)
                 g, h = w[heads], at[heads]
@@ -222,7 +225,7 @@ def _windows_by_anchor(width: int, buckets: int, turn: int = 0, bits: int = PRIN
         sel = np.flatnonzero(rest)
         if len(sel):
             breaks = np.ones(len(sel), dtype=bool)
-            breaks[1:] = (np.diff(sel) != 1) | (doc[sel][1:] != doc[sel][:-1]) | (places[sel][1:] != places[sel][:-1]) | (names[sel][1:] != names[sel][:-1])
+            breaks[1:] = (np.diff(starts[sel]) != 1) | (doc[sel][1:] != doc[sel][:-1]) | (places[sel][1:] != places[sel][:-1]) | (names[sel][1:] != names[sel][:-1])
             heads, n = _runs(breaks)
             g = sel[heads]
             bucket = _bucket(names[g], buckets)
@@ -408,9 +411,9 @@ def _shown(width: int, pairs: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def _compared(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compared(width: int, buckets: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Both sides' words, sorted by bucket, in; out come the windows that are the
-    same, and as open those that are not."""
+    same, and as open, with their fingerprints, those that are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -432,14 +435,21 @@ def _compared(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
                     if other[1] == mine:
                         sure.append(key[:4])
                     else:
-                        x, y = mine.split(), other[1].split()
+                        own, far = (mine, other[1]) if side == 0 else (other[1], mine)
+                        x, y, prints = own.split(), far.split(), prints_of(own)
                         for k in range(key[3]):
-                            (sure if x[k : k + width] == y[k : k + width] else open_).append((*key[:2], key[2] + k, 1))
+                            same = x[k : k + width] == y[k : k + width]
+                            (sure if same else open_).append((*key[:2], key[2] + k, 1, *(() if same else (prints[k],))))
             if len(sure) + len(open_) > _FLUSH:
                 yield from flush(sure, open_)
                 sure, open_ = [], []
         yield from flush(sure, open_)
 
+    def prints_of(said: bytes) -> list[int]:
+        text = texts_of(pa.array([said], pa.large_binary()))
+        hashes = hash_words(text, split(text, NON_SPACE))
+        return _prints(hashes, np.arange(len(hashes) - width + 1), width, bits).tolist()
+
     def flush(sure: list[tuple], open_: list[tuple]) -> Iterator[pa.RecordBatch]:
         found = [(0, [np.array(c, dtype=np.uint64) for c in zip(*some, strict=True)]) for some in (sure, open_)]
         yield from _by_document(buckets, ["sure", "open"], found)
@@ -448,15 +458,11 @@ def _compared(width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single windows of packed ones."""
+    """Open windows, one row each."""
     for batch in batches:
         for p in batch.column(0).to_pylist():
-            ids, keys, begin, n = unpack(p, _REMOVED)[0]
-            each = np.repeat(np.arange(len(n)), n.astype(np.int64))
-            step = np.arange(len(each)) - np.repeat(np.cumsum(n.astype(np.int64)) - n.astype(np.int64), n.astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[each].view(np.int64)), pa.array(keys[each].view(np.int64)), pa.array(begin[each].astype(np.int64) + step)], names=["id", "key", "start"]
-            )
+            ids, keys, begin, _, prints = (c.view(np.int64) for c in unpack(p, (*_REMOVED, 8))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, keys, begin, prints)], names=["id", "key", "start", "print"])
 
 
 def _documents(buckets: int, with_row: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -544,11 +550,11 @@ def _cut(width: int, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def _removed(plain: DataFrame, width: int, buckets: int, turn: int, bits: int = PRINT_BITS) -> tuple[DataFrame, DataFrame]:
-    """(bucket, sure): windows that are removed, by documents' buckets; and (open):
-    those left open."""
+def _removed(plain: DataFrame, width: int, buckets: int, bits: int, turn: int = 0, only: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bucket, sure): windows that are removed, by documents' buckets; and (id, key,
+    start, print): those left open."""
     parts_ = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    windows = plain.mapInArrow(lean(_windows_by_anchor(width, max(BUCKETS, 8 * parts_), turn, bits)), "bucket int, packed binary")
+    windows = plain.mapInArrow(lean(_windows_by_anchor(width, max(BUCKETS, 8 * parts_), bits, turn, only)), "bucket int, packed binary")
     # chunks' own findings are dealt out at random, windows by their bucket
     dealt = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket").cast("long"))
     found = kept(windows.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(lean(_repeated(buckets)), _FOUND), "substrings-found")
@@ -556,9 +562,9 @@ def _removed(plain: DataFrame, width: int, buckets: int, turn: int, bits: int =
     asked = found.select("bucket", "asks", "shows").where("asks is not null or shows is not null")
     both = texts.unionByName(asked, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
     said = both.mapInArrow(lean(_shown(width, max(256, 2 * parts_))), "bucket int, side int, packed binary, said binary")
-    verified = kept(said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_compared(width, buckets)), _VERIFIED), "substrings-verified")
+    verified = kept(said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_compared(width, buckets, bits)), _VERIFIED), "substrings-verified")
     sure = found.select("bucket", "sure").unionByName(verified.select("bucket", "sure")).where("sure is not null")
-    return sure, verified.select("open").where("open is not null")
+    return sure, verified.select("open").where("open is not null").mapInArrow(_unpacked, "id long, key long, start long, print long")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = True, print_bits: int = PRINT_BITS) -> DataFrame:
@@ -570,15 +576,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     buckets = max(512, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # of documents
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    removed, left = _removed(plain, width, buckets, 0, print_bits)
-    turn, window = 0, "id long, key long, start long"
-    if not left.isEmpty():
-        left = left.mapInArrow(_unpacked, window)
-        while not left.isEmpty():  # a window is open only if it is so under every turn's hashes
-            turn += 1
-            more, still = _removed(plain, width, buckets, turn)
-            removed = removed.unionByName(more)
-            left = kept(left.join(still.mapInArrow(_unpacked, window), ["id", "key", "start"], "left_semi"), "substrings-open")
+    removed, left = _removed(plain, width, buckets, print_bits)
+    turn = 0
+    while not left.isEmpty():  # a window is open only if it is so in every turn
+        left = kept(left, "substrings-open")
+        prints = [r[0] for r in left.select("print").distinct().limit(MOST_OPEN + 1).collect()]
+        # all windows of the open ones' fingerprints; of more than can be told to all tasks, all windows
+        only = np.array(sorted(prints), dtype=np.uint64) if len(prints) <= MOST_OPEN else None
+        turn += 1
+        more, still = _removed(plain, width, buckets, print_bits, turn, only)
+        removed = removed.unionByName(more)
+        left = left.join(still.select("id", "key", "start"), ["id", "key", "start"], "left_semi")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*rest).alias("row"))
     row = StructField("row", rows.schema["row"].dataType)
