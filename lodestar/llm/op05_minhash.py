@@ -11,9 +11,9 @@ A document costs about k ln k darts however many words it has.
 Bands of the signature give candidates.  First every document is compared exactly
 with the least document of each band that it shares (weighted Jaccard >= 0.8), which
 settles most of a group of near copies in time linear in its size: documents found
-to be of one class need not be compared with each other.  In a group of candidates
-that falls into several classes, the documents outside the largest are then compared
-with all others of the group, block by block.  Blocks are bounded by documents and by
+to be of one class need not be compared with each other.  Any two that share a band
+have its hub in common; where the documents of a hub fall into several classes, those
+outside the largest are then compared with all others of the hub, block by block.  Blocks are bounded by documents and by
 bytes.
 
 Nulls, ties and odd rows: a text without words is a class of its own.  Rows of
@@ -248,24 +248,23 @@ def _blocks(n: Column, size: Column, block: int) -> Column:
     return F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
 
 
-def _left_open(group: DataFrame, links: DataFrame, block: int) -> DataFrame:
-    """(block, id): what has still to be compared in candidates' groups of several classes."""
-    classes = components(links, "a", "b").withColumnRenamed("component", "class")
-    known = group.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    sizes = known.groupBy("component", "class").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("component").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max_by("class", F.struct("n", -F.col("class"))).alias("main"))
+def _left_open(group: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """(block, id): what has still to be compared in hubs' groups (id, hub, bytes) of several classes."""
+    known = group.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    sizes = known.groupBy("hub", "class").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("hub").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max_by("class", F.struct("n", -F.col("class"))).alias("main"))
     # of a group of two documents, the one pair has been compared
-    some = kept(known.join(several.where("classes > 1 and n > 2").select("component", "main"), "component").withColumn("apart", F.col("class") != F.col("main")), "open")
-    sums = some.groupBy("component").agg(
+    some = kept(known.join(several.where("classes > 1 and n > 2").select("hub", "main"), "hub").withColumn("apart", F.col("class") != F.col("main")), "open")
+    sums = some.groupBy("hub").agg(
         _blocks(F.count("*"), F.sum("bytes"), block).alias("every"), _blocks(F.count_if("apart"), F.sum(F.when(F.col("apart"), F.col("bytes")).otherwise(0)), block).alias("others")
     )
-    dealt = some.join(sums, "component")
+    dealt = some.join(sums, "hub")
 
     def place(of: str, salt: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(salt)), F.col(of)).cast("int")
 
     def in_block(i: Column, j: Column) -> Column:
-        return F.xxhash64("component", i, j).alias("block")
+        return F.xxhash64("hub", i, j).alias("block")
 
     alone = dealt.where("apart").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("every") - 1))).select(in_block(place("others", 1), F.col("j")), "id")
     all_ = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(in_block(F.col("i"), place("every", 2)), "id")
@@ -296,15 +295,15 @@ def near_duplicates(
     parts_of = met.groupBy("hub").agg(_blocks(F.count("*"), F.sum("bytes"), block).alias("parts"))
     spokes = met.join(parts_of, "hub").select(F.concat_ws(":", "hub", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "id")
     middles = parts_of.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.concat_ws(":", "hub", "part").alias("block"), F.col("hub").alias("id"))
-    near = kept(compared(spokes.union(middles), _with_hub), "links")
-    # documents that any link might connect
-    group = components(met, "id", "hub")
-    sized = kept(group.join(signed.groupBy("id").agg(F.max("bytes").alias("bytes")), "id"), "candidates")
-    links = near.union(compared(_left_open(sized, near, block), _compare))
+    near = kept(components(compared(spokes.union(middles), _with_hub), "a", "b"), "near")
+    # any two that share a band have its hub in common
+    own = lead.select("id", "bytes").join(parts_of.select(F.col("hub").alias("id")), "id", "left_semi").groupBy("id").agg(F.max("bytes").alias("bytes"))
+    group = kept(met.unionByName(own.withColumn("hub", F.col("id"))), "groups")
+    links = near.union(compared(_left_open(group, near, block), _compare))
     ties = links.union(copies.where("first is not null and id <> first").select("id", "first"))
-    classes = components(ties, "a", "b")
-    own = F.coalesce("component", "first", "id")
+    classes = components(ties.toDF("a", "b"), "a", "b")
+    named = F.coalesce("component", "first", "id")
     return (
         copies.join(classes.withColumnRenamed("id", "node"), F.coalesce("first", "id") == F.col("node"), "left")
-        .select(F.col("id").alias("doc_id"), own.alias("class_id"))
+        .select(F.col("id").alias("doc_id"), named.alias("class_id"))
     )
