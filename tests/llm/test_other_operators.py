@@ -488,3 +488,69 @@ def test_pipeline(spark, tmp_path, empty):
     assert out[3001].size == 41 and out[3002].size == 12
     gone = {i for i, x in labels if i not in out and x}
     assert len(gone) > 0.8 * sum(x for _, x in labels)
+
+
+def test_every_stage_does_what_plain_versions_do(spark, tmp_path):
+    import corpus_pipeline
+    from brute import jaccard, lower_words, shingles, substring_dedup
+
+    rng = random.Random(41)
+    texts = [(i, t, x) for i, t, x in _toxic_docs(5, 160)]
+    base = [f"b{rng.randrange(10**6)}" for _ in range(60)]
+    item = " ".join(f"bench{k}" for k in range(25))
+    passage = " ".join(f"pass{k}" for k in range(22))
+    for k in range(6):  # near copies, some beyond the threshold
+        near = list(base)
+        for _ in range(k):
+            near[rng.randrange(60)] = f"e{k}"
+        texts.append((500 + k, " ".join(near), 0))
+    texts += [(600 + k, " ".join([*(f"o{k}x{j}" for j in range(9)), passage, f"end{k}"]), 0) for k in range(4)]
+    texts += [(700, f"before it {item} and after", 0), (701, item.replace("bench3 ", "other "), 0), (702, "bench1 bench2", 0)]
+    rows = [(i, t, "en", "abc"[i % 3], len(t)) for i, t, _ in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, x) for i, _, x in texts], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        given = {r.doc_id: r.text for r in docs.collect()} if "text" in docs.columns else None
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/out-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/out-{name}")
+        seen[name] = given, {r.doc_id: r for r in docs.collect()}
+
+    given, out = seen["toxicity"]
+    model = op02_toxicity.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    ids = sorted(given)
+    score = model.score(texts_of(pa.array([given[i] for i in ids])))
+    assert set(out) == {i for i, s in zip(ids, score, strict=True) if s < 0.5} and set(range(500, 506)) <= set(out)
+
+    given, out = seen["near_dedup"]
+    sets = {i: shingles(t) for i, t in given.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    assert set(out) == {i for i, c in classes(sets, links).items() if i == c} and len(out) < len(given)
+
+    given, out = seen["substring_dedup"]
+    left = substring_dedup(list(given.items()))
+    for i, t in given.items():
+        assert out[i].text == t if not left[i][1] else hashlib.sha256(out[i].text.encode()).hexdigest() == left[i][2]
+        assert out[i].n_chars == len(out[i].text)
+    assert sum(x[1] > 0 for x in left.values()) >= 3
+
+    given, out = seen["decontaminate"]
+    own, width = lower_words(item), 25
+
+    def holds(text):
+        w = lower_words(text)
+        return any(jaccard(shingles(item), shingles(" ".join(w[max(s, 0) : s + width]))) >= 0.8 for s in range(1 - width, len(w)) if len(w[max(s, 0) : s + width]) >= 5)
+
+    assert set(out) == {i for i, t in given.items() if not holds(t)} and len(own) == width and 700 not in out
+
+    given, out = seen["mix"]
+    sizes = {}
+    for i, t in given.items():
+        sizes[out[i].source] = sizes.get(out[i].source, 0) + len(t.split())
+    want = _targets(sizes)
+    for i, r in out.items():
+        assert r.size == len(given[i].split()) and 0 <= r.taken <= 3 * r.size and r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * want[r.source] + 1e-9
+    for s, n in want.items():
+        assert abs(sum(r.taken for r in out.values() if r.source == s) - n) <= 0.02 * n + op06_mix.BLOCK
