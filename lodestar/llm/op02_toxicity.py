@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.boosting import Trees, grow, isotonic
 from lodestar.llm.store import kept
-from lodestar.llm.streams import lean, parts, with_row
+from lodestar.llm.streams import give_back, lean, parts, with_row
 from lodestar.llm.textbytes import CHUNK_BYTES, LOWER_WORD, Texts, byte_sums, chunks, mix, span_hash, split, texts_of
 from lodestar.llm.toxic_words import INSULTS, SECOND_PERSON
 
@@ -332,7 +332,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def part(held: list) -> tuple[np.ndarray, np.ndarray, Texts]:
         return np.array([r.key for r in held], np.int64), np.array([r.toxic for r in held], bool), texts_of(pa.array([r.text for r in held], pa.large_string()))
 
-    return fit(sample)
+    model = fit(sample)
+    give_back()
+    return model
 
 
 def _scored(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
