@@ -59,8 +59,9 @@ _NO_PAGES: Rung = (NA, "html_pages = 0", "No HTML pages were crawled.")
 
 @site("title-uniqueness")
 def title_uniqueness(audit: Audit) -> DataFrame:
+    """A crawl holds every URL once; where a table holds one twice, each row is a page."""
     titles = audit.facts.where("is_html").selectExpr("crawl_id", "normalized_url", "x.title as title")
-    shared = titles.where("coalesce(title, '') <> ''").groupBy("crawl_id", "title").agg(F.countDistinct("normalized_url").alias("pages")).where("pages > 1")
+    shared = titles.where("coalesce(title, '') <> ''").groupBy("crawl_id", "title").agg(F.count("*").alias("pages")).where("pages > 1")
     rows = titles.join(shared, ["crawl_id", "title"], "left")
     length = "length(encode(title, 'UTF-16BE')) / 2"
     return observed(
