@@ -519,7 +519,7 @@ case(
     "review-integrity", "CASE WHEN n % 8 = 0 THEN 'not-applicable' WHEN n % 8 IN (1, 2, 3) THEN 'fail' WHEN n % 8 = 4 THEN 'warn' ELSE 'pass' END",
     pages=lambda rows: built_pages(rows, html=_ld(
         "if(n % 8 = 0, '{}', concat('[{\"@type\": \"Organization\", \"name\": \"Tea Co\"}, {\"@type\": \"Review\"', if(n % 8 = 1, '', ', \"author\": \"A\"'), if(n % 8 = 4, '', ', \"datePublished\": \"2026-01-01\"'), ', \"itemReviewed\": {\"name\": \"', if(n % 8 = 2, 'tea co', 'Cup'), '\"}}, '"
-        ", '{\"@type\": \"AggregateRating\", \"ratingValue\": 5, \"reviewCount\": ', if(n % 8 = 3, 0, k), '}]'))"
+        ", '{\"@type\": \"AggregateRating\", \"ratingValue\": 5, \"reviewCount\": ', if(n % 8 = 3, 0, 1 + abs(k)), '}]'))"
     )),
 )
 case(
