@@ -155,16 +155,28 @@ def check_table(joined: DataFrame, search: str | None = None, gates_only: bool =
 
 
 def best_sources(checks: DataFrame, sources: DataFrame, least: float = 0.6) -> DataFrame:
-    """(check_id, source_id, overlap): for each topic that a check names, the source whose
-    topic shares most of its words, if that is at least ``least`` of them.
-
-    ``checks``: check_id, topic; ``sources``: source_id, topic.  Topics meet on words."""
-
-    def words(rows: DataFrame, key: str) -> DataFrame:
-        tokens = F.array_distinct(F.regexp_extract_all(F.lower("topic"), F.lit(r"([\p{L}\p{N}]+)"), 1))
-        return rows.select(key, "topic", tokens.alias("tokens")).withColumn("n", F.size("tokens")).select(key, "topic", "n", F.explode("tokens").alias("word"))
-
-    a, b = words(checks, "check_id"), words(sources, "source_id").select("source_id", F.col("n").alias("m"), "word")
-    shared = a.join(b, "word").groupBy("check_id", "topic", "source_id").agg((F.count("*") / F.first("n")).alias("overlap"), F.first("m").alias("m"))
-    best = shared.where(F.col("overlap") >= least).groupBy("check_id", "topic").agg(F.max_by(F.struct("source_id", "overlap"), F.struct(F.col("overlap"), -F.col("m"), F.col("source_id"))).alias("b"))
-    return best.select("check_id", "topic", "b.source_id", "b.overlap")
+    """(check_id, topic, source_id, overlap): for each topic that a check names, the source
+    whose topic shares most of its words, if that is at least ``least`` of them.
+
+    ``checks``: check_id, topic; ``sources``: source_id, topic.  Topics decide, so that each
+    different one is compared once: of sources with the same words only the one of the
+    greatest id can be best.  Topics meet on as few of their rarest words as ``least``
+    allows (one that shares s of n words shares one of any n - s + 1), and are then
+    compared whole."""
+
+    def worded(rows: DataFrame) -> DataFrame:
+        tokens = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("topic"), F.lit(r"([\p{L}\p{N}]+)"), 1)))
+        return rows.withColumn("tokens", tokens).where(F.size("tokens") > 0)
+
+    a = worded(checks.select("topic").distinct()).withColumn("n", F.size("tokens"))
+    b = worded(sources).groupBy("tokens").agg(F.max("source_id").alias("source_id")).withColumnRenamed("tokens", "theirs")
+    known = b.select(F.explode("theirs").alias("word"), "theirs", "source_id")
+    often = known.groupBy("word").agg(F.count("*").alias("often"))
+    each = a.select("topic", "tokens", "n", F.explode("tokens").alias("word")).join(often, "word", "left")
+    rarest = each.groupBy("topic").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word"))).alias("words"))
+    # a hair less than asked, so that no rounding loses a pair; the whole comparison decides
+    asked = rarest.select("topic", "tokens", "n", F.explode(F.slice("words", F.lit(1), F.least("n", F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-9)).cast("int") + 1))).alias("w"))
+    met = asked.select("topic", "tokens", "n", F.col("w.word").alias("word")).join(known, "word").drop("word")
+    overlap = met.select("topic", "source_id", F.size("theirs").alias("m"), (F.size(F.array_intersect("tokens", "theirs")) / F.col("n")).alias("overlap"))
+    best = overlap.where(F.col("overlap") >= least).groupBy("topic").agg(F.max_by(F.struct("source_id", "overlap"), F.struct(F.col("overlap"), -F.col("m"), F.col("source_id"))).alias("b"))
+    return checks.select("check_id", "topic").distinct().join(best, "topic").select("check_id", "topic", "b.source_id", "b.overlap")

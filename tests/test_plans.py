@@ -176,3 +176,31 @@ def test_best_sources(spark):
     topics = spark.createDataFrame([("1", "Robots meta tag"), ("2", "Nothing alike here")], "check_id string, topic string")
     sources = spark.createDataFrame([("a", "The robots meta tag"), ("b", "robots.txt"), ("c", "meta")], "source_id string, topic string")
     assert [(r.check_id, r.source_id, r.overlap) for r in compare.best_sources(topics, sources).collect()] == [("1", "a", 1.0)]
+
+
+def test_best_sources_compares_each_topic_once(spark):
+    import itertools
+    import re
+
+    words = "tea cup green black milk".split()
+    told = [" ".join(c) for n in (1, 2, 3, 4) for c in itertools.combinations(words, n)]
+    checks = [(str(i), t) for i, t in enumerate(told)] + [("again", told[7]), ("none", "..."), ("nothing", "coffee")]
+    sources = [(f"s{i:02}", " ".join(reversed(t.split()))) for i, t in enumerate(told[3:])] + [("s99", told[9]), ("s00", "!")]
+    split = lambda t: set(re.findall(r"\w+", t))
+    for least in (1.0, 0.6, 0.34):
+        wanted = {}
+        for c, t in checks:
+            ranked = [(len(split(t) & split(u)) / len(split(t)), -len(split(u)), s) for s, u in sources if split(t) and len(split(t) & split(u)) / len(split(t)) >= least and split(t) & split(u)]
+            if ranked:
+                wanted[c] = max(ranked)[::2][::-1]
+        found = compare.best_sources(spark.createDataFrame(checks, "check_id string, topic string"), spark.createDataFrame(sources, "source_id string, topic string"), least)
+        assert {r.check_id: (r.source_id, r.overlap) for r in found.collect()} == wanted
+
+
+def test_best_sources_of_alike_topics_stay_few(spark):
+    """400 million pairs of 20,000 checks and sources, but 25 topics."""
+    checks = spark.range(20000).selectExpr("string(id) as check_id", "concat('tea topic ', id % 25) as topic")
+    sources = spark.range(20000).selectExpr("string(id) as source_id", "concat('topic ', id % 25, ' tea ', id % 3 + 100) as topic")
+    found = compare.best_sources(checks, sources, 1.0)
+    assert found.agg({"overlap": "min"}).first()[0] == 1.0 and found.count() == 20000
+    assert found.where("int(source_id) % 25 <> int(check_id) % 25").count() == 0
