@@ -71,6 +71,12 @@ def built_pages(rows: DataFrame, **given: str) -> DataFrame:
     )
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores: parsing their pages costs far more than dealing them out."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def several(rows: DataFrame, count: int, at: str = "i") -> DataFrame:
     """Every row ``count`` times, numbered."""
     return rows.withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
@@ -102,7 +108,7 @@ def case(
         rows = customers(spark, sf_dir)
         audit = crawls(spark, rows, **{n: F.expr(e) for n, e in (site or {}).items()})
         if pages is not None:
-            audit.pages = written(pages(rows), "pages")
+            audit.pages = written(pages(dealt(rows)), "pages")
         for table, make in (tables or {}).items():
             setattr(audit, table, make(rows))
         for part, told in wanted.items():

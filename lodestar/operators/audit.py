@@ -19,6 +19,8 @@ NETLOC = r"regexp_extract({}, '^[a-z]+://(?:[^/@?#]*@)?([^/?#]*)', 1)"
 #: the noindex test of page directives, either word
 NOINDEX_OR_NONE = "(?i)\\\\bnoindex\\\\b|\\\\bnone\\\\b"
 NOINDEX = "(?i)\\\\bnoindex\\\\b"
+#: as many crawls may be sent to every executor
+FEW_CRAWLS = 1000
 
 
 def same_site(url: str) -> str:
@@ -59,16 +61,28 @@ class Audit:
         have = self.inputs.get(section)
         return have if have is not None else self.spark.createDataFrame([], f"{schemas.HELD}, {schemas.INPUTS[section]}")
 
+    @cached_property
+    def many(self) -> bool:
+        """Whether there are more crawls than a driver should hand out."""
+        return self.sites.limit(FEW_CRAWLS + 1).count() > FEW_CRAWLS
+
+    def met(self, rows: DataFrame) -> DataFrame:
+        """``rows``, never broadcast where crawls are many.  Spark takes a few columns of a
+        wide table for so small a part of its (compressed) file that it would send all
+        crawls' pages by the driver.  Few crawls are left to it: dealt out by crawl, all
+        their pages would be few tasks'."""
+        return rows.hint("merge") if self.many else rows
+
     @cached_property
     def site_facts(self) -> DataFrame:
-        return self.sites.withColumn("site_netloc", F.expr(NETLOC.format("lower(origin)")))
+        return self.met(self.sites.withColumn("site_netloc", F.expr(NETLOC.format("lower(origin)"))))
 
     @cached_property
     def facts(self) -> DataFrame:
         """Pages with their site's facts and what most detectors ask of a page."""
         site = self.site_facts.select("crawl_id", "origin", "site_netloc", "flags", "robots_txt", "crawled_at")
-        joined = self.pages.join(site, "crawl_id").withColumnsRenamed({"fetch": "f", "extracted": "x", "rendered": "r", "rendered_mobile": "m"})
-        return joined.selectExpr(
+        joined = self.met(self.pages).join(site, "crawl_id").withColumnsRenamed({"fetch": "f", "extracted": "x", "rendered": "r", "rendered_mobile": "m"})
+        return self.met(joined.selectExpr(
             "*",
             "x is not null as is_html",
             "x is not null and f.status = 200 as html_200",
@@ -78,7 +92,7 @@ class Audit:
             "regexp_extract(normalized_url, '^https?://[^/?#]*([^?#]*)', 1) as path",
             "size(f.redirect_chain) as hops",
             "coalesce(try_element_at(f.redirect_chain, 1).status, f.status) as first_status",
-        )
+        ))
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -26,7 +26,7 @@ Parts = list[tuple[DataFrame, dict[str, str]]]
 
 def recorded(audit: Audit, section: str) -> DataFrame:
     """(crawl_id, rec): a section's record."""
-    rows = audit.given(section)
+    rows = audit.met(audit.given(section))
     return rows.select("crawl_id", F.struct(*[c for c in rows.columns if c != "crawl_id"]).alias("rec"))
 
 

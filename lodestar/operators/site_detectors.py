@@ -38,7 +38,8 @@ def tally(audit: Audit, *parts: tuple[DataFrame, dict[str, str]]) -> DataFrame:
     """Sites with aggregates over tables that have crawl_id; missing numbers are 0."""
     out = audit.site_facts
     for rows, wanted in parts:
-        out = out.join(rows.groupBy("crawl_id").agg(*[F.expr(e).alias(n) for n, e in wanted.items()]), "crawl_id", "left").fillna(0, list(wanted))
+        sums = rows.groupBy("crawl_id").agg(*[F.expr(e).alias(n) for n, e in wanted.items()])
+        out = out.join(audit.met(sums), "crawl_id", "left").fillna(0, list(wanted))
     return out
 
 
