@@ -51,8 +51,9 @@ def built_pages(rows: DataFrame, **given: str) -> DataFrame:
         "axe": "cast(null as struct<error:string,violations:array<struct<id:string,impact:string,nodes:int>>>)", "requests": "cast(array() as array<string>)", "render_final": "cast(null as string)",
         "mobile": "cast(null as string)", "mobile_rendered": "false", "mobile_error": "cast(null as string)",
     } | given
-    base = rows.selectExpr("crawl_id", *[f"{e} as `{n}`" for n, e in told.items()])
-    raw = with_extracted(base).withColumnsRenamed({"extracted": "raw_x", "normalized_url": "raw_url"})
+    # only what rows say goes to the parser and back, not what is made of it
+    parsed = with_extracted(rows.selectExpr("*", *[f"{told[n]} as `{n}_`" for n in ("html", "url")]), "html_", "url_").withColumnsRenamed({"extracted": "raw_x", "normalized_url": "raw_url"})
+    raw = parsed.selectExpr("crawl_id", *[f"{e} as `{n}`" for n, e in (told | {"html": "html_", "url": "url_"}).items()], "raw_url", "raw_x")
     desk = with_extracted(raw, "shown", "url").withColumnRenamed("extracted", "desk_x").drop("normalized_url") if "shown" in given else raw.withColumn("desk_x", F.lit(None).cast(schemas.EXTRACTED))
     both = with_extracted(desk, "mobile", "url").withColumnRenamed("extracted", "phone_x").drop("normalized_url") if "mobile" in given else desk.withColumn("phone_x", F.lit(None).cast(schemas.EXTRACTED))
     body = "coalesce(html, '')"
@@ -94,13 +95,14 @@ def fetches(rows: DataFrame, reason: str, url: str, status: str = "200", final:
 
 def case(
     probe: str, sql: str, section: str | None = None, columns: dict[str, str] | None = None, *, site: dict[str, str] | None = None, pages: Callable[[DataFrame], DataFrame] | None = None,
-    tables: Tables | None = None, inputs: dict[str, dict[str, str]] | None = None, by_page: bool = False,
+    tables: Tables | None = None, inputs: dict[str, dict[str, str]] | None = None, by_page: bool = False, once: bool = False,
 ) -> None:
     """Registers a query of one detector over all customers as crawls.
 
     ``sql``: the outcome in terms of k, n, bal and seg; null where the detector says
     nothing.  ``columns`` of a record in ``section`` (owner and next_review_at too),
-    ``site`` and ``tables`` say what the crawl holds."""
+    ``site`` and ``tables`` say what the crawl holds.  A detector that reads pages ``once``
+    needs no written table of them, whose many columns cost more than what it reads."""
     name = f"detector_{probe.replace('-', '_')}"
     wanted = {**(inputs or {}), **({section: columns or {}} if section else {})}
 
@@ -108,7 +110,7 @@ def case(
         rows = customers(spark, sf_dir)
         audit = crawls(spark, rows, **{n: F.expr(e) for n, e in (site or {}).items()})
         if pages is not None:
-            audit.pages = written(pages(dealt(rows)), "pages")
+            audit.pages = pages(dealt(rows)) if once else written(pages(dealt(rows)), "pages")
         for table, make in (tables or {}).items():
             setattr(audit, table, make(rows))
         for part, told in wanted.items():
@@ -550,7 +552,7 @@ case(
     #: n % 9: 0 cut, 1 no article, 2 unreadable, 3 backwards, 4 future, 5 no author, 6 no date, 7 one time of day for all
     pages=lambda rows: built_pages(several(rows, 5), url=f"concat('{AT}/', i)", ordinal="i", truncated="n % 9 = 0", headers="map('date', 'Mon, 01 Jun 2026 10:00:00 GMT')", html="if(n % 9 = 1, '<html>x</html>', {0})".format(
         _ld(_ARTICLE.format("n % 9 = 5", "n % 9 = 6", "case when n % 9 = 2 then 'soon' when n % 9 = 3 then '2026-02-01' when n % 9 = 4 then '2026-07-01' when n % 9 = 7 then '2025-05-05T10:00' else concat('2025-05-0', i + 1, 'T10:0', i) end", "n % 9 = 3"))
-    )),
+    )), once=True,
 )
 case(
     "publisher-discover-readiness", "CASE WHEN n % 8 = 0 THEN 'not-applicable' WHEN n % 8 IN (1, 2) THEN 'fail' WHEN n % 8 = 3 THEN 'warn' ELSE 'pass' END",

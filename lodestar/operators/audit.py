@@ -19,6 +19,17 @@ NETLOC = r"regexp_extract({}, '^[a-z]+://(?:[^/@?#]*@)?([^/?#]*)', 1)"
 #: the noindex test of page directives, either word
 NOINDEX_OR_NONE = "(?i)\\\\bnoindex\\\\b|\\\\bnone\\\\b"
 NOINDEX = "(?i)\\\\bnoindex\\\\b"
+_SHORT = {"fetch": "f", "extracted": "x", "rendered": "r", "rendered_mobile": "m"}
+_OF_PAGE = (
+    "x is not null as is_html",
+    "x is not null and f.status = 200 as html_200",
+    f"rlike(coalesce(x.meta_robots, ''), '{NOINDEX}') as meta_noindex",
+    f"rlike(coalesce(x.meta_robots, ''), '{NOINDEX_OR_NONE}') or rlike(coalesce(f.headers['x-robots-tag'], ''), '{NOINDEX_OR_NONE}') as kept_out",
+    f"rlike(concat(coalesce(x.meta_robots, ''), ' ', coalesce(f.headers['x-robots-tag'], '')), '{NOINDEX}') as any_noindex",
+    "regexp_extract(normalized_url, '^https?://[^/?#]*([^?#]*)', 1) as path",
+    "size(f.redirect_chain) as hops",
+    "coalesce(try_element_at(f.redirect_chain, 1).status, f.status) as first_status",
+)
 #: as many crawls may be sent to every executor
 FEW_CRAWLS = 1000
 
@@ -81,18 +92,13 @@ class Audit:
     def facts(self) -> DataFrame:
         """Pages with their site's facts and what most detectors ask of a page."""
         site = self.site_facts.select("crawl_id", "origin", "site_netloc", "flags", "robots_txt", "crawled_at")
-        joined = self.met(self.pages).join(site, "crawl_id").withColumnsRenamed({"fetch": "f", "extracted": "x", "rendered": "r", "rendered_mobile": "m"})
-        return self.met(joined.selectExpr(
-            "*",
-            "x is not null as is_html",
-            "x is not null and f.status = 200 as html_200",
-            f"rlike(coalesce(x.meta_robots, ''), '{NOINDEX}') as meta_noindex",
-            f"rlike(coalesce(x.meta_robots, ''), '{NOINDEX_OR_NONE}') or rlike(coalesce(f.headers['x-robots-tag'], ''), '{NOINDEX_OR_NONE}') as kept_out",
-            f"rlike(concat(coalesce(x.meta_robots, ''), ' ', coalesce(f.headers['x-robots-tag'], '')), '{NOINDEX}') as any_noindex",
-            "regexp_extract(normalized_url, '^https?://[^/?#]*([^?#]*)', 1) as path",
-            "size(f.redirect_chain) as hops",
-            "coalesce(try_element_at(f.redirect_chain, 1).status, f.status) as first_status",
-        ))
+        joined = self.met(self.pages).join(site, "crawl_id").withColumnsRenamed(_SHORT)
+        return self.met(joined.selectExpr("*", *_OF_PAGE))
+
+    @cached_property
+    def own_facts(self) -> DataFrame:
+        """``facts`` without the site's, for detectors that ask nothing of it: pages are not joined."""
+        return self.pages.withColumnsRenamed(_SHORT).selectExpr("*", *_OF_PAGE)
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -608,35 +608,36 @@ def locale_content_parity(audit: Audit) -> DataFrame:
 
 @site("author-date-signals")
 def author_date_signals(audit: Audit) -> DataFrame:
-    a = "x.derived.article"
-    pages = audit.facts.where(f"html_200 and {IS_ARTICLE}").selectExpr(
+    """Pages are read once: an article counts in its own row (kind 0), and its times of day
+    in rows of theirs, of which those that fewer than 5 articles share end at once."""
+    a, dates = "x.derived.article", ("p1", "m1", "p2", "m2")
+    told = {"p1": f"{a}.published", "m1": f"{a}.modified", "p2": "nullif(trim(x.authorship.published_time), '')", "m2": "nullif(trim(x.authorship.modified_time), '')"}
+    pages = audit.own_facts.where(f"html_200 and {IS_ARTICLE}").selectExpr(
         "crawl_id", "f.truncated as cut", f"{a} is not null as typed",
-        f"coalesce({a}.author, x.authorship.byline, nullif(x.authorship.meta_author, ''), nullif(trim(x.authorship.article_author), '')) as author", "size(x.authorship.times) as times", f"{WHEN.format(chr(102) + '.headers[' + chr(39) + 'date' + chr(39) + ']')} as served",
-        f"{a}.published as p1", f"{a}.modified as m1", "nullif(trim(x.authorship.published_time), '') as p2", "nullif(trim(x.authorship.modified_time), '') as m2",
-    ).where("true")
-    read = pages.where("not cut").selectExpr(
-        "*", "size(array_compact(array(p1, m1, p2, m2))) as declared", *[f"{WHEN.format(c)} as {c}_at" for c in ("p1", "m1", "p2", "m2")]
-    ).selectExpr("*", "coalesce(if(p1_at is not null, p1, null), if(p2_at is not null, p2, null)) as published", "coalesce(if(m1_at is not null, m1, null), if(m2_at is not null, m2, null)) as modified")
-
-    def stamped(column: str) -> DataFrame:
-        """Values with a time of day that at least 5 and four fifths of articles share."""
-        total = read.where(f"{column} is not null").groupBy("crawl_id").agg(F.count("*").alias("total"))
-        same = read.where(f"rlike({column}, '[T ][0-9]{{2}}:[0-9]{{2}}')").groupBy("crawl_id", column).agg(F.count("*").alias("n"))
-        return same.join(total, "crawl_id").where("n >= 5 and n / total >= 0.8")
-
-    bad = " + ".join(f"int({c} is not null and {c}_at is null)" for c in ("p1", "m1", "p2", "m2"))
-    late = " + ".join(f"int(coalesce({c}_at > served + interval 1 day, false))" for c in ("p1", "m1", "p2", "m2"))
+        f"coalesce({a}.author, x.authorship.byline, nullif(x.authorship.meta_author, ''), nullif(trim(x.authorship.article_author), '')) as author", "size(x.authorship.times) as times",
+        "f.headers['date'] as sent", *[f"if(coalesce(f.truncated, true), null, {e}) as {c}" for c, e in told.items()],
+    )
+    read = pages.selectExpr("*", f"size(array_compact(array({', '.join(dates)}))) as declared", f"{WHEN.format('sent')} as served", *[f"{WHEN.format(c)} as {c}_at" for c in dates])
+    bad = " + ".join(f"int({c} is not null and {c}_at is null)" for c in dates)
+    late = " + ".join(f"int(coalesce({c}_at > served + interval 1 day, false))" for c in dates)
+    backwards = " + ".join(f"int(coalesce(m{i}_at < p{i}_at - interval 1 day, false))" for i in (1, 2))
+    counted = {
+        "cut": "int(cut)", "articles": "int(not cut)", "unreadable": bad, "backwards": backwards, "future": late, "no_author": "int(not cut and typed and author is null)", "no_date": "int(not cut and declared = 0 and times = 0)",
+        "published": "int(published is not null)", "modified": "int(modified is not null)",
+    }
+    timed = "if(rlike({0}, '[T ][0-9]{{2}}:[0-9]{{2}}'), {0}, null)".format
+    rows = (
+        read.selectExpr("*", "coalesce(if(p1_at is not null, p1, null), if(p2_at is not null, p2, null)) as published", "coalesce(if(m1_at is not null, m1, null), if(m2_at is not null, m2, null)) as modified")
+        .selectExpr("crawl_id", *[f"{e} as `{n}_`" for n, e in counted.items()], f"stack(3, 0, null, 1, {timed('published')}, 2, {timed('modified')}) as (kind, stamp)")
+        .where("kind = 0 or stamp is not null")
+    )
+    shared = rows.groupBy("crawl_id", "kind", "stamp").agg(F.count("*").alias("n"), *[F.expr(f"sum(if(kind = 0, {n}_, 0))").alias(f"{n}_") for n in counted]).where("kind = 0 or n >= 5")
     return judged(
         "author-date-signals", audit,
-        [
-            (pages, {"cut": "count_if(cut)", "articles": "count_if(not cut)"}),
-            (read, {
-                "unreadable": f"sum({bad})", "backwards": "count_if(m1_at < p1_at - interval 1 day) + count_if(m2_at < p2_at - interval 1 day)", "future": f"sum({late})",
-                "no_author": "count_if(typed and author is null)", "no_date": "count_if(declared = 0 and times = 0)",
-            }),
-            (stamped("published"), {"published_stamp": "count(*)"}),
-            (stamped("modified"), {"modified_stamp": "count(*)"}),
-        ],
+        [(shared, {
+            **{n: f"sum({n}_)" for n in list(counted)[:7]},
+            **{f"{n}_stamp": f"int(max(if(kind = {k}, n, 0)) * 5 >= greatest(sum({n}_) * 4, 1))" for k, n in ((1, "published"), (2, "modified"))},
+        })],
         (ERROR, "articles = 0 and cut > 0", "All articles were cut."),
         (NA, "articles = 0", "No page declares itself an article."),
         (FAIL, "unreadable + backwards + future > 0", "{unreadable} unreadable, {backwards} backwards, {future} future date(s)."),
