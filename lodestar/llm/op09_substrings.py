@@ -557,12 +557,12 @@ def _removed(plain: DataFrame, width: int, buckets: int, bits: int, turn: int =
     windows = plain.mapInArrow(lean(_windows_by_anchor(width, max(BUCKETS, 8 * parts_), bits, turn, only)), "bucket int, packed binary")
     # chunks' own findings are dealt out at random, windows by their bucket
     dealt = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket").cast("long"))
-    found = kept(windows.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(lean(_repeated(buckets)), _FOUND), "substrings-found")
+    found = kept(windows.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(lean(_repeated(buckets)), _FOUND), "substrings-found", spent=True)
     texts = plain.mapInArrow(lean(_documents(buckets, with_row=False)), "bucket int, packed binary, id long, key long")
     asked = found.select("bucket", "asks", "shows").where("asks is not null or shows is not null")
     both = texts.unionByName(asked, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
     said = both.mapInArrow(lean(_shown(width, max(256, 2 * parts_))), "bucket int, side int, packed binary, said binary")
-    verified = kept(said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_compared(width, buckets, bits)), _VERIFIED), "substrings-verified")
+    verified = kept(said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_compared(width, buckets, bits)), _VERIFIED), "substrings-verified", spent=True)
     sure = found.select("bucket", "sure").unionByName(verified.select("bucket", "sure")).where("sure is not null")
     return sure, verified.select("open").where("open is not null").mapInArrow(_unpacked, "id long, key long, start long, print long")
 

@@ -23,12 +23,23 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="lodestar-")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def kept(df: DataFrame, name: str, spent: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and
-    a lost executor costs a read instead of a recomputation."""
+    a lost executor costs a read instead of a recomputation.  With ``spent``, what was
+    shuffled for it is deleted at once, else whenever the driver collects its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if spent:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if spent:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

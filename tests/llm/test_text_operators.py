@@ -456,3 +456,21 @@ def test_empty_tables(spark, operator):
         "leaks-none": lambda: op10_decontaminate.leaks(none, benchmark),
     }[operator]()
     assert out.collect() == [] and out.columns
+
+
+def test_substring_dedup_keeps_no_spent_shuffles(spark, docs):
+    """They stayed on disk until the driver happened to collect its garbage."""
+    import time
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    _, left = op09_substrings._removed(frame(spark, docs).select("doc_id", "text").toDF("id", "text"), 20, 512, 48)
+    assert left.isEmpty()
+    until = time.time() + 5
+    while shuffled() - before and time.time() < until:  # files are deleted in the background
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
